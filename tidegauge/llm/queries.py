@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import exact_dedup, token_counts
+from tidegauge.llm import exact_dedup, packing, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -22,12 +22,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
 
