@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, packing, token_counts
+from tidegauge.llm import exact_dedup, mixing, packing, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +27,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = mixing.assign(_read(spark, sf_dir, "documents"))
+    first = F.floor(F.element_at("uses.position", 1) * 1e9).cast("long")
+    return assigned.select("doc_id", "size", "source_size", "target", "taken", F.when(F.size("uses") > 0, first).alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -33,6 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op7_curriculum_mix": op7_curriculum_mix,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -42,4 +50,31 @@ ORACLE_SQL = {
         select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size,
                row_number() over w = 1 as kept, sha256(norm) as text_sha256
         from d window w as (partition by norm order by doc_id nulls last)""",
+    "op7_curriculum_mix": r"""
+        with recursive d as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                   md5(concat_ws(':', doc_id::varchar, text)) as key from documents),
+        s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as n from d group by source),
+        w as (select *, (n - 1) % 3 as kind, [3.0::double, 1.0, 2.0][(n - 1) % 3 + 1] as weight, 2.0::double * source_size as cap from s),
+        -- sources are fixed at their caps round by round, the rest shared by weight among the others
+        fill(round, source, fixed) as (
+            select 0, source, false from w
+            union all
+            select round + 1, source, fixed or level * weight > cap from (
+                select f.round, f.source, f.fixed, w.weight, w.cap,
+                       (sum(w.source_size) over () * 1.5::double - coalesce(sum(w.cap) filter (f.fixed) over (), 0)) / nullif(sum(w.weight) filter (not f.fixed) over (), 0) as level
+                from fill f join w on f.source is not distinct from w.source where f.round < 60)),
+        t as (select w.source, w.source_size, w.kind, case when f.fixed then w.cap else
+                (sum(w.source_size) over () * 1.5::double - coalesce(sum(w.cap) filter (f.fixed) over (), 0)) / sum(w.weight) filter (not f.fixed) over () * w.weight end as target
+              from w join fill f on f.source is not distinct from w.source and f.round = 60),
+        p as (select d.doc_id, d.size, t.source_size, t.kind, t.target, round(t.target)::bigint as words,
+                coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id nulls last, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as sum_before
+              from d join t on d.source is not distinct from t.source),
+        q as (select *, case when source_size > 0 then words // source_size else 0 end as full_passes from p),
+        r as (select *, greatest(0, least(size, words - full_passes * source_size - sum_before)) as rest, sum_before / greatest(1.0::double, target) as part from q),
+        x as (select *, case when size > 0 and (full_passes > 0 or rest > 0) then
+                case kind when 0 then case when part < 0.625 then 2 * part / (1.5 + sqrt(1.5 * 1.5 - 2 * part)) else 0.5 + 2 * (part - 0.625) / (1 + sqrt(greatest(0, 1 - 2 * (part - 0.625)))) end
+                          when 1 then case when part < 0.5 then 2 * part / 2 else 0.5 + 2 * (part - 0.5) / 2 end
+                          else case when part < 0.375 then 2 * part / (0.5 + sqrt(0.25 + 2 * part)) else 0.5 + 2 * (part - 0.375) / (1 + sqrt(1 + 2 * (part - 0.375))) end end end as position from r)
+        select doc_id, size::bigint as size, source_size, target, (full_passes * size + rest)::bigint as taken, floor(position * 1e9)::bigint as first_position from x""",
 }
