@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, mixing, packing, token_counts
+from tidegauge.llm import exact_dedup, mixing, packing, secrets, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +33,10 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned.select("doc_id", "size", "source_size", "target", "taken", F.when(F.size("uses") > 0, first).alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op7_curriculum_mix": op7_curriculum_mix,
+    "op8_entropy_secrets": op8_entropy_secrets,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -77,4 +82,37 @@ ORACLE_SQL = {
                           when 1 then case when part < 0.5 then 2 * part / 2 else 0.5 + 2 * (part - 0.5) / 2 end
                           else case when part < 0.375 then 2 * part / (0.5 + sqrt(0.25 + 2 * part)) else 0.5 + 2 * (part - 0.375) / (1 + sqrt(1 + 2 * (part - 0.375))) end end end as position from r)
         select doc_id, size::bigint as size, source_size, target, (full_passes * size + rest)::bigint as taken, floor(position * 1e9)::bigint as first_position from x""",
+    "op8_entropy_secrets": r"""
+        with raw as (select doc_id, coalesce(text, '') as text, row_number() over () as r from documents),
+        k(kind, name, pattern) as (values
+            (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+            (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]{24,}'), (3, 'entropy', '[A-Za-z0-9+/_=-]{20,}')),
+        m as (select r, 0 as kind, regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as hits,
+                     string_split_regex(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') as gaps from raw
+              union all select r, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') from raw
+              union all select r, 2, regexp_extract_all(text, '[0-9a-f]{24,}'), string_split_regex(text, '[0-9a-f]{24,}') from raw
+              union all select r, 3, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), string_split_regex(text, '[A-Za-z0-9+/_=-]{20,}') from raw),
+        e as (select r, kind, unnest(hits) as hit, unnest(gaps[1:len(hits)]) as gap, unnest(range(len(hits))) as i from m),
+        p as (select r, kind, hit, (sum(len(gap) + len(hit)) over (partition by r, kind order by i))::bigint as stop from e),
+        base as (select r, kind, stop - len(hit) as start, stop from p
+                 where kind = 2 or kind = 1 and len(hit) >= 20
+                    or kind = 0 and len(regexp_extract(hit, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 6),
+        c as (select row_number() over () as n, r, hit, stop - len(hit) as start,
+                     20 * (log2(20) - case when regexp_matches(hit, '^[0-9a-fA-F]+$') then 3.0 else 3.8 end) as most
+              from p where kind = 3 and not regexp_matches(hit, '(?i:example|sample|placeholder|dummy|changeme|lorem|xxxx|0123456789|abcdefgh)')
+                and not regexp_matches(hit, '^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$')
+                and not regexp_matches(hit, '^[0-9+/_=-]+$') and not regexp_matches(hit, '^[^0-9]+$')),
+        w as (select n, r, start, most, unnest(range(len(hit) - 19)) as i, hit from c),
+        l as (select n, r, start, most, i, unnest(string_split(hit[i + 1:i + 20], '')) as letter from w),
+        h as (select n, r, start, most, i, letter, count(*) as times from l group by all),
+        s as (select n, r, start, i from h group by n, r, start, i, most having sum(round(1e6 * times * log2(times))) <= floor(1e6 * most)),
+        added as (select r, 3 as kind, start + min(i) as start, start + max(i) + 20 as stop from s group by n, r, start),
+        every as (select * from base union all
+                  select a.* from added a where not exists (select 1 from base b where b.r = a.r and b.start < a.stop and a.start < b.stop)),
+        named as (select e.r, e.kind, e.start, k.name || ':' || e.start || ':' || e.stop as span from every e join k using (kind)),
+        g as (select r, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+                     string_agg(span, ',' order by start, kind) filter (kind < 3) as base, string_agg(span, ',' order by start, kind) as spans from named group by r)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from raw left join g using (r)""",
 }
