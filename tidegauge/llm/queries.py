@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, mixing, packing, secrets, token_counts
+from tidegauge.llm import exact_dedup, mixing, packing, secrets, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +27,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.learnable(docs), labels)
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = mixing.assign(_read(spark, sf_dir, "documents"))
     first = F.floor(F.element_at("uses.position", 1) * 1e9).cast("long")
@@ -44,6 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_toxic_passages": op5_toxic_passages,
     "op7_curriculum_mix": op7_curriculum_mix,
     "op8_entropy_secrets": op8_entropy_secrets,
     "op10_token_counts": op10_token_counts,
