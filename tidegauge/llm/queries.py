@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, mixing, packing, secrets, simhash, token_counts, toxicity
+from tidegauge.llm import exact_dedup, language_model, mixing, packing, secrets, simhash, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +31,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_read(spark, sf_dir, "documents"))
+
+
 def op5_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = toxicity.fit(toxicity.learnable(docs), labels)
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_backoff_scores": op4_backoff_scores,
     "op5_toxic_passages": op5_toxic_passages,
     "op7_curriculum_mix": op7_curriculum_mix,
     "op8_entropy_secrets": op8_entropy_secrets,
