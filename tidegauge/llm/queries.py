@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, language_model, mixing, packing, secrets, simhash, token_counts, toxicity
+from tidegauge.llm import exact_dedup, graph_search, language_model, mixing, packing, secrets, simhash, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -51,6 +51,10 @@ def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op9_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_toxic_passages": op5_toxic_passages,
     "op7_curriculum_mix": op7_curriculum_mix,
     "op8_entropy_secrets": op8_entropy_secrets,
+    "op9_graph_neighbours": op9_graph_neighbours,
     "op10_token_counts": op10_token_counts,
 }
 
