@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, graph_search, language_model, mixing, packing, secrets, simhash, token_counts, toxicity
+from tidegauge.llm import exact_dedup, graph_search, language_model, line_dedup, mixing, packing, secrets, simhash, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -41,6 +41,12 @@ def op5_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    places = F.array_join(F.col("deleted").cast("array<string>"), ",")
+    return found.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("deleted").cast("long").alias("n_deleted"), places.alias("deleted_lines"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = mixing.assign(_read(spark, sf_dir, "documents"))
     first = F.floor(F.element_at("uses.position", 1) * 1e9).cast("long")
@@ -65,6 +71,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_backoff_scores": op4_backoff_scores,
     "op5_toxic_passages": op5_toxic_passages,
+    "op6_line_dedup": op6_line_dedup,
     "op7_curriculum_mix": op7_curriculum_mix,
     "op8_entropy_secrets": op8_entropy_secrets,
     "op9_graph_neighbours": op9_graph_neighbours,
