@@ -185,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id).alias("label_id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     plain = docs.select(F.col(id).alias("label_id"), text_of(text).alias("text"), F.floor(id_remainder(id, 10) / 5).cast("int").alias("fold"))
-    train = stash(plain.join(known, "label_id").select("text", "fold", "toxic"), "labelled")
+    # Labels grow with the documents, so both are always dealt by id, at any size.
+    train = stash(plain.join(known.hint("merge"), "label_id").select("text", "fold", "toxic"), "labelled")
     each = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}{t}") for f in (0, 1) for t in (0, 1)]
     table = train.mapInArrow(count_tokens, "fold int, toxic int, bucket int, n long").groupBy("bucket").agg(*each).toArrow()  # at most 2 * BUCKETS rows
     counts = np.zeros((2, 2, 2 * BUCKETS))
