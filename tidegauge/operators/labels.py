@@ -33,7 +33,7 @@ def audit_label_support(labels: DataFrame, cutoff: str, required_roles: list[str
     role = F.coalesce("training_role", F.lit(""))
     flagged = labels.select(*keys, role.alias("role"), F.coalesce(resolved, F.lit(False)).alias("resolved"), F.coalesce(sound, F.lit(False)).alias("sound"), finite(number).alias("finite"), ((F.col("status") == "RESOLVED_CASH") & (number != 0)).alias("cash"), F.coalesce(late, F.lit(False)).alias("late"), strict_clock("available_at").isNull().alias("no_clock"))
     by_role = flagged.groupBy(*keys, "role").agg(
-        F.count_if("sound and not late").alias("n"), F.count_if("not resolved").alias("unresolved"), F.count_if("sound and late").alias("late"),
+        F.count_if(F.expr("sound and not late")).alias("n"), F.count_if(F.expr("not resolved")).alias("unresolved"), F.count_if(F.expr("sound and late")).alias("late"),
         _codes(unresolved_label_has_numeric_return=F.expr("not resolved and finite"), resolved_label_missing_or_nonfinite=F.expr("resolved and not sound"), resolved_cash_not_zero=F.expr("sound and cash"), invalid_label_clock=F.expr("sound and no_clock")).alias("codes"),
     )
     total = by_role.groupBy(*keys).agg(_counts_map("role", "n").alias("observable_labels_by_role"), F.coalesce(F.sum("unresolved"), F.lit(0)).alias("unresolved"), F.coalesce(F.sum("late"), F.lit(0)).alias("not_yet_mature"), F.flatten(F.collect_list("codes")).alias("codes"))

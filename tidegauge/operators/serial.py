@@ -96,12 +96,13 @@ def dependence_diagnostics(values: DataFrame, max_lag: int = 20, residuals: Data
     """Diagnostics of each series and of its absolute and squared values (and residuals),
     as (series, transform, ...), and flags of memory of each series."""
     forms = F.array(*[F.struct(F.lit(n).alias("transform"), v.alias("value")) for n, v in (("returns", F.col("value")), ("absolute_returns", F.abs("value")), ("squared_returns", F.col("value") * F.col("value")))])
-    stacked = values.select(F.col("series").alias("name"), "idx", F.inline(forms)).select(F.struct("name", "transform").alias("series"), "idx", "value")
+    named = F.concat_ws("|", "transform", F.col("name").cast("string")).alias("series")
+    stacked = values.select(F.col("series").alias("name"), "idx", F.inline(forms)).select(named, "idx", "value")
     found = series_diagnostics(stacked, max_lag, 0, alpha)
     if residuals is not None:
-        rest = residuals.select(F.struct(F.col("series").alias("name"), F.lit("model_residuals").alias("transform")).alias("series"), "idx", "value")
+        rest = residuals.select(F.col("series").alias("name"), F.lit("model_residuals").alias("transform"), "idx", "value").select(named, "idx", "value")
         found = found.unionByName(series_diagnostics(rest, max_lag, residual_degrees, alpha))
-    flat = found.select(F.col("series.name").alias("series"), F.col("series.transform").alias("transform"), *[c for c in found.columns if c != "series"])
+    flat = found.select(F.expr("substring(series, instr(series, '|') + 1)").alias("series"), F.substring_index("series", "|", 1).alias("transform"), *[c for c in found.columns if c != "series"])
     memory = F.col("any_acf_significant") | F.coalesce("ljung_box.rejected", F.lit(False))
     has = lambda *names: F.bool_or(F.when(F.col("transform").isin(*names), memory))
     flags = flat.groupBy("series").agg(F.coalesce(has("returns"), F.lit(False)).alias("linear_return_memory"), F.coalesce(has("absolute_returns", "squared_returns"), F.lit(False)).alias("volatility_memory"), has("model_residuals").alias("residual_memory"))
