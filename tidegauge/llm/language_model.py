@@ -1,6 +1,6 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is all n-grams of the training texts, to order three, with Dirichlet
+The model is all n-grams of the training texts, up to order two or three, with Dirichlet
 smoothing: p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m), where h' is h without its
 first word and p(w) is the add-one base.  As an automaton, every history that was met
 is a state; a state has an arc for each word that followed it, weighted with the
@@ -8,7 +8,7 @@ smoothed probability, and a failure arc to the next shorter history, weighted wi
 m / (c(h) + m).  A text is read once from left to right: each token takes the arc of
 the longest state that has one, adding the weights of the failure arcs on the way, and
 so reaches the next state.  A block of texts is traversed together, all positions at a
-time, because a state is known from the last two tokens.
+time, because a state is known from the last one or two tokens.
 
 The automaton of a large corpus fits on no machine, and no text needs more of it than
 its own n-grams.  Texts are dealt to blocks of bounded size.  Each block sends the
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from tidegauge.llm.shared import id_remainder, partitions, text_of
 
 #: Bytes of text in a block, on average.
-BLOCK_BYTES = 16 << 20
-#: Pseudo-counts m of histories of one and of two tokens.
-STRENGTH = (3000.0, 5.0)
+BLOCK_BYTES = 8 << 20
+#: Pseudo-counts m of histories of one token, of two tokens, ...: as many as the order has.
+STRENGTH = (300.0,)
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 SENT = "shard int, block int, single binary, single_n binary, longer binary, longer_n binary"
 ANSWERED = "shard int, block int, single_n binary, longer_n binary, tokens long, types long"
@@ -80,7 +80,7 @@ class _Ids(dict):
 class Grams:
     """The tokens of a block's texts and the hashes of their n-grams."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], order: int):
         import xxhash
 
         ids = _Ids({b"": 0})
@@ -99,9 +99,11 @@ class Grams:
         pair = mixed(before, of, 2)
         self.inside = np.ones(len(of), bool)  # where a history of two tokens is
         self.inside[self.first] = False
-        at = np.flatnonzero(self.inside)
-        triple = mixed(pair[at - 1], of[at], 3)
-        self.longer = np.concatenate([[START], pair, triple])
+        grams = [[START], pair]
+        if order > 2:
+            at = np.flatnonzero(self.inside)
+            grams.append(mixed(pair[at - 1], of[at], 3))
+        self.longer = np.concatenate(grams)
 
     def shards(self, keys: np.ndarray, n: int) -> np.ndarray:
         """Where each shard's keys begin in sorted keys, and the end."""
@@ -109,17 +111,18 @@ class Grams:
         return np.concatenate([[0], np.searchsorted(keys, np.array(edge, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
-def sender(shards: int):
+def sender(shards: int, order: int):
     """One row for each shard with the block's distinct n-grams and training counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams = Grams(table.column("text").to_pylist())
+        grams = Grams(table.column("text").to_pylist(), order)
         train = ~table.column("held_out").to_numpy()
         weight = np.repeat(train, grams.size)
-        order = np.argsort(grams.words)
-        single, single_n = grams.words[order], np.bincount(grams.tokens, weights=weight, minlength=len(grams.words)).astype(np.uint64)[order]
+        by_hash = np.argsort(grams.words)
+        single, single_n = grams.words[by_hash], np.bincount(grams.tokens, weights=weight, minlength=len(grams.words)).astype(np.uint64)[by_hash]
         longer, where = np.unique(grams.longer, return_inverse=True)
-        longer_n = np.bincount(where, weights=np.concatenate([[train.sum()], weight, weight[grams.inside]])).astype(np.uint64)
+        times = [[train.sum()], weight, *([weight[grams.inside]] if order > 2 else [])]
+        longer_n = np.bincount(where, weights=np.concatenate(times)).astype(np.uint64)
         a, b = grams.shards(single, shards), grams.shards(longer, shards)
         block = table.column("block")[0].as_py()
         rows = [(s, block, packed(single[a[s] : a[s + 1]]), squeezed(single_n[a[s] : a[s + 1]]), packed(longer[b[s] : b[s + 1]]), squeezed(longer_n[b[s] : b[s + 1]])) for s in range(shards)]
@@ -169,7 +172,7 @@ def traversed(arcs: list[tuple[np.ndarray, np.ndarray]], floor: np.ndarray, stre
 
 def scorer(strength: tuple[float, ...]):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Grams(texts.column("text").to_pylist())
+        grams = Grams(texts.column("text").to_pylist(), len(strength) + 1)
         answers = answers.sort_by("shard")
         single_n, longer_n = (np.concatenate([stretched(x) for x in answers.column(c).to_pylist()]).astype(np.float64) for c in ("single_n", "longer_n"))
         tokens, types = sum(answers.column("tokens").to_pylist()), sum(answers.column("types").to_pylist())
@@ -178,12 +181,16 @@ def scorer(strength: tuple[float, ...]):
         one = by_word[grams.tokens]
         _, where = np.unique(grams.longer, return_inverse=True)
         longer = longer_n[where]
-        start, two, inner = longer[0], longer[1 : len(one) + 1], longer[len(one) + 1 :]
-        three, met_one, met_two = np.zeros(len(one)), np.concatenate([[0], one[:-1]]), np.concatenate([[0], two[:-1]])
-        three[grams.inside] = inner
-        met_one[grams.first], met_two[grams.first] = start, 0
+        start, two = longer[0], longer[1 : len(one) + 1]
+        met_one = np.concatenate([[0], one[:-1]])
+        met_one[grams.first] = start
+        arcs = [(met_one, two)]
+        if len(strength) > 1:
+            three, met_two = np.zeros(len(one)), np.concatenate([[0], two[:-1]])
+            three[grams.inside], met_two[grams.first] = longer[len(one) + 1 :], 0
+            arcs.append((met_two, three))
         floor = (one + 1) / (tokens + types + 1)
-        way = traversed([(met_one, two), (met_two, three)], floor, strength)
+        way = traversed(arcs, floor, strength)
         add = lambda x: np.add.reduceat(x, grams.first)
         n = texts.num_rows
         return pa.Table.from_arrays(
@@ -194,17 +201,18 @@ def scorer(strength: tuple[float, ...]):
     return run
 
 
-def score(docs: DataFrame, held_out=None, strength: tuple[float, float] = STRENGTH, block_bytes: int = BLOCK_BYTES, text: str = "text", id: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, held_out=None, strength: tuple[float, ...] = STRENGTH, block_bytes: int = BLOCK_BYTES, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     ``held_out``: a condition for rows not to learn from; by default crc32 of the id
-    as text, mod 7, is 2.
+    as text, mod 7, is 2.  ``strength``: one or two pseudo-counts, for n-grams to order
+    two or three.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), (held_out if held_out is not None else id_remainder(id, 7) == 2).alias("held_out"), text_of(text).alias("text"))
     size = plain.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    sent = dealt.groupBy("block").applyInArrow(sender(2 * partitions(spark)), SENT)
+    sent = dealt.groupBy("block").applyInArrow(sender(2 * partitions(spark), len(strength) + 1), SENT)
     answers = sent.groupBy("shard").applyInArrow(adder, ANSWERED)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scorer(tuple(strength)), SCORED)
