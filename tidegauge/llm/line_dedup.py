@@ -9,7 +9,8 @@ anchor the alignment, which grows over equal neighbours and goes on between anch
 Runs of aligned lines with at least ``least_words`` words are deleted from the later
 document of the pair; what several pairs delete is joined.
 
-Only hashes of lines are exchanged; texts are read again at the end.
+Only hashes of lines are exchanged until the end, when each text meets its deletions.
+What it is joined with grows with the documents, so the joins are by sorting at any size.
 
 Defined cases: documents are ordered by id, null ids last, then by a hash of id and
 text.  A null text is the empty text.  Rows that repeat id and text are one document
@@ -106,7 +107,7 @@ def _pairs(lines: DataFrame, rare: int) -> DataFrame:
     """(later, earlier) keys of documents that share a line."""
     each = lines.select("key", "order", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x["sizes"] > 0))).alias("line")).select("key", "order", F.col("line.hashes").alias("hash"))
     shared = stash(each.groupBy("hash").agg(F.count("*").alias("holders"), F.min("order").alias("first")).where("holders > 1"), "shared-lines")
-    held = each.join(shared, "hash")
+    held = each.join(shared.hint("merge"), "hash")
     to_first = held.where("key <> first.key").select(F.col("key").alias("later"), F.col("first.key").alias("earlier"))
     before = F.lag("key").over(Window.partitionBy("hash").orderBy("order"))
     to_last = held.where(F.col("holders") <= rare).select(F.col("key").alias("later"), before.alias("earlier")).where("earlier is not null")
@@ -125,7 +126,7 @@ def deletions(docs: DataFrame, least_words: int = 10, rare: int = RARE, text: st
             gone = [doomed(x, y, w, least_words) for x, y, w in zip(*(b.column(c).to_pylist() for c in ("a", "b", "words")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("later"), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
-    aligned = pairs.join(later, "later").join(earlier, "earlier").select("later", "a", "b", "words").mapInArrow(run, "key long, gone array<int>")
+    aligned = pairs.join(later.hint("merge"), "later").join(earlier.hint("merge"), "earlier").select("later", "a", "b", "words").mapInArrow(run, "key long, gone array<int>")
     place = aligned.select("key", F.explode("gone").alias("place")).distinct()
     return place.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("deleted"))
 
@@ -135,7 +136,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 10, rare: int = RARE, text:
     places of the deleted ones."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     gone = stash(deletions(docs, least_words, rare, text, id), "deletions")
-    joined = docs.select(row, _key(text, id)).join(gone, "key", "left").withColumn("lines", F.split(text_of(f"row.{text}"), "\n"))
+    joined = docs.select(row, _key(text, id)).join(gone.hint("merge"), "key", "left").withColumn("lines", F.split(text_of(f"row.{text}"), "\n"))
     deleted = F.coalesce("deleted", F.array().cast("array<int>"))
     joined = joined.withColumn("deleted", deleted)
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "deleted")
