@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.numeric import UNIT, block_means, erfc
 from tidegauge.operators.returns import finite
@@ -18,7 +19,7 @@ BUCKET = 1 << 16
 LEAST_BLOCKS, LEAST_DISTINCT = 4.0, 20
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def erfc_udf(x: pd.Series) -> pd.Series:
     return pd.Series(erfc(x.to_numpy(dtype=float)))
 
@@ -153,7 +154,7 @@ def bootstrap_mean(values: DataFrame, blocks: DataFrame, resamples: int = 1000,
     joined = design.join(drawn, "series", "left")
     return joined.select(
         "series", F.col("n").alias("nominal_observations"), "block_length", "design.effective_blocks", "mean", F.col("low").alias("confidence_interval_low"), F.col("high").alias("confidence_interval_high"),
-        F.col("positive").alias("positive_one_sided_p_value"), F.col("negative").alias("negative_one_sided_p_value"), F.least(F.lit(1.0), 2 * F.least("positive", "negative")).alias("two_sided_p_value"),
+        F.col("positive").alias("positive_one_sided_p_value"), F.col("negative").alias("negative_one_sided_p_value"), F.when(F.col("positive").isNotNull(), F.least(F.lit(1.0), 2 * F.least("positive", "negative"))).alias("two_sided_p_value"),
         F.concat("reasons", F.coalesce("own_reasons", F.array().cast("array<string>"))).alias("unavailable_reasons"),
     ).withColumn("available", F.size("unavailable_reasons") == 0)
 

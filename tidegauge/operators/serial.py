@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.numeric import TINY, UNIT, chi_square_survival, partial_autocorrelations
 from tidegauge.operators.inference import erfc_udf, lag_products, moments
@@ -16,7 +18,7 @@ from tidegauge.operators.returns import nonfinite_series
 BAND = 1.959963984540054
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_udf(statistic: pd.Series, degrees: pd.Series) -> pd.Series:
     return pd.Series([chi_square_survival(float(s), int(d)) if pd.notna(s) and pd.notna(d) and d > 0 else None for s, d in zip(statistic, degrees, strict=True)], dtype="float64")
 
@@ -52,7 +54,7 @@ def partial_autocorrelation_rows(values: DataFrame, max_lag: int = 20) -> DataFr
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         got = partial_autocorrelations(rows.sort_values("idx")["value"].to_numpy(), max_lag)
-        return pd.DataFrame({"series": [rows["series"].iloc[0]] * len(got), "lag": range(1, len(got) + 1), "pacf": pd.Series(got, dtype="float64")})
+        return pd.DataFrame({"series": rows["series"].iloc[0], "lag": np.arange(1, len(got) + 1), "pacf": np.array(got, dtype=float)})
 
     return values.select("series", "idx", "value").groupBy("series").applyInPandas(run, f"series {kind}, lag long, pacf double")
 
