@@ -24,7 +24,6 @@ neither read nor returned.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -57,7 +56,7 @@ class WordIds:
 
         self.library, self.merger = Tokenizer.from_file(path), Merger(path)
         self.find, self.plain = regex.compile(WORD).findall, regex.compile(r"[\x21-\x7e¡-ɏ]*").fullmatch
-        self.special = self.merger.special
+        self.special = regex.compile("|".join(map(regex.escape, self.merger.special)) or r"(?!)").search
         self.memo: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -66,7 +65,8 @@ class WordIds:
             if len(memo) > REMEMBERED:
                 memo.clear()
         new = unknown(lists, self.memo)
-        cut = {w: self.find("".join(c.lower() for c in w)) for w in new if self.plain(w) and not any(s in w for s in self.special)}
+        # In this range lower case does not depend on the letters around.
+        cut = {w: self.find(w.lower()) for w in new if self.plain(w) and not self.special(w)}
         if parts := unknown(cut.values(), self.parts):
             ids, size = self.merger.merge([p.encode() for p in parts])
             raw, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(size)).tolist()
