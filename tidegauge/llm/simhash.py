@@ -160,7 +160,9 @@ def _linked(fps: DataFrame, radius: int, at_once: int) -> DataFrame:
     roots = of.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("component_first"))
     linked = of.select("fp", "root").join(roots, "root").drop("root")
     joined = distinct.join(linked, "fp", "left")
-    return joined.select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component_first", "first").alias("first"))
+    # Written, so that the join with the rows stands on its own and Spark can split a
+    # fingerprint that very many rows share.
+    return stash(joined.select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component_first", "first").alias("first")), "linked")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, at_once: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
