@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def recorded(made: list[str]) -> Iterator[None]:
+    """Adds the paths that ``stash`` writes meanwhile to ``made``."""
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+
+
+def drop(spark: SparkSession, made: list[str]) -> None:
+    """Deletes tables that ``stash`` wrote, once nothing reads them any more."""
+    while made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -29,6 +52,8 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tidegauge/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
