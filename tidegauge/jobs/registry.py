@@ -318,6 +318,17 @@ ORACLE_SQL = {
         y as (select scenario, count(distinct (user_id, day)) as fit_count, count(*) filter (status <> 'UNRESOLVED') as training_rows, count(*) filter (status = 'RESOLVED_MARKET') as market_training_rows, count(*) filter (status = 'UNRESOLVED') as unknown_labels,
         count(*) filter (status <> 'UNRESOLVED' and available_at >= day + interval 12 hour) as unobservable_labels, count(*) filter (status <> 'UNRESOLVED' and role = '') as no_role from x group by scenario)
         select scenario, fit_count, training_rows, market_training_rows, unknown_labels, unobservable_labels, concat_ws(',', case when unknown_labels > 0 then 'fit_consumed_unknown_label' end, case when unobservable_labels > 0 then 'fit_consumed_unobservable_label' end, case when no_role > 0 then 'missing_training_role' end) as codes from y""",
+    "readiness": f"""with {inputs.LABELS}, a as (select scenario, count(*) filter (status = 'RESOLVED_MARKET') as resolved_market, count(*) filter (status = 'RESOLVED_CASH') as resolved_cash, count(*) filter (status = 'RESOLVED_CASH' and value <> 0) as odd from l group by scenario),
+        x as (select l.*, e.ts::date as day from events e join l on l.label_id = e.event_id::varchar),
+        f as (select scenario, count(*) filter (status <> 'UNRESOLVED') as training_rows, count(*) filter (status = 'RESOLVED_MARKET') as market, count(*) filter (status = 'UNRESOLVED') as unknown, count(*) filter (status <> 'UNRESOLVED' and available_at >= day + interval 12 hour) as leaks,
+            count(*) filter (status <> 'UNRESOLVED' and role = '') as no_role, count(*) filter (status <> 'UNRESOLVED' and role = 'action') as action from x group by scenario),
+        g as (select 's' || user_id % 2 as scenario, count(*) as account_rows, count(*) filter (event_type = 'error') as bad from events group by 1),
+        j as (select a.*, f.* exclude (scenario), coalesce(account_rows, 0) as account_rows, coalesce(bad, 0) as bad from a join f using (scenario) left join g using (scenario)),
+        c as (select scenario, unnest([case when odd > 0 then 'resolved_cash_not_zero' end, case when resolved_market + resolved_cash < 10 then 'insufficient_resolved_replay_evidence' end, 'insufficient_resolved_market_evidence', case when unknown > 0 then 'fit_consumed_unknown_label' end,
+            case when leaks > 0 then 'fit_consumed_unobservable_label' end, case when no_role > 0 then 'missing_training_role' end, case when bad > 0 then 'account_balance_mismatch' end, case when account_rows = 0 then 'empty_account_evidence' end,
+            case when scenario <> 's3' and market = 0 then 'no_effective_learning' end, case when scenario <> 's3' and action = 0 then 'no_training_support_for_role:action' end, case when scenario <> 's3' then 'no_training_support_for_role:hold' end]) as code from j)
+        select scenario, any_value(resolved_market) as resolved_market, any_value(training_rows) as training_rows, any_value(account_rows) as account_rows, false as ready, string_agg(scenario || ':' || code, ',' order by scenario || ':' || code) as blockers
+        from j join c using (scenario) group by scenario""",
     "scenario_maturity": """with a as (select user_id, event_type, count(*) as n, count(*) filter (event_id % 97 <> 0) as m from events group by all), b as (select user_id, max(m) as any_left, bool_or(n <> m) as off from a group by user_id)
         select 'u' || user_id || ':maturity_reference_mismatch' as blocker from b where off union select 'scenario_coverage_mismatch' from b where any_left = 0""",
     "ledger_audit": """with x as (select 'u' || user_id as scenario, event_id, date_trunc('second', ts) as clock, event_type from events), y as (select *, lag(clock) over (partition by scenario order by event_id) as before from x)
