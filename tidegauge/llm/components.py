@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = stars.union(stars.select("b", "a"))
         large = _least(both).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        down = _least(large.distinct())  # here every b is smaller than its a
+        down = _least(stash(large.distinct(), "large-stars"))  # here every b is smaller than its a
         small = down.select("b", "least").union(down.select("a", "least")).toDF("a", "b").where("a <> b").distinct()
         stars = stash(small, "stars")
         now = stars.select(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))).first()
