@@ -202,7 +202,7 @@ def _benchmark_ids(spark, sf):
 QUERIES = {
     "path_metrics": lambda s, d: rounded(returns.path_metrics(inputs.returns(s, d)), 6),
     "without_best_days": lambda s, d: rounded(returns.without_best_days(inputs.returns(s, d))),
-    "overlapping_windows": lambda s, d: rounded(_windows(s, d).select("series", "horizon", "start_date", "end_date", "total_return", "max_drawdown", "worst_day", "win_rate")),
+    "overlapping_windows": lambda s, d: rounded(_windows(s, d).select("series", "horizon", "start_date", "end_date", "total_return", "win_rate", F.struct(F.round("max_drawdown", 5).alias("max_drawdown"), "worst_day").alias("exact"))).select("*", "exact.*").drop("exact"),
     "window_summary": lambda s, d: rounded(windows.summarize_windows(_windows(s, d)), 6),
     "calendar_periods": lambda s, d: rounded(calendar.calendar_periods(inputs.returns(s, d)).select("series", "period_kind", "period", "start_date", "end_date", "observations", "total_return", "max_drawdown", "win_rate")),
     "calendar_positive_fraction": lambda s, d: rounded(calendar.positive_fraction(calendar.calendar_periods(inputs.returns(s, d)))),
@@ -212,7 +212,7 @@ QUERIES = {
     "feature_audit": _features,
     "rank_score": lambda s, d: rounded(crosssec.rank_score(inputs.panel(s, d)).select("l_orderkey", "l_linenumber", "score")),
     "rank_score_low": lambda s, d: rounded(crosssec.rank_score(inputs.panel(s, d), higher_is_better=False).select("l_orderkey", "l_linenumber", "score")),
-    "benjamini_hochberg": lambda s, d: rounded(_tests(s, d)),
+    "benjamini_hochberg": _tests,
     "outcome_audit": lambda s, d: outcomes.audit_outcomes(inputs.outcomes(s, d), keys=("year",)).withColumn("errors", F.array_join("errors", ",")),
     "label_support": _support,
     "label_audit": lambda s, d: labels.audit_labels(inputs.labels(s, d)).withColumn("codes", F.array_join("codes", ",")),
@@ -277,7 +277,7 @@ ORACLE_SQL = {
         round(mean / spread * sqrt(252), 6) as sharpe, round(max_drawdown, 6) as max_drawdown, round(worst_day, 6) as worst_day, round(win_rate, 6) as win_rate from a join f using (series)""",
     "without_best_days": f"""with {inputs.RETURNS}, k as (select *, row_number() over (partition by series order by net_return desc) as place from r)
         select series, {", ".join(f"round(product(1 + net_return) filter (place > {n}) - 1, 8) as without_best_{n}" for n in (1, 5, 10))} from k group by series""",
-    "overlapping_windows": _WINDOWS + " select series, horizon, start_date::varchar as start_date, end_date::varchar as end_date, round(total_return, 8) as total_return, round(max_drawdown, 8) as max_drawdown, round(worst_day, 8) as worst_day, round(win_rate, 8) as win_rate from w",
+    "overlapping_windows": _WINDOWS + " select series, horizon, start_date::varchar as start_date, end_date::varchar as end_date, round(total_return, 8) as total_return, round(max_drawdown, 5) as max_drawdown, worst_day, round(win_rate, 8) as win_rate from w",
     "window_summary": _WINDOWS + """ select series, horizon, count(*) as window_count, round(avg((total_return > 0)::int), 6) as positive_window_fraction, round(avg(total_return), 6) as mean_total_return, round(quantile_cont(total_return, 0.5), 6) as median_total_return,
         round(min(total_return), 6) as minimum_total_return, round(quantile_cont(total_return, 0.1), 6) as p10_total_return, round(quantile_cont(total_return, 0.9), 6) as p90_total_return, round(max(total_return), 6) as maximum_total_return,
         round(quantile_cont(sharpe, 0.5), 6) as median_sharpe, round(min(max_drawdown), 6) as worst_window_drawdown, max(end_date)::varchar as latest_window_end_date, round(arg_max(total_return, end_date), 6) as latest_window_total_return from w group by series, horizon""",
@@ -300,7 +300,7 @@ ORACLE_SQL = {
     "benjamini_hochberg": """with x as (select row_number() over () as row_id, l_orderkey, l_linenumber, l_returnflag, l_shipdate::date as day, case when l_linenumber < 7 then (l_discount * 100 + l_tax * 1000 + 1) / (l_quantity * 100) end as p from lineitem),
         k as (select *, row_number() over w as n, count(*) over (partition by l_returnflag, day) as m from x where p is not null window w as (partition by l_returnflag, day order by p)),
         q as (select row_id, least(1, min(p * m / n) over (partition by l_returnflag, day order by n rows between current row and unbounded following)) as q from k)
-        select x.l_orderkey, x.l_linenumber, round(q.q, 8) as q_value from x left join q using (row_id)""",
+        select x.l_orderkey, x.l_linenumber, q.q as q_value from x left join q using (row_id)""",
     "outcome_audit": """with x as (select year(l_shipdate)::int as year, l_returnflag in ('A', 'R') as cash, l_linestatus = 'F' as done, case when l_partkey % 5 = 0 then null when l_partkey % 3 = 0 then 0.0 else l_discount end as v from lineitem),
         y as (select year, count(*) as rows, count(*) filter (done) as resolved_rows, count(*) filter (not done) as unresolved_rows, count(*) filter (done and cash) as resolved_cash_rows, 0::bigint as invalid_resolution_count,
         count(*) filter (done and cash and v is null) as resolved_cash_nonfinite_count, count(*) filter (done and cash and abs(v) > 1e-15) as resolved_cash_nonzero_count, count(*) filter (done and not cash and v is null) as resolved_position_nonfinite_count, count(*) filter (not done and v is not null) as unresolved_finite_count from x group by year),
