@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, line_dedup, simhash
+from tidegauge.llm import exact_dedup, line_dedup, resemblance, simhash
 from tidegauge.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -139,3 +139,38 @@ def test_line_dedup(spark):
     assert got[7].text == "" and got[None].text == "" and got[5].text == "" and got[6].text == "" and got[9].text == line("z")
     assert len(got[8].deleted) == 1 or got[8].text == ""
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_resemblance(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(300)], k=r.choice([0, 1, 3, 5, 6, 8, 9, 12, 20, 60, 200]))) for _ in range(60)]
+    for t in texts[:]:
+        for _ in range(4):  # near copies from one changed word to a tenth of all
+            w = t.split()
+            for _ in range(r.randint(1, max(1, len(w) // 30))):
+                k = r.randrange(len(w) + 1)
+                w[k : k + r.randint(0, 1)] = [f"w{r.randrange(300)}"]
+            texts.append(" ".join(w))
+    rows = [*enumerate(texts), (None, texts[3].upper()), (990, None), (991, " \t")]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, group, apart = [grams(t) for _, t in rows], list(range(len(rows))), 0
+    fps = simhash.fingerprints([t or "" for _, t in rows], 4)
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                apart += int(np.bitwise_count(fps[i] ^ fps[j])) > 4
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+                assert set(resemblance.keys(resemblance.shingles(rows[i][1] or ""))) & set(resemblance.keys(resemblance.shingles(rows[j][1] or "")))
+    assert apart > 20
+    least = {}
+    for g, (i, _) in zip(group, rows, strict=True):
+        least[g] = min(least.get(g, i), i, key=lambda x: (x is None, x))
+    df = docs(spark, rows)
+    kept = resemblance.keep_one(df.repartition(3))
+    assert kept.dtypes == df.dtypes and sorted(x.doc_id for x in kept.collect()) == sorted(least.values())
+    assert resemblance.keep_one(df.limit(0)).count() == 0
