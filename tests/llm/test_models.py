@@ -57,6 +57,16 @@ def test_scores_by_definition(spark, strength):
     assert language_model.score(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_scores_take_trigrams(spark):
+    """Without other pseudo-counts a history of two tokens counts too."""
+    found = lambda **k: {r.doc_id: r.score for r in language_model.score(frame(spark, prose(80)), **k).collect()}
+    got = found()
+    assert got == found(strength=(3000.0, 5.0)) and got != found(strength=(3000.0,))
+    numbers = np.array([0, 1, 255, 1 << 40, (1 << 64) - 1], np.uint64)
+    for part in (numbers, numbers[:0]):
+        assert (language_model.stretched(language_model.squeezed(part)) == part).all()
+
+
 def test_segments_by_definition():
     """All maximal segments: found again by splitting at the best one."""
     r = random.Random(5)

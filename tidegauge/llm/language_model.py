@@ -38,7 +38,7 @@ from tidegauge.llm.shared import id_remainder, partitions, text_of
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 8 << 20
 #: Pseudo-counts m of histories of one token, of two tokens, ...: as many as the order has.
-STRENGTH = (300.0,)
+STRENGTH = (3000.0, 5.0)
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 SENT = "shard int, block int, single binary, single_n binary, longer binary, longer_n binary"
 ANSWERED = "shard int, block int, single_n binary, longer_n binary, tokens long, types long"
@@ -54,12 +54,14 @@ def mixed(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers with all first bytes first, so that zeros lie together and compress."""
-    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Unsigned 64-bit numbers, compressed with all first bytes first; before them how many."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(numbers).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def stretched(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)
+    planes = pa.decompress(raw[4:], 8 * int.from_bytes(raw[:4], "little"), "zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)
 
 
 def packed(keys: np.ndarray) -> bytes:
