@@ -67,6 +67,16 @@ def test_scores_take_trigrams(spark):
         assert (language_model.stretched(language_model.squeezed(part)) == part).all()
 
 
+def test_shards_grow_with_input(spark, monkeypatch):
+    assert language_model.shards_of(30 << 30, 12) == 1920 and language_model.shards_of(0, 12) == 12
+    asked, sender = [], language_model.sender
+    monkeypatch.setattr(language_model, "sender", lambda n, order: asked.append(n) or sender(n, order))
+    monkeypatch.setattr(language_model, "SHARD_BYTES", 500)
+    rows = prose(80)
+    language_model.score(frame(spark, rows))
+    assert asked == [-(-sum(len(t) for _, t in rows) // 500)] and asked[0] > 8
+
+
 def test_segments_by_definition():
     """All maximal segments: found again by splitting at the best one."""
     r = random.Random(5)

@@ -37,6 +37,8 @@ from tidegauge.llm.shared import id_remainder, partitions, text_of
 
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text for each shard that adds up n-grams: its keys of all blocks are held at once.
+SHARD_BYTES = 16 << 20
 #: Pseudo-counts m of histories of one token, of two tokens, ...: as many as the order has.
 STRENGTH = (3000.0, 5.0)
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
@@ -203,6 +205,11 @@ def scorer(strength: tuple[float, ...]):
     return run
 
 
+def shards_of(size: int, least: int) -> int:
+    """How many shards add up the n-grams of ``size`` bytes of text."""
+    return max(least, math.ceil(size / SHARD_BYTES))
+
+
 def score(docs: DataFrame, held_out=None, strength: tuple[float, ...] = STRENGTH, block_bytes: int = BLOCK_BYTES, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
@@ -215,6 +222,6 @@ def score(docs: DataFrame, held_out=None, strength: tuple[float, ...] = STRENGTH
     size = plain.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    sent = dealt.groupBy("block").applyInArrow(sender(2 * partitions(spark), len(strength) + 1), SENT)
+    sent = dealt.groupBy("block").applyInArrow(sender(shards_of(size, 2 * partitions(spark)), len(strength) + 1), SENT)
     answers = sent.groupBy("shard").applyInArrow(adder, ANSWERED)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scorer(tuple(strength)), SCORED)
