@@ -141,6 +141,14 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_common_lines(spark):
+    """A block whose lines all stand singly in many earlier documents."""
+    lines = [f"line {k} of the block" for k in range(10)]
+    rows = [(i, f"{lines[i % 10]}\nonly {i}") for i in range(700)] + [(1000 + i, "\n".join([f"before {i}", *lines, f"after {i}"])) for i in range(2)]
+    got = {r.row.doc_id: r.deleted for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got.pop(1001) == list(range(1, 11)) and not any(got.values())
+
+
 def test_resemblance(spark):
     r = random.Random(8)
     texts = [" ".join(r.choices([f"w{i}" for i in range(300)], k=r.choice([0, 1, 3, 5, 6, 8, 9, 12, 20, 60, 200]))) for _ in range(60)]

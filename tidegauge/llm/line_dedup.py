@@ -1,9 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Lines are known by the hash of their words.  A line that more than one document holds
-links each of them to the earliest holder; a rare line (of at most ``RARE`` holders)
-also links each to the holder just before it, from which it is likelier copied.  So
-the links grow with the lines, never with the square of a line's holders.  Each linked
+Lines are known by the hash of their words.  The shortest run of consecutive lines with
+``least_words`` words, from each line and to each line, links all documents that hold it
+to the earliest of them.  Every line of a block that can go lies in such a run inside the
+block, so some partner holds it; and the links grow with the lines, never with the square
+of a run's holders.  Each linked
 pair is aligned by patience diff: lines that are unique in both and in the same order
 anchor the alignment, which grows over equal neighbours and goes on between anchors.
 Runs of aligned lines with at least ``least_words`` words are deleted from the later
@@ -25,16 +26,13 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.shared import BLANKS, stash, text_of
 
-#: Holders up to which a line is rare.
-RARE = 64
-
-
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest part of pairs (sorted by the first number) in which the second rises."""
     tops: list[int] = []  # smallest last number of a part of each length
@@ -78,6 +76,27 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def runs(words: list[int], least_words: int) -> list[tuple[int, int]]:
+    """Start and end of the shortest runs with enough words from and to each line with words."""
+    at, least, out = [i for i, w in enumerate(words) if w], max(1, least_words), set()
+    total, end = 0, 0
+    for i in at:
+        while end < len(at) and total < least:
+            total, end = total + words[at[end]], end + 1
+        if total < least:
+            break
+        out.add((i, at[end - 1] + 1))
+        total -= words[i]
+    total, start = 0, 0
+    for i in at:
+        total += words[i]
+        while total - words[at[start]] >= least:
+            total, start = total - words[at[start]], start + 1
+        if total >= least:
+            out.add((at[start], i + 1))
+    return sorted(out)
+
+
 def doomed(a: list[int], b: list[int], words: list[int], least_words: int) -> list[int]:
     """Places in b of the aligned runs that have enough words."""
     out, run = [], []
@@ -103,21 +122,29 @@ def _key(text: str, id: str):
     return F.xxhash64(F.col(id).cast("long"), text_of(text)).alias("key")
 
 
-def _pairs(lines: DataFrame, rare: int) -> DataFrame:
-    """(later, earlier) keys of documents that share a line."""
-    each = lines.select("key", "order", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x["sizes"] > 0))).alias("line")).select("key", "order", F.col("line.hashes").alias("hash"))
-    shared = stash(each.groupBy("hash").agg(F.count("*").alias("holders"), F.min("order").alias("first")).where("holders > 1"), "shared-lines")
-    held = each.join(shared.hint("merge"), "hash")
-    to_first = held.where("key <> first.key").select(F.col("key").alias("later"), F.col("first.key").alias("earlier"))
-    before = F.lag("key").over(Window.partitionBy("hash").orderBy("order"))
-    to_last = held.where(F.col("holders") <= rare).select(F.col("key").alias("later"), before.alias("earlier")).where("earlier is not null")
-    return to_first.union(to_last).distinct()
+def _pairs(lines: DataFrame, least_words: int) -> DataFrame:
+    """(later, earlier) keys of documents that share a run of enough words."""
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            found = []
+            for x, w in zip(b.column("hashes").to_pylist(), b.column("sizes").to_pylist(), strict=True):
+                x = np.array(x, np.int64)
+                found.append(np.unique(np.array([xxhash.xxh64_intdigest(x[i:j].tobytes()) for i, j in runs(w, least_words)], np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("order"), pa.array(found, pa.list_(pa.int64()))], names=["key", "order", "runs"])
+
+    each = lines.mapInArrow(run, f"key long, order {lines.schema['order'].dataType.simpleString()}, runs array<long>").select("key", "order", F.explode("runs").alias("hash"))
+    shared = stash(each.groupBy("hash").agg(F.count("*").alias("holders"), F.min("order").alias("first")).where("holders > 1"), "shared-runs")
+    held = each.join(shared.hint("merge"), "hash").where("key <> first.key")
+    return held.select(F.col("key").alias("later"), F.col("first.key").alias("earlier")).distinct()
 
 
-def deletions(docs: DataFrame, least_words: int = 10, rare: int = RARE, text: str = "text", id: str = "doc_id") -> DataFrame:
+def deletions(docs: DataFrame, least_words: int = 10, text: str = "text", id: str = "doc_id") -> DataFrame:
     """key and deleted (sorted places of lines) of each document that loses lines."""
     lines = stash(_lines(docs, text, id), "lines")
-    pairs = _pairs(lines, rare)
+    pairs = _pairs(lines, least_words)
     later = lines.select(F.col("key").alias("later"), F.col("hashes").alias("b"), F.col("sizes").alias("words"))
     earlier = lines.select(F.col("key").alias("earlier"), F.col("hashes").alias("a"))
 
@@ -131,11 +158,11 @@ def deletions(docs: DataFrame, least_words: int = 10, rare: int = RARE, text: st
     return place.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("deleted"))
 
 
-def dedup_lines(docs: DataFrame, least_words: int = 10, rare: int = RARE, text: str = "text", id: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = 10, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Each input row as ``row``, its remaining text, its number of lines and the
     places of the deleted ones."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    gone = stash(deletions(docs, least_words, rare, text, id), "deletions")
+    gone = stash(deletions(docs, least_words, text, id), "deletions")
     joined = docs.select(row, _key(text, id)).join(gone.hint("merge"), "key", "left").withColumn("lines", F.split(text_of(f"row.{text}"), "\n"))
     deleted = F.coalesce("deleted", F.array().cast("array<int>"))
     joined = joined.withColumn("deleted", deleted)
