@@ -149,6 +149,21 @@ def test_line_dedup_common_lines(spark):
     assert got.pop(1001) == list(range(1, 11)) and not any(got.values())
 
 
+def test_passage_standing_twice(spark):
+    assert line_dedup.doomed([1, 2, 3, 4], [5, 2, 3, 6, 2, 3, 7], [6] * 7, 10) == [1, 2, 4, 5]
+    r = random.Random(6)
+    texts = [[r.randrange(9) for _ in range(r.randrange(14))] for _ in range(80)]
+    words = [0, 1, 3, 4, 5, 6, 10, 2, 3]
+    rows = [(i, "\n".join(" ".join([f"v{n}"] * words[n]) for n in t)) for i, t in enumerate(texts)]
+    got = {x.row.doc_id: x.deleted for x in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    for n, b in enumerate(texts):
+        want = set()
+        for a in texts[:n]:
+            blocks = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1) if sum(words[x] for x in a[i:j]) >= 10}
+            want |= {k for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in blocks for k in range(i, j) if words[b[k]]}
+        assert {k for k in got[n] if words[b[k]]} == want
+
+
 def test_resemblance(spark):
     r = random.Random(8)
     texts = [" ".join(r.choices([f"w{i}" for i in range(300)], k=r.choice([0, 1, 3, 5, 6, 8, 9, 12, 20, 60, 200]))) for _ in range(60)]

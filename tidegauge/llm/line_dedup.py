@@ -8,7 +8,9 @@ of a run's holders.  Each linked
 pair is aligned by patience diff: lines that are unique in both and in the same order
 anchor the alignment, which grows over equal neighbours and goes on between anchors.
 Runs of aligned lines with at least ``least_words`` words are deleted from the later
-document of the pair; what several pairs delete is joined.
+document of the pair.  An alignment finds no passage without unique lines and none out of
+order, and only one place of a passage; so each place of the later document whose run of
+enough words stands anywhere in the earlier one goes too.  What several pairs delete is joined.
 
 Only hashes of lines are exchanged until the end, when each text meets its deletions.
 What it is joined with grows with the documents, so the joins are by sorting at any size.
@@ -97,16 +99,26 @@ def runs(words: list[int], least_words: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common(a: list[int], b: list[int], words: list[int], least_words: int) -> set[int]:
+    """Places in b in runs of enough words that stand in a."""
+    size, held, start = dict(zip(b, words, strict=True)), set(), 0
+    for end in [*(i for i, x in enumerate(a) if x not in size), len(a)]:
+        part = a[start:end]
+        held.update(tuple(part[i:j]) for i, j in runs([size[x] for x in part], least_words))
+        start = end + 1
+    return {k for i, j in runs(words, least_words) if tuple(b[i:j]) in held for k in range(i, j)}
+
+
 def doomed(a: list[int], b: list[int], words: list[int], least_words: int) -> list[int]:
-    """Places in b of the aligned runs that have enough words."""
-    out, run = [], []
+    """Places in b of the aligned or common runs that have enough words."""
+    out, run = common(a, b, words, least_words), []
     for i, j in [*patience(a, b), (-2, -2)]:
         if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
             if sum(words[m] for _, m in run) >= least_words:
-                out += [m for _, m in run]
+                out.update(m for _, m in run)
             run = []
         run.append((i, j))
-    return out
+    return sorted(out)
 
 
 def _lines(docs: DataFrame, text: str, id: str) -> DataFrame:
