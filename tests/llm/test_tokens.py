@@ -1,6 +1,7 @@
 """Token counts, packing and mixing."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -156,3 +157,29 @@ def test_stream_of_the_mix(spark):
     assert words == mixing.assign(df).agg(F.sum("taken")).first()[0]
     at = [r.position for r in mixing.training_order(mixing.assign(df)).collect()]
     assert at == sorted(at)
+
+
+def test_long_words(spark):
+    """A megabyte without a space, rows that repeat and null ids."""
+    r, began = random.Random(9), time.monotonic()
+    long = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    some = spark.createDataFrame([(1, long), (1, long[:700]), (1, long[:700]), (None, "twice twice"), (None, "ab" * 3000)], "doc_id long, text string").coalesce(1)
+    for name, run in (("byte_bpe_50k.json", token_counts.count_tokens), ("word_bpe_49k.json", packing.pack)):
+        path = public_tokenizers.path(name)
+        library, got = Tokenizer.from_file(path), run(some, path).toPandas()
+        want = [len(library.encode(t, add_special_tokens=False).ids) for t in (long, long[:700], long[:700], "twice twice", "ab" * 3000)]
+        if run is packing.pack:
+            assert got["length"].sum() == sum(want) + 5 and got["doc_id"].isna().sum() == 1 + -(-(want[4] + 1) // 2048)
+        else:
+            assert sorted(got["n_tokens"]) == sorted(want) and got["doc_id"].isna().sum() == 2
+    assert time.monotonic() - began < 60
+
+
+def test_words_by_hash():
+    r = random.Random(10)
+    words = ["".join(r.choices("abc", k=r.randint(1, 6))).encode() for _ in range(5000)]
+    lines = b" ".join(words)
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    start = np.append(0, end[:-1] + 1)
+    first, kind = packing.grouped(np.frombuffer(lines, np.uint8), start, end)
+    assert [words[i] for i in first[kind]] == words and len(first) == len(set(words))

@@ -4,18 +4,23 @@ All pre-tokens of a batch lie behind one another in one array of symbols.  In ea
 round every sequence finds the lowest rank among its neighbouring pairs and merges
 all its occurrences of that pair, left to right; sequences without a known pair
 leave the array.  The number of rounds is that of the longest merge history in the
-batch, not of the merges.
+batch, not of the merges.  A sequence of more than ``LONG`` symbols merges in the same
+rounds on its own: its pairs wait by rank, and a round touches only the places of its
+rank and their neighbours, so a text without spaces costs no more than its merges.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator, Sequence
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
+#: Symbols of a sequence that merges on its own.
+LONG = 512
 #: Odd multiplier of Fibonacci hashing.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,6 +33,18 @@ def byte_letters() -> list[str]:
     return [letter[b] for b in range(256)]
 
 
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin``, as many as its count, behind one another."""
+    end = np.cumsum(count)
+    return np.repeat(begin - (end - count), count) + np.arange(end[-1] if len(end) else 0)
+
+
+def every_second(touching: np.ndarray) -> np.ndarray:
+    """Which places merge where some touch the one before: of each chain every second one."""
+    at = np.arange(len(touching))
+    return (at - np.maximum.accumulate(np.where(touching, 0, at))) % 2 == 0
+
+
 class PairTable:
     """Rank and result of each pair of symbols, in an open-addressed table."""
 
@@ -96,6 +113,13 @@ class Merger:
         seq = np.repeat(np.arange(len(words)), size)
         length = np.zeros(len(words), np.int64)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(long := np.flatnonzero(size > LONG)):
+            for n in long.tolist():
+                ids = self._alone(sym[ends[n] - size[n] : ends[n]])
+                done.append((np.full(len(ids), n), ids))
+                length[n] = len(ids)
+            short = (size <= LONG)[seq]
+            sym, seq = sym[short], seq[short]
         while len(sym):
             start = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             many = np.diff(np.r_[start, len(sym)])
@@ -110,9 +134,7 @@ class Merger:
             at = np.flatnonzero((rank == np.repeat(least, many)) & ~over)
             if len(at):
                 # Of touching occurrences (equal symbols in a row) every second one merges.
-                head = np.r_[True, np.diff(at) != 1]
-                place = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-                at = at[place % 2 == 0]
+                at = at[every_second(np.r_[False, np.diff(at) == 1])]
                 sym[at] = self.table.made[rank[at]]
             keep = ~over
             keep[at + 1] = False
@@ -122,6 +144,67 @@ class Merger:
         where, ids = np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
         return ids[np.argsort(where, kind="stable")], length
 
+    def _alone(self, sym: np.ndarray) -> np.ndarray:
+        """The ids that one long sequence leaves."""
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        now = np.append(self.table.rank(sym[:-1], sym[1:]), NONE)  # rank of the pair that begins here
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[now[places] != NONE]
+            places = places[np.argsort(now[places], kind="stable")]
+            for part in np.split(places, np.flatnonzero(np.diff(now[places])) + 1) if len(places) else ():
+                rank = int(now[part[0]])
+                if rank not in waiting:
+                    heappush(ranks, rank)
+                waiting.setdefault(rank, []).append(part)
+
+        wait(np.arange(n))
+        while ranks:
+            rank = heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[now[at] == rank]
+            if not len(at):
+                continue
+            at = at[every_second(np.r_[False, after[at[:-1]] == at[1:]])]
+            gone = after[at]
+            sym[at], now[gone], alive[gone] = self.table.made[rank], NONE, False
+            after[at] = after[gone]
+            followed = at[after[at] < n]
+            before[after[followed]] = followed
+            touched = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+            right = after[touched]
+            now[touched] = np.where(right < n, self.table.rank(sym[touched], sym[np.minimum(right, n - 1)]), NONE)
+            wait(touched)
+        return sym[alive]
+
+
+class Ragged:
+    """A growing table of rows of ids."""
+
+    def __init__(self):
+        self.ids, self.begin, self.count = np.empty(1 << 16, np.int32), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.n_ids = self.rows = 0
+
+    def add(self, ids: np.ndarray, count: np.ndarray) -> None:
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.rows + len(count) > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.count))
+        end = self.rows + len(count)
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.count[self.rows : end] = count
+        self.begin[self.rows : end] = self.n_ids + np.cumsum(count) - count
+        self.n_ids, self.rows = self.n_ids + len(ids), end
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows behind one another, and each row's number of ids."""
+        count = self.count[rows]
+        return self.ids[spread(self.begin[rows], count)], count
+
 
 def spans(text: str, size: int = 1 << 20) -> Iterator[str]:
     """Pieces of a long text, cut only before a single space between two words.

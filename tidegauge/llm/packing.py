@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +35,64 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.bpe import Merger, spans, unknown
+from tidegauge.llm.bpe import Merger, Ragged, spans, spread, unknown
 from tidegauge.llm.shared import stash, text_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
-#: Characters tokenised at a time, and words remembered by a task.
-BLOCK, REMEMBERED = 1 << 21, 1 << 20
+#: Characters tokenised at a time, and words remembered by a Python worker.
+BLOCK, REMEMBERED = 1 << 21, 1 << 19
+#: Bases of the polynomial hashes of words.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Pre-tokens of the word vocabulary (a fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class Powers:
+    """The powers of a base and of its inverse, mod 2^64, from two small tables of each."""
+
+    def __init__(self, base: int, low: int = 1 << 11):
+        self.low, self.tables = low, []
+        for b in (base, pow(base, -1, 1 << 64)):
+            self.tables.append([np.array([pow(b, i * step, 1 << 64) for i in range(low)], np.uint64) for step in (1, low)])
+
+    def first(self, n: int) -> np.ndarray:
+        """The powers 0 .. n - 1 of the base; ``n`` is at most the square of a table's size."""
+        low, high = self.tables[0]
+        return (high[: -(-n // self.low), None] * low).reshape(-1)[:n]
+
+    def inverse(self, at: np.ndarray) -> np.ndarray:
+        low, high = self.tables[1]
+        return low[at % self.low] * high[at // self.low]
+
+
+@lru_cache(maxsize=8)
+def powers(base: int, low: int) -> Powers:
+    return Powers(base, low)
+
+
+def grouped(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One word of each kind among ``raw[start:end]``, and the kind of each word.
+
+    Words are told apart by two polynomial hashes of 64 bits, taken from running sums.
+    """
+    kinds = []
+    for base in BASES:
+        table = powers(base, 1 << max(11, -(-len(raw).bit_length() // 2)))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * table.first(len(raw)), out=sums[1:])
+        kinds.append((sums[end] - sums[start]) * table.inverse(start))
+    _, first, kind = np.unique(kinds[0], return_index=True, return_inverse=True)
+    if not (kinds[1][first][kind] == kinds[1]).all():
+        _, first, kind = np.unique(np.stack(kinds, axis=1), axis=0, return_index=True, return_inverse=True)
+    return first, kind
+
+
 class WordIds:
-    """Ids of words between spaces, as bytes of little-endian 32-bit numbers.
+    """Ids of words between spaces, remembered as rows of a ragged table.
 
-    Words of plain Latin letters go through the ragged merger; any others, where
-    normal forms or character classes matter, through the tokenizers library.
+    Words of plain Latin letters go through the ragged merger, all new ones of a block
+    together; any others, where normal forms or character classes matter, through the
+    tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -55,64 +100,106 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library, self.merger = Tokenizer.from_file(path), Merger(path)
-        self.find, self.plain = regex.compile(WORD).findall, regex.compile(r"[\x21-\x7e¡-ɏ]*").fullmatch
+        self.find, self.odd = regex.compile(WORD + r"|\n").findall, regex.compile(r"[^\n]*[^\x21-\x7e¡-ɏ\n][^\n]*").findall
         self.special = regex.compile("|".join(map(regex.escape, self.merger.special)) or r"(?!)").search
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, lists: list[list[str]]) -> None:
-        for memo in (self.memo, self.parts):
-            if len(memo) > REMEMBERED:
-                memo.clear()
-        new = unknown(lists, self.memo)
-        # In this range lower case does not depend on the letters around.
-        cut = {w: self.find(w.lower()) for w in new if self.plain(w) and not self.special(w)}
-        if parts := unknown(cut.values(), self.parts):
-            ids, size = self.merger.merge([p.encode() for p in parts])
-            raw, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(size)).tolist()
-            self.parts.update((p, raw[a:b]) for p, a, b in zip(parts, [0, *end[:-1]], end, strict=True))
-        self.memo.update((w, b"".join([self.parts[p] for p in c])) for w, c in cut.items())
-        rest = [w for w in new if w not in cut]
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the break of a line is known: as a part it has no ids, as a word it ends a document."""
+        self.parts, self.part_ids, self.words, self.word_ids = {"\n": 0}, Ragged(), {b"\n": 0}, Ragged()
+        self.part_ids.add(np.empty(0, np.int32), np.zeros(1, np.int64))
+        self.word_ids.add(np.zeros(1, np.int32), np.ones(1, np.int64))
+
+    def learn(self, words: list[bytes]) -> None:
+        if len(self.words) > REMEMBERED or len(self.parts) > REMEMBERED:
+            self.forget()
+        lines = b"\n".join([w for w in words if w not in self.words]).decode()
+        if not lines:
+            return
+        new, odd = lines.split("\n"), set(self.odd(lines))
+        if self.special(lines):
+            odd.update(w for w in new if self.special(w))
+        if plain := [w for w in new if w not in odd] if odd else new:
+            # In this range lower case does not depend on the letters around.
+            cut = self.find("\n".join(plain).lower())
+            if parts := unknown([cut], self.parts):
+                self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts)), strict=True))
+                self.part_ids.add(*self.merger.merge([p.encode() for p in parts]))
+            rows = np.fromiter(map(self.parts.__getitem__, cut), np.int64, len(cut))
+            ids, count = self.part_ids.take(rows)
+            self.keep(plain, ids, np.bincount(np.cumsum(rows == 0), weights=count, minlength=len(plain)).astype(np.int64))
+        rest = list(odd)
         for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            for w, e in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-
-    def of(self, words: list[str]) -> bytes:
-        return b"".join(map(self.memo.__getitem__, words))
+            some = [e.ids for e in self.library.encode_batch(rest[at : at + 4096], add_special_tokens=False)]
+            self.keep(rest[at : at + 4096], np.fromiter(chain.from_iterable(some), np.int32), np.fromiter(map(len, some), np.int64))
+
+    def keep(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        self.words.update(zip(map(str.encode, words), range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.word_ids.add(ids, count)
+
+    def of(self, lines: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words between spaces, and how many each line has; a break between
+        spaces ends a line and is the id 0."""
+        raw = np.frombuffer(lines, np.uint8)
+        space = np.flatnonzero(raw == 0x20)
+        start, end = np.append(0, space + 1), np.append(space, len(raw))
+        some = end > start
+        start, end = start[some], end[some]
+        first, kind = grouped(raw, start, end)
+        words = [lines[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        self.learn(words)
+        rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))[kind]
+        ids, count = self.word_ids.take(rows)
+        line = np.cumsum(rows == 0) - (rows == 0)
+        return ids, np.bincount(line, weights=count).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, which Spark uses for many tasks."""
+    return WordIds(path)
+
+
+def flush(words: WordIds, row: int, held: list[str], found: list[np.ndarray], total: np.ndarray) -> int:
+    """Adds what is held, from ``row`` on, to the batch; returns the row that is open."""
+    ids, count = words.of(" ".join(held).encode())
+    found.append(ids)
+    total[row : row + len(count)] += count
+    return row + held.count("\n")
 
 
 def cutter(path: str, capacity: int):
     def run(batches):
-        pid, seen, words = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), WordIds(path)
+        pid, seen, words = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), word_ids(path)
         for b in batches:
-            found: list[list[bytes]] = [[] for _ in range(b.num_rows)]
-            held, size = [], 0
-
-            def flush():
-                words.learn([w for _, w in held])  # noqa: B023
-                for row, w in held:  # noqa: B023
-                    found[row].append(words.of(w))  # noqa: B023
-
-            for row, value in enumerate(b.column("text")):
+            if not b.num_rows:
+                continue
+            found, total = [], np.zeros(b.num_rows, np.int64)
+            row, held, size = 0, [], 0  # the first row held, which may have begun before
+            for value in b.column("text"):
                 for span in spans(value.as_py()):
-                    held.append((row, span.replace("\n", " ").split(" ")))
+                    held.append(span.replace("\n", " "))
                     size += len(span)
                     if size >= BLOCK:
-                        flush()
+                        row = flush(words, row, held, found, total)
                         held, size = [], 0
-            flush()
-            rows = []
-            for id_, ids in zip(b.column("doc_id").to_pylist(), found, strict=True):
-                raw = b"".join([*ids, bytes(4)])
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((id_, piece, at // 4, n, zlib.crc32(part), pid, int(seen[n])))
-                    seen[n] += 1
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in PIECE.split(", ")])
+                held.append("\n")
+            flush(words, row, held, found, total)
+            ids = np.concatenate(found).astype("<u4")
+            many = -(-total // capacity)
+            of = np.repeat(np.arange(b.num_rows), many)
+            piece = spread(np.zeros_like(many), many)
+            start = piece * capacity
+            length = np.minimum(capacity, total[of] - start)
+            raw, at = memoryview(ids).cast("B"), 4 * ((np.cumsum(total) - total)[of] + start)
+            crc = [zlib.crc32(raw[a:e]) for a, e in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            order = np.argsort(length, kind="stable")
+            times = np.bincount(length, minlength=capacity + 1)
+            nth = np.empty_like(length)
+            nth[order] = spread(seen, times)
+            seen += times
+            columns = [b.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(of), pid, np.int32)), pa.array(nth)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PIECE.split(", ")])
 
     return run
 
@@ -253,7 +340,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", i
     # At most a few patterns for each of ``capacity`` lengths: small whatever the input.
     table = spark.createDataFrame(pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("length", "first", "many", "per", "sequence", "at"), list(zip(*place, strict=True)) or [[]] * 6, strict=True)}))
     table = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "many", "per", "sequence", "at"))).alias("places"))
-    numbered = cut.join(each.select("length", "pid", before.alias("before")), ["length", "pid"]).withColumn("number", F.col("before") + F.col("nth"))
+    numbered = cut.join(each.select("length", "pid", before.alias("before")).hint("merge"), ["length", "pid"]).withColumn("number", F.col("before") + F.col("nth"))
     placed = numbered.join(F.broadcast(table), "length").withColumn("place", F.expr("filter(places, p -> number >= p.first and number < p.first + p.many)[0]"))
     within = F.col("number") - F.col("place.first")
     return placed.select(
