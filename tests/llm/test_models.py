@@ -174,3 +174,21 @@ def test_copies_and_ties(spark):
     of = lambda q: got[got.query_id == q].sort_values("rank")["vec_id"].tolist()
     assert of(0) == list(range(1, 21)) and of(40) == list(range(20)) and of(60) == [61, 62, 63, 64, *range(16)] and of(100) == [60, 61, 62, 63, 64, *range(15)]
     assert graph_search.nearest(spark.createDataFrame(rows[:0], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pieces_of_a_text_meet():
+    """A text read in short pieces weighs what it weighs when read as one."""
+    import pyarrow as pa
+
+    texts = [t for _, t in prose(40)] + ["", "one", " ".join(["a b c d"] * 300)]
+    for strength in ((300.0,), (50.0, 5.0)):
+        table = pa.table({"text": texts, "block": [0] * len(texts), "held_out": [i % 3 == 0 for i in range(len(texts))]})
+        answer = language_model.adder(language_model.sender(1, len(strength) + 1)(table))
+        grams = language_model.Grams(texts, len(strength) + 1)
+        single_n = np.empty(len(grams.words))
+        single_n[grams.by_hash] = language_model.stretched(answer.column("single_n")[0].as_py())
+        longer_n = language_model.stretched(answer.column("longer_n")[0].as_py()).astype(float)
+        automaton = language_model.Automaton(grams, single_n, longer_n, answer.column("tokens")[0].as_py(), answer.column("types")[0].as_py(), strength)
+        whole = automaton.read(grams.tokens, grams.first, grams.size, piece=1 << 20)
+        for piece in (1, 3, 128):
+            assert np.allclose(automaton.read(grams.tokens, grams.first, grams.size, piece), whole, atol=1e-12)
