@@ -20,7 +20,7 @@ the order asked.  So only distinct n-grams of a block move, and each block build
 part of the automaton that its texts use.  Counts of words are exact.  N-grams of two and
 three words are known by 56-bit hashes; among n of them a share of about n / 2^56 has
 the hash of another one and shares its count.  Blocks and shards both grow with the
-input, so a message holds fewer n-grams then (some 400 at 30 GB); far beyond that,
+input, so a message holds fewer n-grams then (some 300 at 30 GB); far beyond that,
 ``block_bytes`` should grow with what executors can hold.
 
 Defined cases: a null text is the empty text, which is its end alone; null ids have the
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.shared import id_remainder, partitions, text_of
 
 #: Bytes of text in a block, on average.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text for each shard that adds up n-grams: its keys of all blocks are held at once.
 SHARD_BYTES = 16 << 20
 #: Pseudo-counts m of histories of one token, of two tokens, ...: as many as the order has.
@@ -204,8 +204,10 @@ class Automaton:
             seen = (longer_n[kind] + strength[1] * chance[last]) / (longer_n[history] + strength[1])
             arcs.append((number[history], grams.tokens[place], seen, np.where(grams.tokens[place] > 0, number[last], 0)))
         state, word, chance, to = (np.concatenate(x) for x in zip(*arcs, strict=True))
-        order = np.argsort(state * self.words + word)
-        self.keys = np.append((state * self.words + word)[order], np.iinfo(np.int64).max)
+        del arcs
+        key = state * self.words + word
+        order = np.argsort(key)
+        self.keys = np.append(key[order], np.iinfo(np.int64).max)
         self.weight, self.to = np.log10(chance[order]), to[order]
         self.log_floor = np.log10(self.floor)
 
@@ -232,7 +234,7 @@ class Automaton:
         return weight, next_
 
     def read(self, tokens: np.ndarray, first: np.ndarray, size: np.ndarray, piece: int = 128) -> np.ndarray:
-        """log10 weight of each token, read from left to right."""
+        """log10 weight of each token, read from left to right, in pieces of two tokens or more."""
         many = -(-size // piece)
         part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         lead = np.where(part > 0, 2, 0)
