@@ -3,13 +3,12 @@
 import random
 import re
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from tidegauge.llm import shared, simhash
+from tidegauge.llm import shared
 
 
 @pytest.fixture(scope="module")
@@ -43,18 +42,21 @@ def test_stages(spark, data, tmp_path):
         least[norm(r.text)] = min(r.doc_id, least.get(norm(r.text), r.doc_id))
     assert sorted(r.doc_id for r in kept["exact_dedup"]) == sorted(least.values())
     rows = sorted(kept["exact_dedup"], key=lambda r: r.doc_id)
-    fps = simhash.fingerprints([r.text or "" for r in rows], 4)
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    sets = [grams((r.text or "").lower().split()) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4):
-            a, b = group[i], group[i + 1 + int(j)]
-            group = [min(a, b) if g in (a, b) else g for g in group]
+        for j in range(i + 1, len(rows)):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
     assert sorted(r.doc_id for r in kept["near_dedup"]) == sorted(rows[g].doc_id for g in set(group))
     assert len(kept["near_dedup"]) < len(kept["exact_dedup"])
     size = lambda rows: sum(len((r.text or "").split()) for r in rows)
     assert abs(size(kept["mixing"]) - 1.5 * size(kept["near_dedup"])) <= 5
     assert {r.doc_id for r in kept["mixing"]} <= {r.doc_id for r in kept["near_dedup"]}
     assert sorted(r.doc_id for r in kept["packing"] if r.piece == 0) == sorted(r.doc_id for r in kept["mixing"])
+    assert len({(r.row_id, r.piece) for r in kept["packing"]}) == len(kept["packing"])
     fill = {}
     for r in kept["packing"]:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
@@ -62,7 +64,12 @@ def test_stages(spark, data, tmp_path):
 
 
 def test_run_and_registry(spark, data):
+    import os
+
+    left = lambda: {d for d in os.listdir(f"{shared.checkpoint_root(spark)}/tidegauge")}
+    before = left()
     assert corpus_pipeline.run(spark, data).count() > 100
+    assert [d.split("-")[1] for d in left() - before] == ["packing"]
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert {"pipeline", *(f"op{n}_" for n in range(1, 11))} <= {re.sub(r"(?<=\d_).*", "", q) if q.startswith("op") else q for q in queries} and set(sql) <= set(queries)
 
@@ -76,3 +83,16 @@ def test_tables_go(spark):
     shared.drop(spark, made)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_empty_and_clashing(spark, data, tmp_path):
+    """Stages take empty tables and columns named like their own."""
+    names = ["row", "rid", "fp", "key", "size", "root", "members", "predicted", "edge", "position", "words", "length", "pid"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumns({n: F.lit(n) for n in names})
+    for k, some in enumerate((docs.limit(0), docs.where("doc_id < 40"))):
+        for name, work in corpus_pipeline.STAGES:
+            work(spark, some, data).write.parquet(path := str(tmp_path / f"{name}{k}"))
+            before, some = some, spark.read.parquet(path)
+            assert (some.count() > 0) == bool(k)
+            if name != "packing":
+                assert some.columns == before.columns

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.bpe import Merger, Ragged, spans, spread, unknown
 from tidegauge.llm.shared import stash, text_of
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long, row_id long"
 #: Characters tokenised at a time, and words remembered by a Python worker.
 BLOCK, REMEMBERED = 1 << 21, 1 << 19
 #: Bases of the polynomial hashes of words.
@@ -170,7 +170,7 @@ def flush(words: WordIds, row: int, held: list[str], found: list[np.ndarray], to
 
 def cutter(path: str, capacity: int):
     def run(batches):
-        pid, seen, words = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), word_ids(path)
+        pid, seen, words, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), word_ids(path), 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -198,7 +198,8 @@ def cutter(path: str, capacity: int):
             nth = np.empty_like(length)
             nth[order] = spread(seen, times)
             seen += times
-            columns = [b.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(of), pid, np.int32)), pa.array(nth)]
+            columns = [b.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(of), pid, np.int32)), pa.array(nth), pa.array((pid << 40) + rows + of)]
+            rows += b.num_rows
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PIECE.split(", ")])
 
     return run
@@ -327,7 +328,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text",
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece, and
+    row_id, a number for each row of ``docs``, which tells pieces of rows with one id apart."""
     spark = docs.sparkSession
     cut = stash(pieces(docs, path, capacity, text, id), "pieces")
     # A row for each task and length, so a length of very many pieces is never in one place.
@@ -347,4 +349,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", i
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("place.sequence") + F.floor(within / F.col("place.per"))).alias("sequence_id"),
         (F.col("place.at") + within % F.col("place.per") * F.col("length")).alias("offset"),
+        "row_id",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,10 +18,12 @@ BLANKS = r"[\x20\x09-\x0D]+"
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that all machines share, as the session names it.
 
-    Only where a session names none (tests, a single machine) is a folder
-    beside the warehouse used.
+    Only where a session on a single machine names none is a folder beside the warehouse used.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)

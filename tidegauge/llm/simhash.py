@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm import resemblance
 from tidegauge.llm.components import components
 from tidegauge.llm.shared import stash, text_of
 
@@ -172,8 +173,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, at_once: i
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, at_once: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The row with the smallest id of each component, with all columns of ``docs``."""
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, at_once: int = 4096, similarity: bool = False, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The row with the smallest id of each component, with all columns of ``docs``.
+
+    With ``similarity`` texts are linked by a Jaccard similarity of their shingles of 0.8
+    or more.  Fingerprints of such texts are some 10 bits apart, too far for masks, so the
+    candidates then come from the sets of shingles themselves (see ``resemblance``).
+    """
+    if similarity:
+        return resemblance.keep_one(docs, words, text, id)
     fps = fingerprinted(docs, words, carry=True, text=text, id=id)
     firsts = _linked(fps.select("doc_id", "fp", "rid"), radius, at_once).select(F.col("first.rid").alias("rid")).distinct()
     return fps.join(firsts, "rid").select("row.*")
