@@ -197,3 +197,22 @@ def test_resemblance(spark):
     kept = resemblance.keep_one(df.repartition(3))
     assert kept.dtypes == df.dtypes and sorted(x.doc_id for x in kept.collect()) == sorted(least.values())
     assert resemblance.keep_one(df.limit(0)).count() == 0
+
+
+def test_masks_fold():
+    """Groups of long and short sets give every similar pair of different components, and no pair whose masks forbid it."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(11)
+    sets = []
+    for n in (300, 480, 700, 900, 1000, 1100, 1900, 2100, 4000):
+        base = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets += [base, *(np.unique(np.concatenate([base[r.random(len(base)) > share], r.integers(0, 1 << 63, int(n * more), dtype=np.uint64)])) for share, more in ((0.02, 0.02), (0.15, 0), (0, 0.2), (0.4, 0.4)))]
+    member = [{"rid": i, "root": i // 2, "size": len(x), "mask": resemblance.mask(x).tolist(), "part": i % 2} for i, x in enumerate(sets)]
+    kind = pa.list_(pa.struct([("rid", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("mask", pa.list_(pa.int64())), ("part", pa.int32())]))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if i // 2 != j // 2 and resemblance.similar(sets[i], sets[j])}
+    whole = [m | {"part": 0} for m in member]
+    for groups in ([(whole, 0, 0)], [(member, 0, 1), ([m for m in member if m["part"] == 0], 0, 0), ([m for m in member if m["part"]], 1, 1)]):
+        batch = pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in groups], kind), pa.array([lo for _, lo, _ in groups]), pa.array([hi for _, _, hi in groups])], names=["members", "lo", "hi"])
+        got = [pair for out in resemblance._apart([batch]) for pair in zip(*out.to_pydict().values(), strict=True)]
+        assert want <= set(got) and len(set(got)) == len(got) < len(want) + 10 and len(want) > 20
