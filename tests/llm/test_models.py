@@ -192,3 +192,56 @@ def test_pieces_of_a_text_meet():
         whole = automaton.read(grams.tokens, grams.first, grams.size, piece=1 << 20)
         for piece in (2, 3, 128):
             assert np.allclose(automaton.read(grams.tokens, grams.first, grams.size, piece), whole, atol=1e-12)
+
+
+def test_toxicity_by_definition(spark):
+    """Lexicon, K and curve as their definitions have them."""
+    bad = set(range(0, 400, 4))
+    rows = [(i, t) for i, t in prose(400, 2, bad)]
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(toxicity.learnable(frame(spark, rows)), labels)
+    crc = lambda i: zlib.crc32(str(i).encode())
+    train = [(t.split(), crc(i) % 10 // 5, int(i in bad)) for i, t in rows if crc(i) % 5]
+
+    def lexicon(folds):
+        n = [Counter(), Counter()]
+        for words, fold, y in train:
+            if fold in folds:
+                n[y].update({toxicity.plain(w) for w in words})
+        total, out = [sum(n[0].values()), sum(n[1].values())], {}
+        for w in n[0] | n[1]:
+            y0, y1 = n[0][w], n[1][w]
+            expected = [(y0 + y1) * x / sum(total) for x in total]
+            g = 2 * sum(y * math.log(y / e) for y, e in zip((y0, y1), expected, strict=True) if y)
+            prior = 500 * (y0 + y1) / sum(total)
+            a, b = (y1 + prior) / (total[1] + 500), (y0 + prior) / (total[0] + 500)
+            out[w] = (math.log(a / (1 - a)) - math.log(b / (1 - b))) * max(0, 1 - 25 / max(g, 1e-9)) - 0.1, b
+        excess = lambda x: sum(b * math.exp(x * s) for s, b in out.values()) - 1
+        low, high = 1e-6, 64.0
+        for _ in range(100):
+            middle = (low + high) / 2
+            low, high = (middle, high) if excess(middle) < 0 else (low, middle)
+        return {w: s * high for w, (s, _) in out.items()}, -0.1 * high
+
+    def best(words, scores):
+        s = np.cumsum([0.0, *(scores[0].get(toxicity.plain(w), scores[1]) for w in words)])
+        return max((s[j] - s[i] for i in range(len(s)) for j in range(i + 1, len(s))), default=0.0)
+
+    whole, other = lexicon((0, 1))
+    assert math.isclose(model.words.other, other, rel_tol=1e-6) and {"vile", "scum"} <= set(model.words.scores)
+    for w, s in whole.items():
+        assert math.isclose(model.words.score(w), s, rel_tol=1e-6), w
+    halves = [lexicon((0,)), lexicon((1,))]
+    clean = [len(words) * math.exp(-max(0.0, best(words, halves[1 - fold]))) for words, fold, y in train if not y]
+    assert math.isclose(model.log_k, -math.log(sum(clean) / len(clean)), rel_tol=1e-6)
+    assert (np.diff(model.curve) >= 0).all()
+    r = np.random.default_rng(5)
+    n0, n1 = r.integers(0, 9, 30).astype(float), r.integers(0, 9, 30).astype(float)
+    rate = (n1.sum() + 0.5) / (n0.sum() + n1.sum() + 1)
+    w, y = n0 + n1 + 1e-3, n1 + 1e-3 * rate
+    pooled = lambda i, j: y[i : j + 1].sum() / w[i : j + 1].sum()
+    level = [max(min(pooled(i, j) for j in range(k, 30)) for i in range(k + 1)) for k in range(30)]
+    got = toxicity.monotone(n0, n1)
+    for k in range(30):
+        block = [j for j in range(30) if math.isclose(level[j], level[k])]
+        assert math.isclose(got[k], (y[block].sum() + rate) / (w[block].sum() + 1))

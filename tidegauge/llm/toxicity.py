@@ -9,10 +9,10 @@ clean rates, and K is fitted to the best segments of clean texts.  Segments with
 are passages; their evidence, -ln E, is added up.  A monotone curve fitted on the
 labelled texts turns evidence into a probability.
 
-Learning reads all labelled training rows and counts in Spark.  Tokens are hashed to two
-of ``2 * BUCKETS`` places, of which the less used one counts, so what reaches the driver
-and the executors is bounded by that number whatever the vocabulary.  Training texts are scored for K and the curve with
-the counts of the other of two folds.
+Learning reads all labelled training rows and counts every token in Spark.  Only tokens
+beyond ``ERRORS`` standard errors reach the driver and the executors; each is in some
+dozen labelled texts at least, and all others have one score.  Training texts are scored
+for K and the curve with the counts of the other of two folds.
 
 Defined cases: a null text is the empty text; a text without tokens has no passage
 and its evidence is the lowest.  Null labels are left out; of repeated labels the
@@ -23,7 +23,7 @@ text enters a score.
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.shared import id_remainder, stash, text_of
 
-BUCKETS = 1 << 18
 #: Pseudo-tokens of the prior, standard errors that a token needs, and what each token costs a segment.
 PRIOR, ERRORS, DRIFT = 500.0, 5.0, 0.1
 #: The curve's grid over evidence.
@@ -41,10 +40,9 @@ PUNCTUATION = ".,;:!?\"'()[]{}«»„“”…-*_"
 REMEMBERED = 1 << 20
 
 
-def buckets(token: str) -> tuple[int, int]:
-    """The token's two places, one in each half of the table."""
-    word = token.strip(PUNCTUATION).lower().encode()
-    return zlib.crc32(word) & (BUCKETS - 1), BUCKETS + (zlib.adler32(word, zlib.crc32(word + b"#")) * 0x9E3779B1 >> 7 & (BUCKETS - 1))
+def plain(token: str) -> str:
+    """A token without punctuation around it, in lower case."""
+    return token.strip(PUNCTUATION).lower()
 
 
 class Remembered(dict):
@@ -62,49 +60,62 @@ class Remembered(dict):
 
 
 def count_tokens(batches):
-    """Rows (fold, toxic, bucket, n): in how many labelled texts of a task a token is.
+    """Rows (token, fold, toxic, n): in how many labelled texts of a task a token is.
 
     Texts count, not occurrences, as a text repeats its own words.
     """
-    counts, of = {}, Remembered(buckets)
+    counts, of, names = {}, Remembered(plain), ["token", "fold", "toxic", "n"]
+
+    def counted():
+        for (fold, toxic), held in counts.items():
+            token, n = pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())
+            for cut in range(0, len(n), 10_000):
+                k = min(10_000, len(n) - cut)
+                yield pa.RecordBatch.from_arrays([token[cut : cut + k], pa.array(np.full(k, fold, np.int32)), pa.array(np.full(k, toxic, np.int32)), n[cut : cut + k]], names=names)
+
     for b in batches:
         for text, fold, toxic in zip(b.column("text"), b.column("fold").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            held = counts.setdefault((fold, toxic), np.zeros(2 * BUCKETS, np.int64))
-            held[list({place for w in text.as_py().split() for place in of[w]})] += 1
-    for (fold, toxic), held in counts.items():
-        some = np.flatnonzero(held)
-        for cut in range(0, len(some), 10_000):
-            part = some[cut : cut + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fold, np.int32)), pa.array(np.full(len(part), toxic, np.int32)), pa.array(part.astype(np.int32)), pa.array(held[part])], names=["fold", "toxic", "bucket", "n"])
-
-
-def lexicon(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Scores in units of 1/lambda, and how often each place was met, of all places."""
-    both = clean + toxic
-    if not clean.sum() or not toxic.sum():
-        return np.stack([np.full(2 * BUCKETS, -DRIFT), both]).astype(np.float32)
-    scores, unit = [], np.inf
-    for y0, y1 in zip(np.split(clean, 2), np.split(toxic, 2), strict=True):
-        prior = PRIOR * (y0 + y1 + 0.01) / (y0 + y1 + 0.01).sum()
-        a, b = y1 + prior, y0 + prior
-        odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-        # How far the counts are from those of equal rates, in standard errors (root of the G statistic).
-        e1 = (y0 + y1) * y1.sum() / (y0 + y1).sum()
-        e0 = y0 + y1 - e1
-        g = 2 * (y1 * np.log(np.maximum(y1, 1e-9) / np.maximum(e1, 1e-9)) + y0 * np.log(np.maximum(y0, 1e-9) / np.maximum(e0, 1e-9)))
-        score = odds * np.maximum(0, 1 - ERRORS**2 / np.maximum(g, 1e-9)) - DRIFT
-        rate = b / b.sum()
-        scores.append(score)
+            counts.setdefault((fold, toxic), Counter()).update({of[w] for w in text.as_py().split()})
+        if sum(map(len, counts.values())) > REMEMBERED:
+            yield from counted()
+            counts.clear()
+    yield from counted()
+
+
+def distance_sql(clean: str, toxic: str, all_clean: float, all_toxic: float) -> str:
+    """How far counts are from those of equal rates, in squared standard errors (the G statistic)."""
+    part = lambda y, total: f"({y}) * ln(greatest({y}, 1e-9D) / greatest(({clean} + {toxic}) * {total / (all_clean + all_toxic)!r}D, 1e-9D))"
+    return f"2 * ({part(toxic, all_toxic)} + {part(clean, all_clean)})" if all_clean and all_toxic else "0D"
+
+
+class Lexicon:
+    """Scores of the significant tokens in units of 1/lambda, and that of all others.
+
+    ``g``: each token's distance from equal rates; ``all_clean`` and ``all_toxic``: the
+    sums of the counts of all tokens, these and others.
+    """
+
+    def __init__(self, tokens: list[str], clean: np.ndarray, toxic: np.ndarray, g: np.ndarray, all_clean: float, all_toxic: float):
+        self.scores, self.other = {}, -DRIFT
+        if not all_clean or not all_toxic:
+            return
+        prior = PRIOR * (clean + toxic) / (all_clean + all_toxic)
+        a, b = (toxic + prior) / (all_toxic + PRIOR), (clean + prior) / (all_clean + PRIOR)
+        score = (np.log(a / (1 - a)) - np.log(b / (1 - b))) * np.maximum(0, 1 - ERRORS**2 / np.maximum(g, 1e-9)) - DRIFT
+        unit = 1.0
         if (score > 0).any():
-            low, high = 1e-6, 1.0
-            excess = lambda x: rate @ np.exp(np.minimum(x * score, 700)) - 1  # noqa: B023, E731
+            low, high, rest = 1e-6, 1.0, 1 - b.sum()
+            excess = lambda x: b @ np.exp(np.minimum(x * score, 700)) + rest * np.exp(-x * DRIFT) - 1
             while excess(high) < 0 and high < 100:
                 high *= 2
             for _ in range(60):
                 middle = (low + high) / 2
                 low, high = (middle, high) if excess(middle) < 0 else (low, middle)
-            unit = min(unit, high)
-    return np.stack([np.concatenate(scores) * (unit if np.isfinite(unit) else 1.0), both]).astype(np.float32)
+            unit = high
+        self.scores, self.other = dict(zip(tokens, (score * unit).tolist(), strict=True)), -DRIFT * unit
+
+    def score(self, token: str) -> float:
+        return self.scores.get(plain(token), self.other)
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -129,21 +140,11 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, float(b - a)) for s, e, a, b, _ in stack]
 
 
-def score_of(words: np.ndarray):
-    """token -> score, for a lexicon."""
-
-    def find(token: str) -> float:
-        a, b = buckets(token)
-        return float(words[0, a if words[1, a] <= words[1, b] else b])  # the place that fewer others share
-
-    return Remembered(find)
-
-
 def training_segments(lexicons):
     """Rows (toxic, n, best scores) of labelled texts, each with the other fold's lexicon."""
 
     def run(batches):
-        of = [score_of(words) for words in lexicons.value]
+        of = [Remembered(x.score) for x in lexicons.value]
         for b in batches:
             n, best = [], []
             for text, fold in zip(b.column("text"), b.column("fold").to_pylist(), strict=True):
@@ -169,9 +170,9 @@ def monotone(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs: the lexicon, ln K and the curve; all of bounded size."""
+    """What scoring needs: the lexicon, ln K and the curve."""
 
-    def __init__(self, words: np.ndarray, log_k: float, curve: np.ndarray):
+    def __init__(self, words: Lexicon, log_k: float, curve: np.ndarray):
         self.words, self.log_k, self.curve = words, log_k, curve
 
     def chance(self, evidence: np.ndarray) -> np.ndarray:
@@ -187,13 +188,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     plain = docs.select(F.col(id).alias("label_id"), text_of(text).alias("text"), F.floor(id_remainder(id, 10) / 5).cast("int").alias("fold"))
     # Labels grow with the documents, so both are always dealt by id, at any size.
     train = stash(plain.join(known.hint("merge"), "label_id").select("text", "fold", "toxic"), "labelled")
-    each = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}{t}") for f in (0, 1) for t in (0, 1)]
-    table = train.mapInArrow(count_tokens, "fold int, toxic int, bucket int, n long").groupBy("bucket").agg(*each).toArrow()  # at most 2 * BUCKETS rows
-    counts = np.zeros((2, 2, 2 * BUCKETS))
-    for f in (0, 1):
-        for t in (0, 1):
-            counts[f, t, table.column("bucket").to_numpy()] = table.column(f"n{f}{t}").to_numpy()
-    lexicons = spark.sparkContext.broadcast([lexicon(*fold) for fold in counts])
+    folds = [(f, t) for f in (0, 1) for t in (0, 1)]
+    each = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}{t}") for f, t in folds]
+    counts = stash(train.mapInArrow(count_tokens, "token string, fold int, toxic int, n long").groupBy("token").agg(*each), "token-counts")
+    total = [float(x or 0) for x in counts.agg(*[F.sum(f"n{f}{t}") for f, t in folds]).first()]
+    # The first fold, the second one and both.
+    views = [("n00", "n01", *total[:2]), ("n10", "n11", *total[2:]), ("n00 + n10", "n01 + n11", total[0] + total[2], total[1] + total[3])]
+    far = [F.expr(distance_sql(*view)).alias(f"g{i}") for i, view in enumerate(views)]
+    kept = counts.select("*", *far).where(" or ".join(f"g{i} > {ERRORS**2}" for i in range(3))).toArrow()
+    tokens, n = kept.column("token").to_pylist(), {c: kept.column(c).to_numpy().astype(float) for c in kept.schema.names[1:]}
+    pairs = [(n["n00"], n["n01"]), (n["n10"], n["n11"]), (n["n00"] + n["n10"], n["n01"] + n["n11"])]
+    *halves, whole = [Lexicon(tokens, *pair, n[f"g{i}"], *view[2:]) for i, (pair, view) in enumerate(zip(pairs, views, strict=True))]
+    lexicons = spark.sparkContext.broadcast(halves)
     scored = stash(train.mapInArrow(training_segments(lexicons), "toxic int, n long, scores array<double>"), "training-segments")
     clean = scored.where("toxic = 0").select(F.avg(F.col("n") * F.exp(-F.coalesce(F.array_max("scores"), F.lit(0.0))))).first()[0]
     log_k = float(-np.log(clean)) if clean else 0.0
@@ -202,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     held = np.zeros((2, BINS))
     for toxic, at, n in seen.groupBy("toxic", bins.alias("bin")).count().collect():  # at most 2 * BINS rows
         held[toxic, at] = n
-    return Model(lexicon(*counts.sum(axis=0)), log_k, monotone(*held))
+    return Model(whole, log_k, monotone(*held))
 
 
 def evidence_sql(log_k: float) -> str:
@@ -214,7 +220,7 @@ def evidence_sql(log_k: float) -> str:
 def scorer(model):
     def run(batches):
         fitted = model.value
-        of = score_of(fitted.words)
+        of = Remembered(fitted.words.score)
         for b in batches:
             evidence, passages = np.zeros(b.num_rows), []
             for row, text in enumerate(b.column("text")):
