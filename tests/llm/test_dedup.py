@@ -216,3 +216,26 @@ def test_masks_fold():
         batch = pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in groups], kind), pa.array([lo for _, lo, _ in groups]), pa.array([hi for _, _, hi in groups])], names=["members", "lo", "hi"])
         got = [pair for out in resemblance._apart([batch]) for pair in zip(*out.to_pydict().values(), strict=True)]
         assert want <= set(got) and len(set(got)) == len(got) < len(want) + 10 and len(want) > 20
+
+
+def test_runs_over_ranges(spark):
+    """Texts with many copies go over several ranges, and a batch ends anywhere."""
+    rows = awkward() + [(1000 + i, "one text") for i in range(300)] + [(2000 + i, "two") for i in range(7)]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13", "spark.sql.execution.arrow.maxRecordsPerBatch": "5"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = docs(spark, rows).repartition(5)
+        got, kept = exact_dedup.exact_groups(df).collect(), exact_dedup.drop_copies(df).collect()
+        assert exact_dedup._marked(df, "text", "doc_id", True).where("edge_text = 'one text'").count() > 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    first = {t: min(ids, key=lambda i: (i is None, i)) for t, ids in groups.items()}
+    want = [(i, first[t], len(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids]
+    assert sorted(map(str, want)) == sorted(str((g.doc_id, g.keep_id, g.group_size, g.text_sha256)) for g in got)
+    assert sorted(map(str, first.values())) == sorted(str(g.doc_id) for g in got if g.kept) == sorted(str(r.doc_id) for r in kept)
