@@ -214,7 +214,8 @@ def test_masks_fold():
     whole = [m | {"part": 0} for m in member]
     for groups in ([(whole, 0, 0)], [(member, 0, 1), ([m for m in member if m["part"] == 0], 0, 0), ([m for m in member if m["part"]], 1, 1)]):
         batch = pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in groups], kind), pa.array([lo for _, lo, _ in groups]), pa.array([hi for _, _, hi in groups])], names=["members", "lo", "hi"])
-        got = [pair for out in resemblance._apart([batch]) for pair in zip(*out.to_pydict().values(), strict=True)]
+        got, closest = ([pair for out in resemblance._apart(c)([batch]) for pair in zip(*out.to_pydict().values(), strict=True)] for c in (False, True))
+        assert set(closest) < set(got) and len(closest) >= len({(i // 2, j // 2) for i, j in closest}) == len({(i // 2, j // 2) for i, j in got})
         assert want <= set(got) and len(set(got)) == len(got) < len(want) + 10 and len(want) > 20
 
 
