@@ -165,3 +165,20 @@ def test_validation_job(spark, tmp_path):
     write_validation(found, str(tmp_path / "out"))
     assert (tmp_path / "out/report").exists() and spark.read.json(str(tmp_path / "out/result")).count() == 1
     assert "horizon 10" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "out/report")).collect())
+
+
+def test_nonfinite_values(spark):
+    """Inference closes gaps up; diagnostics refuse them, as lags would change."""
+    x = np.random.default_rng(3).normal(0.001, 0.01, 60)
+    gaps = np.insert(x, [7, 7, 30, 60], [np.nan, np.inf, np.nan, -np.inf])
+    whole, holed = indexed(spark, a=x), indexed(spark, a=gaps)
+    a, b = (inference.newey_west(df, 5).first() for df in (whole, holed))
+    assert b.nominal_observations == 60 and (a.mean, a.hac_t_stat) == pytest.approx((b.mean, b.hac_t_stat)) and a.lag_autocorrelations == pytest.approx(b.lag_autocorrelations)
+    blocks = spark.createDataFrame([("a", 5)], "series string, block_length long")
+    a, b = (inference.bootstrap_mean(df, blocks, 100).first() for df in (whole, holed))
+    assert b.available and a.confidence_interval_low == pytest.approx(b.confidence_interval_low)
+    for run in (serial.series_diagnostics, serial.dependence_diagnostics):
+        with pytest.raises(ValueError, match="non-finite"):
+            run(holed)
+    flat = inference.newey_west(indexed(spark, a=[0.001, np.nan] * 20)).first()
+    assert flat.nominal_observations == 20 and flat.hac_t_stat is None

@@ -74,7 +74,9 @@ def lag_products(values: DataFrame, limits: DataFrame, most: int | None = None)
 
 def newey_west(values: DataFrame, overlap_horizon: int = 1, minimum_lag: int = 0) -> DataFrame:
     """Mean, plain and long-run standard errors, t statistics, p-values and effective
-    observations of each series.  Without a basis a figure is null."""
+    observations of each series.  Without a basis a figure is null.  Values that are not
+    finite are left out, and a series of such values alone has no row."""
+    values = renumbered(values)
     known = moments(values).withColumn("lags", hac_lag(F.col("n"), overlap_horizon, minimum_lag))
     gamma = F.col("centered_energy") / F.col("n")
     products = lag_products(values, known).join(known.select("series", "n", "lags", "centered_energy"), "series")
@@ -128,10 +130,11 @@ def bootstrap_mean(values: DataFrame, blocks: DataFrame, resamples: int = 1000,
 
     ``blocks``: (series, block_length).  Every series draws the same stream of the
     seed.  A series is resampled in one task, from its running sums: what a resample
-    costs is its number of blocks.
+    costs is its number of blocks.  Values that are not finite are left out.
     """
     if not 0 < confidence < 1:
         raise ValueError("confidence must be between zero and one")
+    values = renumbered(values)
     sized = values.groupBy("series").agg(F.count("*").alias("n")).join(blocks, "series", "right").withColumn("n", F.coalesce("n", F.lit(0)))
     design = sized.withColumn("design", block_design(F.col("n"), F.col("block_length"))).withColumn("reasons", F.concat("design.reasons", F.array(*([F.lit("nonpositive_resample_count")] if resamples <= 0 else [])).cast("array<string>")))
     kind = values.schema["series"].dataType.simpleString()

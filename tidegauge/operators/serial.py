@@ -67,9 +67,10 @@ def ljung_box(acf: DataFrame, sizes: DataFrame, model_degrees: int = 0) -> DataF
 
 
 def series_diagnostics(values: DataFrame, max_lag: int = 20, model_degrees: int = 0, alpha: float = 0.05) -> DataFrame:
-    """One record for each series, with its lags in an array."""
+    """One record for each series, with its lags in an array; an error if a value is not finite."""
     if not 0 < alpha < 1 or model_degrees < 0:
         raise ValueError("alpha must be between zero and one, model degrees at least 0")
+    values = reject_nonfinite(values)
     known = _known(values, max_lag).join(values.groupBy("series").agg(F.avg((F.col("value") == 0).cast("double")).alias("zero_fraction")), "series")
     acf = autocorrelations(values, max_lag)
     lags = acf.join(partial_autocorrelation_rows(values, max_lag), ["series", "lag"], "left").join(known.select("series", "n"), "series")
