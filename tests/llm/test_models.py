@@ -245,3 +245,19 @@ def test_toxicity_by_definition(spark):
     for k in range(30):
         block = [j for j in range(30) if math.isclose(level[j], level[k])]
         assert math.isclose(got[k], (y[block].sum() + rate) / (w[block].sum() + 1))
+
+
+@pytest.mark.parametrize("size", [1e25, 1e-25, 1e140])
+def test_nearest_of_any_size(spark, size):
+    """Vectors of any finite size take part."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 8)) * size
+    got = graph_search.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), shard=150).toPandas()
+    hits = 0
+    for q in range(0, 300, 20):
+        own = x @ x[q]
+        own[q] = -np.inf
+        found = got[got.query_id == q].sort_values("rank")
+        assert len(found) == 20 and np.allclose(found["score"], own[found["vec_id"]], rtol=1e-12)
+        hits += len(set(found["vec_id"]) & set(np.argsort(-own)[:20].tolist()))
+    assert hits >= 0.9 * 15 * 20

@@ -138,16 +138,27 @@ def build(vectors: np.ndarray, degree: int = DEGREE, breadth: int = BREADTH, alp
     return edges, entry
 
 
-def _matrix(column, kind=np.float32) -> np.ndarray:
-    return np.stack([np.asarray(v.values, kind) for v in column])
+def _matrix(column) -> np.ndarray:
+    return np.stack([np.asarray(v.values, np.float64) for v in column])
+
+
+def scaled(vectors: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """In single precision, times a power of two (for all, or for each row) that makes the
+    largest component about 1, so that no finite vector overflows."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=axis, keepdims=True))
+    return np.ldexp(vectors, -exponent).astype(np.float32)
+
+
+def lifted(vectors: np.ndarray) -> np.ndarray:
+    """With one more component that makes all norms equal."""
+    square = (vectors.astype(np.float64) ** 2).sum(axis=1)
+    return np.concatenate([vectors, np.sqrt(np.maximum(0, square.max() - square))[:, None].astype(np.float32)], axis=1)
 
 
 def index_shard(table: pa.Table) -> pa.Table:
     """Adds its edges and whether it is the entry to each node of a shard."""
-    vectors = _matrix(table.column("vector"))
-    square = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    lifted = np.concatenate([vectors, np.sqrt(np.maximum(0, square.max() - square))[:, None].astype(np.float32)], axis=1)
-    edges, entry = build(lifted)
+    vectors = lifted(scaled(_matrix(table.column("vector"))))
+    edges, entry = build(vectors)
     first = np.arange(len(vectors)) == entry
     return table.append_column("edges", pa.array(list(edges.astype(np.int32)), pa.list_(pa.int32()))).append_column("place", pa.array(np.arange(len(vectors), dtype=np.int32))).append_column("entry", pa.array(first))
 
@@ -160,18 +171,16 @@ def search_shard(k: int, beam: int):
         if not nodes.num_rows or not queries.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         nodes = nodes.sort_by("place")
-        vectors = _matrix(nodes.column("vector"))
-        square = (vectors.astype(np.float64) ** 2).sum(axis=1)
-        lifted = np.concatenate([vectors, np.sqrt(np.maximum(0, square.max() - square))[:, None].astype(np.float32)], axis=1)
+        precise, asked = (_matrix(t.column("vector")) for t in (nodes, queries))
+        vectors = lifted(scaled(precise))
         edges = np.stack([np.asarray(e.values, np.int64) for e in nodes.column("edges")])
         entry = int(np.flatnonzero(nodes.column("entry").to_numpy())[0])
         members = nodes.column("members").to_pylist()
-        precise, asked = (_matrix(t.column("vector"), np.float64) for t in (nodes, queries))
         ids = queries.column("query").to_numpy()
-        flat = np.concatenate([asked.astype(np.float32), np.zeros((len(asked), 1), np.float32)], axis=1)
+        flat = np.concatenate([scaled(asked, axis=1), np.zeros((len(asked), 1), np.float32)], axis=1)
         out = []
         for at in range(0, len(flat), 512):
-            near, _ = beam_search(lifted, edges, entry, flat[at : at + 512], min(beam, len(lifted)))
+            near, _ = beam_search(vectors, edges, entry, flat[at : at + 512], min(beam, len(vectors)))
             exact = np.einsum("ijk,ik->ij", precise[np.maximum(near, 0)], asked[at : at + 512])
             for query, places, scores in zip(ids[at : at + 512].tolist(), near.tolist(), exact.tolist(), strict=True):
                 found = [(-s, v) for p, s in zip(places, scores, strict=True) if p >= 0 for v in members[p]]
