@@ -40,7 +40,7 @@ from tidegauge.llm.shared import stash, text_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long, row_id long"
 #: Characters tokenised at a time, and words remembered by a Python worker.
-BLOCK, REMEMBERED = 1 << 21, 1 << 19
+BLOCK, REMEMBERED = 1 << 20, 1 << 17
 #: Bases of the polynomial hashes of words.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Pre-tokens of the word vocabulary (a fixed value).

@@ -37,7 +37,7 @@ PRIOR, ERRORS, DRIFT = 500.0, 5.0, 0.1
 #: The curve's grid over evidence.
 LOW, HIGH, BINS = -24.0, 72.0, 384
 PUNCTUATION = ".,;:!?\"'()[]{}«»„“”…-*_"
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 
 def plain(token: str) -> str:
