@@ -1,4 +1,5 @@
 import datetime as dt
+import shutil
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -125,6 +126,39 @@ def test_snapshots(spark, tmp_path):
             snapshots.freeze(store, sources, words)
 
 
+def test_snapshot_store(spark, tmp_path):
+    store, say = str(tmp_path / "store"), dict.fromkeys(snapshots.SEMANTICS, "stated")
+    rows = [("300001", "2026-07-01", 1.0, 1), ("300002", "2026-07-02", float("nan"), 2), ("300002", "2026-07-02", -0.0, 2)]
+    # Sources with the same content share objects and keep their rows.
+    two = snapshots.freeze(store, {"a": panel(spark, rows), "b": panel(spark, rows[:1])}, say, salt=3)
+    assert two["objects"] == 3 and two["rows"] == 4
+    assert snapshots.read_snapshot(spark, store, two["snapshot_id"]).count() == 4
+    assert [r.symbol for r in snapshots.read_snapshot(spark, store, two["snapshot_id"], "b").collect()] == ["300001"]
+    # A later snapshot with one more column does not change what the old one reads.
+    snapshots.freeze(store, {"a": panel(spark, rows).withColumn("more", F.lit(1))}, say)
+    assert snapshots.read_snapshot(spark, store, two["snapshot_id"], verified=True).columns == ["symbol", "date", "x", "unused"]
+    none = snapshots.freeze(store, {"a": panel(spark, [])}, say)
+    assert snapshots.read_snapshot(spark, store, none["snapshot_id"], verified=True).count() == 0
+    # A run that ended after its objects: the next one writes them again, once.
+    extra = panel(spark, [("300003", "2026-07-03", 2.0, 3)])
+    cut = snapshots.freeze(store, {"a": extra}, say)
+    for lost in ("objects_index", "manifests", "snapshots"):
+        shutil.rmtree(f"{store}/{lost}")
+    again = snapshots.freeze(store, {"a": extra}, say)
+    assert again["snapshot_id"] == cut["snapshot_id"] and snapshots.read_snapshot(spark, store, again["snapshot_id"], verified=True).count() == 1
+    # Doubled and missing content is refused.
+    (stored,) = (tmp_path / "store/objects").glob(f"*/_digest={snapshots.date_digests(extra).first().digest}")
+    (file,) = stored.glob("*.parquet")
+    shutil.copy(file, stored / "part-copy.parquet")
+    with pytest.raises(ValueError):
+        snapshots.read_snapshot(spark, store, again["snapshot_id"], verified=True)
+    shutil.rmtree(stored)
+    assert [(r.date, r.found) for r in snapshots.stored_errors(spark, store, again["snapshot_id"]).collect()] == [("2026-07-03", None)]
+    for bad in (lambda: snapshots.read_snapshot(spark, store, "unknown"), lambda: snapshots.freeze(store, {"a": extra.withColumn("_digest", F.lit(1))}, say)):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_packs(spark, tmp_path):
     rows = [(f"u{i % 2}", "json", f"n{i}", bytearray(f"content {i}".encode())) for i in range(6)]
     df = spark.createDataFrame(rows, "unit string, kind string, name string, content binary").withColumn("sha256", F.sha2("content", 256))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegauge.jobs import inputs
 from tidegauge.operators import asof, calendar, crosssec, events, inference, labels, multiplicity, outcomes, packs, retention, returns, serial, snapshots, units, windows
 from tidegauge.functions.symbols import is_symbol6, normalize_symbol
-from tidegauge.sources.tables import scan_statistics, selected, table
+from tidegauge.sources.tables import fresh_folder, scan_statistics, selected, table
 
 HORIZONS = (20, 60, 90)
 
@@ -114,6 +114,19 @@ def _snapshot_change(spark, sf):
     return snapshots.difference(snapshots.date_digests(old), snapshots.date_digests(new))
 
 
+def _frozen(spark, sf):
+    """A snapshot, the same with what came later, and both read from the store by month."""
+    p = _panel(spark, sf)
+    say, out = {"universe": "suppliers", "price_basis": "discount", "frequency": "month", "availability": "ship date", "role": "panel"}, []
+    store = fresh_folder(spark, "store")
+    for step, rows in (("first", p.where("date < '1997-01-01'")), ("later", p)):
+        done = snapshots.freeze(store, {"lineitem": rows}, say, salt=4)
+        read = snapshots.read_snapshot(spark, store, done["snapshot_id"], verified=True)
+        months = read.groupBy("date").agg(F.count("*").alias("rows"), F.sum("l_orderkey").alias("orders"))
+        out.append(months.select(F.lit(step).alias("step"), "date", "rows", "orders", F.lit(done["objects"]).alias("objects"), F.lit(done["rows"]).alias("all_rows"), F.lit(done["reused_bytes"] > 0).alias("reused")))
+    return out[0].unionByName(out[1])
+
+
 def _selection(spark, sf):
     return selected(_panel(spark, sf), ["date", "symbol", "l_discount"], ["1995-03-01", "1996-07-01"], ["000001", "000007"])
 
@@ -227,6 +240,7 @@ QUERIES = {
     "block_bootstrap": _bootstrap,
     "serial_memory": _memory,
     "snapshot_difference": _snapshot_change,
+    "snapshot_store": _frozen,
     "selected_rows": _selection,
     "scan_statistics": _scan,
     "pack_parts": _parts,
@@ -342,6 +356,10 @@ ORACLE_SQL = {
     "snapshot_difference": """with p as (select strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') as date, l_linenumber from lineitem), a as (select date, count(*) as n from p where date < '1997-01-01' group by 1),
         b as (select date, count(*) as n from p where date >= '1992-06-01' and not (date = '1995-03-01' and l_linenumber = 1) group by 1)
         select date, case when a.n is null then 'added' when b.n is null then 'removed' when a.n = b.n then 'reused' else 'changed' end as change from a full join b using (date)""",
+    "snapshot_store": """with p as (select strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') as date, l_orderkey from lineitem),
+        x as (select 'first' as step, * from p where date < '1997-01-01' union all select 'later' as step, * from p),
+        t as (select step, count(distinct date)::bigint as objects, count(*)::bigint as all_rows from x group by step)
+        select step, date, count(*) as rows, sum(l_orderkey)::bigint as orders, any_value(objects) as objects, any_value(all_rows) as all_rows, step = 'later' as reused from x join t using (step) group by step, date""",
     "selected_rows": "select strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') as date, lpad(l_suppkey::varchar, 6, '0') as symbol, l_discount from lineitem where strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') in ('1995-03-01', '1996-07-01') and l_suppkey in (1, 7)",
     "scan_statistics": "with d as (select distinct date_trunc('month', l_shipdate) as m from lineitem) select count(*) filter (m in (timestamp '1995-03-01', timestamp '1996-07-01')) as files_selected, count(*) as files_total, 3 as columns_selected, 5 as columns_total from d",
     "pack_parts": """with a as (select source as unit, lang as kind, doc_id::varchar as name, strlen(coalesce(text, '')) as bytes from documents), b as (select *, row_number() over w as n, coalesce(sum(bytes) over (order by unit, kind, name rows between unbounded preceding and 1 preceding), 0) // 131072 as step from a window w as (order by unit, kind, name)),

@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.clocks import strict_date
+from tidegauge.sources.tables import stash
 
 SEMANTICS = ("universe", "price_basis", "frequency", "availability", "role")
 MANIFEST = "snapshot_id string, source string, date string, digest string, rows long, bytes long"
 OBJECTS = "digest string, rows long, bytes long"
+SNAPSHOTS = "snapshot_id string, schema string, date_column string"
+#: The column that names the object of a stored row; sources may not have it.
+OBJECT = "_digest"
 
 
 def _plain(df: DataFrame):
@@ -31,18 +35,21 @@ def _plain(df: DataFrame):
         yield c.alias(f.name)
 
 
-def date_digests(df: DataFrame, date: str = "date") -> DataFrame:
-    """date, digest, rows and bytes of each date's rows.
+def date_digests(df: DataFrame, date: str = "date", by: str | None = None) -> DataFrame:
+    """date, digest, rows and bytes of each date's rows; with ``by``, a column that is
+    not part of the content, of each of its values and date.
 
     Each row is hashed where it is read; four slices of the hash are summed, which
     adds up on the map side and does not depend on order.
     """
-    shape = hashlib.sha256(json.dumps(sorted((f.name, f.dataType.simpleString()) for f in df.schema.fields)).encode()).hexdigest()
-    text = F.to_json(F.struct(*_plain(df)), {"ignoreNullFields": "false"})
-    rows = df.select(F.col(date).cast("string").alias("date"), text.alias("text")).withColumn("hash", F.sha2("text", 256))
+    keys = ["date"] if by is None else [by, "date"]
+    content = df if by is None else df.drop(by)
+    shape = hashlib.sha256(json.dumps(sorted((f.name, f.dataType.simpleString()) for f in content.schema.fields)).encode()).hexdigest()
+    text = F.to_json(F.struct(*_plain(content)), {"ignoreNullFields": "false"})
+    rows = df.select(*keys[:-1], F.col(date).cast("string").alias("date"), text.alias("text")).withColumn("hash", F.sha2("text", 256))
     parts = [F.sum(F.conv(F.substring("hash", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"s{i}") for i in range(4)]
-    found = rows.groupBy("date").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), *parts)
-    return found.select("date", F.sha2(F.concat_ws("|", F.lit(shape), "date", "rows", "s0", "s1", "s2", "s3"), 256).alias("digest"), "rows", "bytes")
+    found = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), *parts)
+    return found.select(*keys, F.sha2(F.concat_ws("|", F.lit(shape), "date", "rows", "s0", "s1", "s2", "s3"), 256).alias("digest"), "rows", "bytes")
 
 
 def snapshot_manifest(sources: dict[str, DataFrame], semantics: dict[str, str], date: str = "date") -> tuple[str, DataFrame]:
@@ -68,7 +75,7 @@ def snapshot_manifest(sources: dict[str, DataFrame], semantics: dict[str, str],
     return id, rows.select(F.lit(id).alias("snapshot_id"), "source", "date", "digest", "rows", "bytes")
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A table of the store, empty before its first write."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
@@ -76,36 +83,81 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _objects(store: str, schema: str) -> str:
+    """Where objects of a schema lie: rows of different schemas are never read together."""
+    return f"{store}/objects/{hashlib.sha256(schema.encode()).hexdigest()}"
+
+
 def freeze(store: str, sources: dict[str, DataFrame], semantics: dict[str, str], date: str = "date", salt: int = 1) -> dict:
     """Write what is new of a snapshot and return its id, rows, added and reused bytes.
 
-    Objects are stored once for each digest.  ``salt`` files are written for each date,
-    for dates that are large.
+    Objects are stored once for each digest, also if several sources hold the same.
+    ``salt`` files are written for each date, for dates that are large.  Objects come
+    first, then their index, the manifest and the snapshot's head; a run that ends in
+    between leaves nothing that counts, and the next one overwrites its objects.
     """
-    spark = next(iter(sources.values())).sparkSession
+    some = next(iter(sources.values()), None)
+    if some is not None and OBJECT in some.columns:
+        raise ValueError(f"sources may not have a column {OBJECT}")
     id, manifest = snapshot_manifest(sources, semantics, date)
-    manifest = manifest.persist()
-    known = _table(spark, f"{store}/objects_index", OBJECTS)
-    fresh = manifest.select("digest", "rows", "bytes").dropDuplicates(["digest"]).join(known, "digest", "left_anti").persist()
+    spark = some.sparkSession
+    manifest = stash(manifest, "manifest")
+    known = _table(spark, f"{store}/objects_index", OBJECTS).select("digest").distinct()
+    # The first source that holds an object writes it.
+    each = manifest.groupBy("digest").agg(F.min("source").alias("source"), F.first("date").alias(OBJECT + "_date"), F.first("rows").alias("rows"), F.first("bytes").alias("bytes"))
+    fresh = stash(each.join(known, "digest", "left_anti"), "fresh")
     added = fresh.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     total = manifest.agg(F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    hit = not _table(spark, f"{store}/manifests", MANIFEST).where(F.col("snapshot_id") == id).limit(1).isEmpty()
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in some.schema.fields]).json()
+    hit = not _table(spark, f"{store}/snapshots", SNAPSHOTS).where(F.col("snapshot_id") == id).limit(1).isEmpty()
     if added.n:
         for name, df in sources.items():
-            new = manifest.where(F.col("source") == name).join(fresh.select("digest"), "digest", "left_semi").select(F.col("date").alias("_date"), "digest")
-            rows = df.join(new, F.col(date).cast("string") == F.col("_date")).drop("_date")
-            rows.repartition("digest", (F.rand(1) * salt).cast("int")).write.mode("append").partitionBy("digest").parquet(f"{store}/objects")
-            fresh = fresh.join(new.select("digest"), "digest", "left_anti").persist() if len(sources) > 1 else fresh
-        manifest.select("digest", "rows", "bytes").dropDuplicates(["digest"]).join(known, "digest", "left_anti").write.mode("append").parquet(f"{store}/objects_index")
+            new = fresh.where(F.col("source") == name).select(F.col("digest").alias(OBJECT), OBJECT + "_date")
+            rows = df.join(new, F.col(date).cast("string") == F.col(OBJECT + "_date")).drop(OBJECT + "_date")
+            # Rows are dealt by their content, so that a repeated task deals them alike.
+            dealt = F.pmod(F.xxhash64(F.to_json(F.struct(*_plain(df)))), F.lit(salt))
+            rows.repartition(OBJECT, dealt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(OBJECT).parquet(_objects(store, schema))
+        fresh.select("digest", "rows", "bytes").write.mode("append").parquet(f"{store}/objects_index")
     if not hit:
-        manifest.write.mode("append").parquet(f"{store}/manifests")
+        # By snapshot and overwritten, so that a run which ended here leaves no doubles.
+        manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{store}/manifests")
+        spark.createDataFrame([(id, schema, date)], SNAPSHOTS).coalesce(1).write.mode("append").parquet(f"{store}/snapshots")
     return {"snapshot_id": id, "rows": total.rows, "objects": total.n, "added_bytes": added.bytes, "reused_bytes": total.bytes - added.bytes, "cache_hit": hit}
 
 
-def read_snapshot(spark: SparkSession, store: str, id: str) -> DataFrame:
-    """The rows of a snapshot; only its own objects are opened."""
-    digests = [r[0] for r in spark.read.schema(MANIFEST).parquet(f"{store}/manifests").where(F.col("snapshot_id") == id).select("digest").distinct().collect()]
-    return spark.read.parquet(f"{store}/objects").where(F.col("digest").isin(digests)).drop("digest")
+def _stored(spark: SparkSession, store: str, id: str) -> tuple[DataFrame, DataFrame, str]:
+    """Manifest and objects of a snapshot, with the schema that it was frozen with, and its date column."""
+    head = _table(spark, f"{store}/snapshots", SNAPSHOTS).where(F.col("snapshot_id") == id).first()
+    if head is None:
+        raise ValueError(f"no snapshot {id}")
+    schema = T.StructType.fromJson(json.loads(head.schema))
+    manifest = _table(spark, f"{store}/manifests", MANIFEST).where(F.col("snapshot_id") == id)
+    full = T.StructType([*schema.fields, T.StructField(OBJECT, T.StringType())])
+    return manifest, _table(spark, _objects(store, head.schema), full), head.date_column
+
+
+def read_snapshot(spark: SparkSession, store: str, id: str, source: str | None = None, verified: bool = False) -> DataFrame:
+    """The rows of a snapshot, or of one of its sources, as they were frozen: an object
+    that several sources hold comes once for each.
+
+    With ``verified`` changed, missing or doubled content is an error.  An unknown id is one
+    always; a snapshot without rows is an empty table of its schema.
+    """
+    if verified and (bad := stored_errors(spark, store, id).limit(5).collect()):
+        raise ValueError(f"content differs from the manifest: {[r.asDict() for r in bad]}")
+    manifest, objects, _ = _stored(spark, store, id)
+    wanted = manifest if source is None else manifest.where(F.col("source") == source)
+    return objects.join(wanted.select(F.col("digest").alias(OBJECT)), OBJECT).drop(OBJECT)
+
+
+def stored_errors(spark: SparkSession, store: str, id: str) -> DataFrame:
+    """date, digest and what was found (null: nothing) of objects of a snapshot whose
+    stored rows are not those of the manifest; empty when all is sound."""
+    manifest, objects, date = _stored(spark, store, id)
+    stated = manifest.select(F.col("digest").alias(OBJECT), "date").distinct()
+    have = date_digests(objects.join(stated.select(OBJECT), OBJECT, "left_semi"), date, OBJECT)
+    joined = stated.join(have.select(OBJECT, F.col("digest").alias("found")), OBJECT, "left")
+    return joined.where(~F.col(OBJECT).eqNullSafe(F.col("found"))).select("date", F.col(OBJECT).alias("digest"), "found")
 
 
 def verify(df: DataFrame, manifest: DataFrame, date: str = "date") -> DataFrame:

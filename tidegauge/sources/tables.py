@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,15 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all machines share, which the session names in
+    spark.checkpoint.dir.  Only where a session on a single machine names none, one
+    beside the warehouse serves."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{root or spark.conf.get('spark.sql.warehouse.dir') + '/_checkpoints'}/tidegauge/{label}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the folder that all machines share and read it again: its
-    lineage ends there.  The session names the folder in spark.checkpoint.dir; only
-    where it names none, one beside the warehouse serves."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    path = f"{root}/tidegauge/{label}-{uuid.uuid4().hex}"
+    lineage ends there."""
+    path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_returns_csv(spark: SparkSession, path: str, date: str = "date", value: str = "net_return", series: str | None = None) -> DataFrame:
@@ -99,7 +107,6 @@ def selected(df: DataFrame, columns: list[str], dates: list[str] | None = None,
     if not columns or len(set(columns)) < len(columns) or set(columns) - set(df.columns):
         raise ValueError("columns must be known, named once, and at least one")
     import datetime
-    import re
 
     for d in dates or []:
         if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", d):
