@@ -40,7 +40,7 @@ from tidegauge.llm.shared import stash, text_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long, row_id long"
 #: Characters tokenised at a time, and words remembered by a Python worker.
-BLOCK, REMEMBERED = 1 << 20, 1 << 17
+BLOCK, REMEMBERED = 1 << 20, 1 << 18
 #: Bases of the polynomial hashes of words.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Pre-tokens of the word vocabulary (a fixed value).
@@ -201,6 +201,7 @@ def cutter(path: str, capacity: int):
             columns = [b.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(of), pid, np.int32)), pa.array(nth), pa.array((pid << 40) + rows + of)]
             rows += b.num_rows
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PIECE.split(", ")])
+        words.forget()  # the worker keeps only the vocabulary between tasks
 
     return run
 
