@@ -79,7 +79,7 @@ def _readiness(spark, sf):
     ledger = inputs.ledger(spark, sf).withColumn("scenario", F.concat(F.lit("s"), (F.substring("scenario", 2, 20).cast("long") % 2).cast("string")))
     counts = l.groupBy("scenario", F.col("status").alias("window")).agg(F.count("*").alias("count"))
     found = labels.readiness(contract, l, inputs.fits(spark, sf), ledger, counts, counts)
-    return found.select("scenario", "resolved_market", "training_rows", "account_rows", "ready", F.array_join(F.filter("blockers", lambda b: ~b.contains("clock")), ",").alias("blockers"))
+    return found.select("scenario", "resolved_market", "training_rows", "account_rows", "ready", F.array_join("blockers", ",").alias("blockers"))
 
 
 def _hac(spark, sf):
@@ -231,7 +231,7 @@ QUERIES = {
     "label_audit": lambda s, d: labels.audit_labels(inputs.labels(s, d)).withColumn("codes", F.array_join("codes", ",")),
     "fit_leakage": _fits,
     "scenario_maturity": _maturity,
-    "ledger_audit": lambda s, d: labels.audit_ledger(inputs.ledger(s, d)).drop("invalid_clocks"),
+    "ledger_audit": lambda s, d: labels.audit_ledger(inputs.ledger(s, d)),
     "readiness": _readiness,
     "newey_west": _hac,
     "autocorrelations": lambda s, d: rounded(serial.autocorrelations(inputs.values(s, d), 20)),
@@ -336,17 +336,18 @@ ORACLE_SQL = {
         x as (select l.*, e.ts::date as day from events e join l on l.label_id = e.event_id::varchar),
         f as (select scenario, count(*) filter (status <> 'UNRESOLVED') as training_rows, count(*) filter (status = 'RESOLVED_MARKET') as market, count(*) filter (status = 'UNRESOLVED') as unknown, count(*) filter (status <> 'UNRESOLVED' and available_at >= day + interval 12 hour) as leaks,
             count(*) filter (status <> 'UNRESOLVED' and role = '') as no_role, count(*) filter (status <> 'UNRESOLVED' and role = 'action') as action from x group by scenario),
-        g as (select 's' || user_id % 2 as scenario, count(*) as account_rows, count(*) filter (event_type = 'error') as bad from events group by 1),
-        j as (select a.*, f.* exclude (scenario), coalesce(account_rows, 0) as account_rows, coalesce(bad, 0) as bad from a join f using (scenario) left join g using (scenario)),
+        g as (select 's' || user_id % 2 as scenario, count(*) as account_rows, count(*) filter (event_type = 'error') as bad, count(*) filter (clock <= before) as late
+            from (select *, date_trunc('second', ts) as clock, lag(date_trunc('second', ts)) over (partition by user_id % 2 order by event_id) as before from events) group by 1),
+        j as (select a.*, f.* exclude (scenario), coalesce(account_rows, 0) as account_rows, coalesce(bad, 0) as bad, coalesce(late, 0) as late from a join f using (scenario) left join g using (scenario)),
         c as (select scenario, unnest([case when odd > 0 then 'resolved_cash_not_zero' end, case when resolved_market + resolved_cash < 10 then 'insufficient_resolved_replay_evidence' end, 'insufficient_resolved_market_evidence', case when unknown > 0 then 'fit_consumed_unknown_label' end,
-            case when leaks > 0 then 'fit_consumed_unobservable_label' end, case when no_role > 0 then 'missing_training_role' end, case when bad > 0 then 'account_balance_mismatch' end, case when account_rows = 0 then 'empty_account_evidence' end,
+            case when leaks > 0 then 'fit_consumed_unobservable_label' end, case when no_role > 0 then 'missing_training_role' end, case when bad > 0 then 'account_balance_mismatch' end, case when late > 0 then 'account_clock_not_increasing' end, case when account_rows = 0 then 'empty_account_evidence' end,
             case when scenario <> 's3' and market = 0 then 'no_effective_learning' end, case when scenario <> 's3' and action = 0 then 'no_training_support_for_role:action' end, case when scenario <> 's3' then 'no_training_support_for_role:hold' end]) as code from j)
         select scenario, any_value(resolved_market) as resolved_market, any_value(training_rows) as training_rows, any_value(account_rows) as account_rows, false as ready, string_agg(scenario || ':' || code, ',' order by scenario || ':' || code) as blockers
         from j join c using (scenario) group by scenario""",
     "scenario_maturity": """with a as (select user_id, event_type, count(*) as n, count(*) filter (event_id % 97 <> 0) as m from events group by all), b as (select user_id, max(m) as any_left, bool_or(n <> m) as off from a group by user_id)
         select 'u' || user_id || ':maturity_reference_mismatch' as blocker from b where off union select 'scenario_coverage_mismatch' from b where any_left = 0""",
     "ledger_audit": """with x as (select 'u' || user_id as scenario, event_id, date_trunc('second', ts) as clock, event_type from events), y as (select *, lag(clock) over (partition by scenario order by event_id) as before from x)
-        select scenario, count(*) as account_rows, count(*) filter (clock <= before) as clock_not_increasing, 0::bigint as nonfinite_values, count(*) filter (event_type = 'error') as balance_mismatches from y group by scenario""",
+        select scenario, count(*) as account_rows, count(*) filter (clock <= before) as clock_not_increasing, 0::bigint as nonfinite_values, count(*) filter (event_type = 'error') as balance_mismatches, count(*) filter (clock is null) as invalid_clocks from y group by scenario""",
     "newey_west": _LAGS + """, n as (select m.*, z.energy, least(n - 1, greatest(11, floor(4 * pow(n / 100.0, 2 / 9::double))::bigint)) as lags from m join z using (series)),
         v as (select series, n.n, mean, energy, lags, greatest(0, energy / n.n + coalesce((select sum(2 * (1 - g.lag / (n.lags + 1)) * g.product / n.n) from g where g.series = n.series and g.lag <= n.lags), 0)) as lrv from n)
         select series, n as nominal_observations, lags as hac_lag, round(mean * 1e6, 6) as mean_e6, round(lrv * 1e9, 6) as lrv_e9, round(mean / sqrt(energy / (n - 1) / n), 6) as iid_t_stat, round(mean / sqrt(lrv / n), 6) as hac_t_stat,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.sources.tables import stash
+
 IDENTITY = ("unit", "kind", "name")
 MEMBERS, PART_BYTES = 1024, 64 << 20
 
@@ -14,17 +16,19 @@ def plan_parts(artifacts: DataFrame, max_members: int = MEMBERS, max_bytes: int
     kind, name, bytes).
 
     A part ends at a multiple of the bytes or of the members; it may exceed the
-    bytes by its last member.  Running sums go by bucket, so choose buckets with
-    the number of artifacts.
+    bytes by its last member.  Running sums go by ranges of the identity, to which the
+    sums of the ranges before are added, so no bucket is one task.
     """
-    rows = artifacts.withColumn("bucket", F.pmod(F.xxhash64(*IDENTITY), F.lit(buckets)).cast("int"))
-    order = Window.partitionBy("bucket").orderBy(*IDENTITY)
-    so_far = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_bytes = rows.withColumns({"step": F.floor(so_far / max_bytes), "n": F.row_number().over(order)})
-    in_step = F.row_number().over(Window.partitionBy("bucket", "step").orderBy("n"))
+    bucketed = artifacts.withColumn("bucket", F.pmod(F.xxhash64(*IDENTITY), F.lit(buckets)).cast("int"))
+    rows = stash(bucketed.repartitionByRange("bucket", *IDENTITY).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = rows.groupBy("bucket", "range").agg(F.sum("bytes").alias("sum")).select("bucket", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("bytes").over(Window.partitionBy("bucket", "range").orderBy(*IDENTITY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_bytes = rows.join(sums, ["bucket", "range"]).withColumn("step", F.floor((own + F.col("before")) / max_bytes))
+    in_step = F.row_number().over(Window.partitionBy("bucket", "step").orderBy(*IDENTITY))
     stepped = by_bytes.withColumn("turn", F.floor((in_step - 1) / max_members))
     part = F.concat_ws("-", F.lpad("bucket", 6, "0"), F.lpad(F.col("step").cast("string"), 8, "0"), F.lpad(F.col("turn").cast("string"), 6, "0"))
-    return stepped.withColumn("part", part).withColumn("member", F.row_number().over(Window.partitionBy("part").orderBy("n"))).drop("bucket", "step", "n", "turn")
+    return stepped.withColumn("part", part).withColumn("member", F.row_number().over(Window.partitionBy("part").orderBy(*IDENTITY))).drop("bucket", "range", "before", "step", "turn")
 
 
 def publication_errors(artifacts: DataFrame) -> DataFrame:
