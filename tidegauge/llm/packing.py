@@ -201,7 +201,6 @@ def cutter(path: str, capacity: int):
             columns = [b.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(of), pid, np.int32)), pa.array(nth), pa.array((pid << 40) + rows + of)]
             rows += b.num_rows
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PIECE.split(", ")])
-        words.forget()  # the worker keeps only the vocabulary between tasks
 
     return run
 
