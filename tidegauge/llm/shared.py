@@ -8,6 +8,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,23 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text each, and one row at least."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = end[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(end, before + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python gets texts in batches of 4 MB.  By default they may have 64 MB, and a worker
+    keeps the room that the largest one took, for as long as Spark uses it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22)
+
+
 def text_of(column: str | Column) -> Column:
     """A text in which null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
