@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, graph_search, language_model, line_dedup, mixing, packing, secrets, simhash, token_counts, toxicity
+from tidegauge.llm import conversations, exact_dedup, fill_middle, graph_search, language_id, language_model, line_dedup, mixing, packing, secrets, simhash, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -65,6 +65,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return conversations.audit(rows, conversations.damaged(rows))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.restore(fill_middle.transform(_read(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(language_id.learnable(docs)))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -76,6 +91,9 @@ QUERIES = {
     "op8_entropy_secrets": op8_entropy_secrets,
     "op9_graph_neighbours": op9_graph_neighbours,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLE_SQL = {
@@ -144,4 +162,46 @@ ORACLE_SQL = {
         select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
                sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
         from raw left join g using (r)""",
+    "op11_conversation_repair": r"""
+        with recursive crc as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)) as t),
+        k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint)),
+                                lambda x, b: xor(x // 256, t[xor(x, b) % 256 + 1])), 4294967295) % 20 as kind from conversations, crc),
+        d as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                unnest(case kind when 3 then [0, 1] else [0] end) as copy from k where kind <> 0),
+        o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen from d),
+        f as (select *, role[1] as initial, lag(role[1]) over (partition by conv_id order by i) || role[1] not in ('su', 'ua', 'au') as illegal,
+                case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when seen > 1 then 'duplicate' when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault from o),
+        g as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+                count(*) filter (fault = 'truncated') as truncated, count(*) filter (illegal) as illegal from f group by conv_id),
+        -- states of the pattern: 0 nothing yet, 1 after s, 2 after u, 3 after a
+        adds(q, n, r) as (values (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+        edits(q, edit, letter, r, price) as (values (0, 'D', '', 0, 4), (1, 'D', '', 1, 4), (2, 'D', '', 2, 4), (3, 'D', '', 3, 4), (0, 'R', '', 2, 3), (1, 'R', '', 2, 3), (2, 'R', '', 3, 3), (3, 'R', '', 2, 3),
+                (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0)),
+        best(conv_id, i, q, x) as (
+            select distinct conv_id, 0::bigint, 0, struct_pack(cost := 0, audit := '') from conversations
+            union all
+            select conv_id, i, q, min(x) from (
+                select b.conv_id, f.i, e.r as q, struct_pack(cost := b.x.cost + 3 * a.n + e.price + case when e.edit <> 'D' and f.fault = 'truncated' then 3 else 0 end, audit := b.x.audit || repeat('I', a.n) || e.edit) as x
+                from best b join f on f.conv_id is not distinct from b.conv_id and f.i = b.i + 1 join adds a on a.q = b.q
+                join edits e on e.q = a.r and (e.edit = 'D' or f.fault not in ('blank', 'duplicate')) and (e.edit <> 'K' or e.letter = f.initial)) group by conv_id, i, q),
+        w as (select b.conv_id, min(struct_pack(cost := b.x.cost + 3 * a.n, audit := b.x.audit || repeat('I', a.n))) as x from best b left join g on g.conv_id is not distinct from b.conv_id
+              join adds a on a.q = b.q and a.r in (0, 3) where b.i = coalesce(g.n, 0) group by b.conv_id),
+        l as (select conv_id, unnest(string_split(x.audit, '')) as edit, unnest(range(len(x.audit))) as nth from w where x.audit <> ''),
+        m as (select *, count(*) filter (edit <> 'I') over v as i, count(*) filter (edit <> 'D') over v as place from l window v as (partition by conv_id order by nth)),
+        r as (select m.*, f.role, f.text, coalesce(max((edit = 'K' and place = 1 and f.initial = 's')::int) over (partition by m.conv_id), 0) as shift
+              from m left join f on f.conv_id is not distinct from m.conv_id and f.i = m.i and m.edit <> 'I'),
+        h as (select conv_id, string_agg(case when edit = 'K' then role when (place - shift) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by nth) as lines from r where edit <> 'D' group by conv_id)
+        select w.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+               w.x.cost::bigint as cost, w.x.audit as audit, sha256(coalesce(h.lines, '')) as repaired_sha256
+        from w left join g on g.conv_id is not distinct from w.conv_id left join h on h.conv_id is not distinct from w.conv_id""",
+    "op12_fill_middle": r"""
+        with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as tokens, sha256('1:' || coalesce(doc_id::varchar, '')) as key from documents),
+        h as (select doc_id, text, tokens, len(tokens) as n, ('0x' || key[1:8])::bigint as h1, ('0x' || key[9:16])::bigint as h2, ('0x' || key[17:24])::bigint as h3, ('0x' || key[25:32])::bigint as h4 from d),
+        c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+                case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+        p as (select *, array_to_string(tokens[1:a], '') as prefix, array_to_string(tokens[a + 1:b], '') as middle, array_to_string(tokens[b + 1:], '') as suffix from c)
+        select doc_id, n, form, case when form <> 'plain' then len(prefix) end as prefix_chars, case when form <> 'plain' then len(middle) end as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+               sha256(text) as restored_sha256 from p""",
 }
