@@ -74,12 +74,6 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[
         start = stop
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Python gets texts in batches of 4 MB.  By default they may have 64 MB, and a worker
-    keeps the room that the largest one took, for as long as Spark uses it."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22)
-
-
 def text_of(column: str | Column) -> Column:
     """A text in which null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -24,11 +24,14 @@ text enters a score.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from tidegauge.llm.shared import id_remainder, stash, text_of
 
@@ -217,34 +220,37 @@ def evidence_sql(log_k: float) -> str:
     return f"if(array_max({each}) > 0, aggregate(filter({each}, x -> x > 0), 0D, (a, x) -> a + x), coalesce(array_max({each}), -ln(n + 1) - ({log_k!r}D)))"
 
 
+PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
+JUDGED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passages", from_arrow_type(PASSAGES))])
+
+
 def scorer(model):
-    def run(batches):
+    @F.arrow_udf(JUDGED)
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = model.value
         of = Remembered(fitted.words.score)
-        for b in batches:
-            evidence, passages = np.zeros(b.num_rows), []
-            for row, text in enumerate(b.column("text")):
+        for batch in texts:
+            evidence, passages = np.zeros(len(batch)), []
+            for row, text in enumerate(batch):
                 tokens = text.as_py().split()
                 chance = np.log(len(tokens) + 1) + fitted.log_k
                 found = [(s, e, x - chance) for s, e, x in segments(np.array([of[w] for w in tokens]))]
                 good = [f for f in found if f[2] > 0]
                 evidence[row] = sum(f[2] for f in good) if good else max((f[2] for f in found), default=-chance)
                 passages.append([{"start": s, "end": e, "evidence": x} for s, e, x in good])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(fitted.chance(evidence)), pa.array(passages, kind), *([b.column("row")] if "row" in b.schema.names else [])], names=["doc_id", "held_out", "score", "passages", *(["row"] if "row" in b.schema.names else [])])
+            yield pa.StructArray.from_arrays([pa.array(fitted.chance(evidence)), pa.array(passages, PASSAGES)], names=["score", "passages"])
 
-    return run
+    return judged
 
 
 def score(docs: DataFrame, model: Model, carry: bool = False, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted and passages (words from, to, evidence) of
-    each row; with ``carry`` also ``row``, the whole input row."""
-    spark = docs.sparkSession
+    each row; with ``carry`` also ``row``, the whole input row.  Only texts go to Python
+    workers; what is carried stays in the JVM."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), (id_remainder(id, 5) == 0).alias("held_out"), text_of(text).alias("text"), *row)
-    shape = "doc_id long, held_out boolean, score double, passages array<struct<start: int, end: int, evidence: double>>" + (f", row {plain.schema['row'].dataType.simpleString()}" if carry else "")
-    scored = plain.mapInArrow(scorer(spark.sparkContext.broadcast(model)), shape)
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    found = plain.withColumn("found", scorer(docs.sparkSession.sparkContext.broadcast(model))("text"))
+    return found.select("doc_id", "held_out", "found.score", "found.passages", *["row"][: len(row)], (F.col("found.score") >= 0.5).cast("int").alias("predicted"))
 
 
 def learnable(docs: DataFrame, id: str = "doc_id") -> DataFrame:
