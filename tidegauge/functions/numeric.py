@@ -44,20 +44,42 @@ def lag_limit(n: int, most: int) -> int:
     return 0 if n < 4 else min(most, n // 4, n - 2)
 
 
-def partial_autocorrelations(x: np.ndarray, most: int) -> list[float | None]:
-    """Last coefficient of the regression on 1, 2, ... lags with an intercept."""
-    k = lag_limit(len(x), most)
-    if not varies(x):
-        return [None] * k
-    c, out = x - x.mean(), []
-    for lag in range(1, k + 1):
-        window = np.lib.stride_tricks.sliding_window_view(c, lag + 1)
-        design = np.c_[np.ones(len(window)), window[:, -2::-1]]
-        beta, _, rank, _ = np.linalg.lstsq(design, window[:, -1], rcond=None)
+def factor(c: np.ndarray, lags: int, start: int, rows: int = 8192) -> np.ndarray:
+    """Triangular factor of the rows (1, c[t-1], ..., c[t-lags], c[t]) from t = start on."""
+    found = np.empty((0, lags + 2))
+    for t in range(max(start, lags), len(c), rows):
+        window = np.lib.stride_tricks.sliding_window_view(c[t - lags : t + rows], lags + 1)
+        found = merged([found, np.c_[np.ones(len(window)), window[:, -2::-1], window[:, -1]]])
+    return found
+
+
+def merged(factors: list[np.ndarray]) -> np.ndarray:
+    """Factor of all rows that the factors stand for; its singular values are theirs."""
+    return np.linalg.qr(np.vstack(factors), mode="r")
+
+
+def last_coefficients(whole: np.ndarray, head: np.ndarray, n: int) -> list[float | None]:
+    """Last coefficient of the regression on 1, 2, ... lags with an intercept; null where
+    the rows have not full rank.
+
+    ``whole``: the factor for the most lags; ``head``: the first values, of which the
+    regressions on fewer lags have more rows.
+    """
+    lags, out = len(head), []
+    for lag in range(1, lags + 1):
+        more = np.array([[1.0, *head[t - lag : t][::-1], head[t]] for t in range(lag, lags)]).reshape(-1, lag + 2)
+        rows = np.vstack([whole[:, [*range(lag + 1), lags + 1]], more])
+        beta, _, rank, _ = np.linalg.lstsq(rows[:, :-1], rows[:, -1], rcond=UNIT * max(n - lag, lag + 1))
         out.append(float(beta[-1]) if rank == lag + 1 else None)
     return out
 
 
+def partial_autocorrelations(x: np.ndarray, most: int) -> list[float | None]:
+    """Last coefficient of the regression on 1, 2, ... lags with an intercept."""
+    k, c = lag_limit(len(x), most), x - x.mean() if len(x) else x
+    return last_coefficients(factor(c, k, 0), c[:k], len(x)) if k and varies(x) else [None] * k
+
+
 def block_means(x: np.ndarray, block: int, resamples: int, seed: int) -> np.ndarray:
     """Means of circular moving-block resamples, from running sums.
 
@@ -74,6 +96,60 @@ def block_means(x: np.ndarray, block: int, resamples: int, seed: int) -> np.ndar
     return (sums.sum(axis=1) + total[starts[:, -1] + last] - total[starts[:, -1]]) / n
 
 
+#: Raw numbers of a generator that are turned into draws at a time.
+CHUNK = 1 << 16
+
+
+def raw_draws(seed: int, n: int, first: int, count: int):
+    """Draws below n that a generator of the seed makes of its raw numbers ``first`` to
+    ``first + count``, in order, some at a time.
+
+    Up to 2^32 a raw number of 64 bits is two of 32 bits, the lower half first.  A
+    number u gives the high half of u * n, and none where the low half is below 2^bits
+    mod n: so whether a raw number gives a draw does not depend on those before it, and
+    any slice of the stream can be drawn on its own.
+    """
+    bit_generator = np.random.PCG64(seed)
+    narrow = n <= 1 << 32
+    bit_generator.advance(first // 2 if narrow else first)
+    skipped, left = (first % 2 if narrow else 0), count
+    while left > 0:
+        size = min(CHUNK, left + skipped)
+        if narrow:
+            raw = bit_generator.random_raw(-(-size // 2)).astype("<u8").view("<u4")[skipped:size].astype(np.uint64)
+            product = raw * np.uint64(n)
+            high, low, refused = product >> np.uint64(32), product & np.uint64(0xFFFFFFFF), (1 << 32) % n
+        else:
+            raw, half = bit_generator.random_raw(size), np.uint64(32)
+            a, b, c, d = raw >> half, raw & np.uint64(0xFFFFFFFF), np.uint64(n >> 32), np.uint64(n & 0xFFFFFFFF)
+            middle = a * d + ((b * d) >> half)
+            low, cross = raw * np.uint64(n), (middle & np.uint64(0xFFFFFFFF)) + b * c
+            high, refused = a * c + (middle >> half) + (cross >> half), (1 << 64) % n
+        left -= len(raw)
+        skipped = 0
+        yield high[low >= np.uint64(refused)].astype(np.int64)
+
+
+def drawn(seed: int, n: int, start: int, count: int, counts: np.ndarray, slice_size: int):
+    """Draws ``start`` to ``start + count`` below n, some at a time.  ``counts``: draws in
+    each slice of ``slice_size`` raw numbers, as far as known."""
+    before = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
+    slice_ = int(np.searchsorted(before, start, "right")) - 1
+    skip, left, first = start - int(before[slice_]), count, slice_ * slice_size
+    while left > 0:
+        asked = skip + left + (skip + left) // 8 + 64
+        asked += asked % 2
+        for part in raw_draws(seed, n, first, asked):
+            gone = min(skip, len(part))
+            part, skip = part[gone : gone + left], skip - gone
+            left -= len(part)
+            if len(part):
+                yield part
+            if left <= 0:
+                return
+        first += asked
+
+
 def window_drawdowns(returns: np.ndarray, horizon: int) -> np.ndarray:
     """Largest drawdown within each window of the last ``horizon`` returns."""
     if len(returns) < horizon:

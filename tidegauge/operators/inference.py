@@ -6,17 +6,22 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidegauge.functions.numeric import UNIT, block_means, erfc
+from tidegauge.functions.numeric import UNIT, drawn, erfc, raw_draws
 from tidegauge.operators.returns import finite
 from tidegauge.operators.windows import with_halo
+from tidegauge.sources.tables import stash
 
 #: Places of a series whose lag products one task adds up.
 BUCKET = 1 << 16
 LEAST_BLOCKS, LEAST_DISTINCT = 4.0, 20
+#: Running sums that a task of the bootstrap holds, draws that it makes, and raw numbers of the stream that are counted together.
+HELD, DRAWS, SLICE = 1 << 20, 1 << 27, 1 << 24
 
 
 @F.pandas_udf(T.DoubleType())
@@ -27,8 +32,6 @@ def erfc_udf(x: pd.Series) -> pd.Series:
 def renumbered(values: DataFrame) -> DataFrame:
     """series, idx and value of what is finite, numbered anew in the old order: lag k
     is k surviving rows.  Numbers come from counts of stretches first."""
-    from pyspark.sql import Window
-
     kept = values.where(finite("value")).withColumn("stretch", F.floor(F.col("idx") / BUCKET))
     earlier = Window.partitionBy("series").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     before = kept.groupBy("series", "stretch").count().select("series", "stretch", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
@@ -60,7 +63,7 @@ def lag_products(values: DataFrame, limits: DataFrame, most: int | None = None)
     size = max(BUCKET, 4 * most)
     centered = values.join(limits.select("series", "mean", "lags"), "series").select("series", "idx", (F.col("value") - F.col("mean")).alias("c"), "lags")
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx")
         c, own, lags = rows["c"].to_numpy(), (rows["idx"] // size == key[1]).to_numpy(), int(rows["lags"].iloc[0])
         start = len(c) - int(own.sum())
@@ -72,11 +75,12 @@ def lag_products(values: DataFrame, limits: DataFrame, most: int | None = None)
     return parts.groupBy("series", "lag").agg(F.sum("part").alias("product"))
 
 
-def newey_west(values: DataFrame, overlap_horizon: int = 1, minimum_lag: int = 0) -> DataFrame:
+def newey_west(values: DataFrame, overlap_horizon: int = 1, minimum_lag: int = 0, dense: bool = False) -> DataFrame:
     """Mean, plain and long-run standard errors, t statistics, p-values and effective
     observations of each series.  Without a basis a figure is null.  Values that are not
-    finite are left out, and a series of such values alone has no row."""
-    values = renumbered(values)
+    finite are left out, and a series of such values alone has no row; with ``dense`` the
+    caller has done so."""
+    values = values if dense else stash(renumbered(values), "renumbered")
     known = moments(values).withColumn("lags", hac_lag(F.col("n"), overlap_horizon, minimum_lag))
     gamma = F.col("centered_energy") / F.col("n")
     products = lag_products(values, known).join(known.select("series", "n", "lags", "centered_energy"), "series")
@@ -125,48 +129,111 @@ def audit_distribution(statistics: DataFrame, least: int = LEAST_DISTINCT) -> Da
     return found.select("series", F.coalesce("finite_statistics", F.lit(0)).alias("finite_statistics"), F.coalesce("unique_statistics", F.lit(0)).alias("unique_statistics"), F.col("span").alias("numeric_span"), reasons.alias("reasons"))
 
 
-def bootstrap_mean(values: DataFrame, blocks: DataFrame, resamples: int = 1000, seed: int = 1729, confidence: float = 0.95) -> DataFrame:
+def _counted_slices(sizes: DataFrame, seed: int) -> DataFrame:
+    """(n, counts): draws below n in each slice of the stream that ``sizes`` (n, draws) asks for."""
+
+    def run(batches):
+        for b in batches:
+            n, at = b.column("n").to_pylist(), b.column("slice").to_pylist()
+            counts = [sum(map(len, raw_draws(seed, m, k * SLICE, SLICE))) for m, k in zip(n, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("n"), b.column("slice"), pa.array(counts, pa.int64())], names=["n", "slice", "count"])
+
+    slices = sizes.groupBy("n").agg(F.max("draws").alias("draws")).select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("draws") / SLICE))).alias("slice"))
+    counted = slices.repartition("n", "slice").mapInArrow(run, "n long, slice long, count long")
+    return counted.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "count"))), lambda x: x["count"]).alias("counts"))
+
+
+def block_mean_rows(values: DataFrame, sizes: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(series, resample, mean) of circular moving-block resamples.
+
+    ``values``: (series, idx, value) without gaps; ``sizes``: (series, n, block_length).  A
+    block's sum is the difference of two running sums, so a series is cut into buckets of
+    ``HELD`` running sums, and resamples into ranges of some ``DRAWS`` draws.  A task has
+    one bucket and one range: it draws its own slice of the seed's stream and adds what
+    its bucket knows of each resample.  A whole series is never in a group; each bucket
+    costs all draws of its ranges, some nanoseconds each.
+    """
+    blocks = F.ceil(F.col("n") / F.col("block_length"))
+    plan = sizes.withColumn("blocks", blocks).withColumn("each", F.least(F.lit(resamples), F.greatest(F.lit(1), F.floor(F.lit(DRAWS) / F.col("blocks")))))
+    several = plan.where(F.col("each") < resamples).select("n", (F.col("blocks") * resamples).alias("draws"))
+    plan = plan.join(_counted_slices(several, seed), "n", "left")
+
+    cut = values.withColumn("bucket", F.floor(F.col("idx") / HELD)).select("series", "bucket", "idx", "value")
+    kind, held = values.schema["series"].dataType, F.col("running")
+
+    def running_sums(group: pa.Table) -> pa.Table:
+        x = group.sort_by("idx").column("value").to_numpy()
+        sums = np.concatenate([[0.0], np.cumsum(x)])
+        return pa.table({"series": group.column("series")[:1], "bucket": group.column("bucket")[:1], "sum": pa.array(sums[-1:]), "running": pa.array([sums[:-1].tobytes()], pa.binary())})
+
+    sums = stash(cut.groupBy("series", "bucket").applyInArrow(running_sums, f"series {kind.simpleString()}, bucket long, sum double, running binary"), "running-sums")
+    mine = Window.partitionBy("series")
+    earlier = mine.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    level = sums.select("series", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)).alias("before"), F.sum("sum").over(mine).alias("total"))
+    tasks = sums.select("series", "bucket", held).join(level, ["series", "bucket"]).join(plan, "series")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), F.col("each").cast("long")))
+    tasks = tasks.withColumn("first", first).repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series", "bucket", "first")
+    id_type = to_arrow_type(kind)
+
+    def run(batches):
+        for b in batches:
+            for row in b.select(["series", "bucket", "running", "before", "total", "n", "block_length", "blocks", "each", "counts", "first"]).to_pylist():
+                m = min(row["each"], resamples - row["first"])
+                level, low, known = np.frombuffer(row["running"]) + row["before"], row["bucket"] * HELD, np.zeros(m)
+                high, n, blocks = low + len(level), row["n"], row["blocks"]
+                last, at = n - (blocks - 1) * row["block_length"], 0
+                for start in drawn(seed, n, row["first"] * blocks, m * blocks, row["counts"] or [], SLICE):
+                    place = at + np.arange(len(start))
+                    of, at = place // blocks, at + len(start)
+                    end = start + np.where(place % blocks == blocks - 1, last, row["block_length"])
+                    around = end >= n
+                    end -= n * around
+                    begins, ends = (start >= low) & (start < high), (end >= low) & (end < high)
+                    known += np.bincount(of[ends], level[end[ends] - low], m)
+                    known += np.bincount(of[begins], around[begins] * row["total"] - level[start[begins] - low], m)
+                yield pa.RecordBatch.from_arrays([pa.array([row["series"]] * m, id_type), pa.array(row["first"] + np.arange(m)), pa.array(known / n)], names=["series", "resample", "part"])
+
+    parts = tasks.mapInArrow(run, f"series {kind.simpleString()}, resample long, part double")
+    return parts.groupBy("series", "resample").agg(F.sum("part").alias("mean"))
+
+
+def bootstrap_mean(values: DataFrame, blocks: DataFrame, resamples: int = 1000, seed: int = 1729, confidence: float = 0.95, dense: bool = False) -> DataFrame:
     """Circular moving-block bootstrap of each series' mean.
 
     ``blocks``: (series, block_length).  Every series draws the same stream of the
-    seed.  A series is resampled in one task, from its running sums: what a resample
-    costs is its number of blocks.  Values that are not finite are left out.
+    seed.  Values that are not finite are left out; with ``dense`` the caller has done so.
     """
     if not 0 < confidence < 1:
         raise ValueError("confidence must be between zero and one")
-    values = renumbered(values)
-    sized = values.groupBy("series").agg(F.count("*").alias("n")).join(blocks, "series", "right").withColumn("n", F.coalesce("n", F.lit(0)))
+    values = values if dense else stash(renumbered(values), "renumbered")
+    sized = values.groupBy("series").agg(F.count("*").alias("n"), F.avg("value").alias("own_mean")).join(blocks, "series", "right").withColumn("n", F.coalesce("n", F.lit(0)))
     design = sized.withColumn("design", block_design(F.col("n"), F.col("block_length"))).withColumn("reasons", F.concat("design.reasons", F.array(*([F.lit("nonpositive_resample_count")] if resamples <= 0 else [])).cast("array<string>")))
-    kind = values.schema["series"].dataType.simpleString()
-    shape = f"series {kind}, mean double, low double, high double, positive double, negative double, own_reasons array<string>"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        x = rows["value"].to_numpy()
-        means = block_means(x, int(rows["block_length"].iloc[0]), resamples, seed)
-        mean = float(x.mean())
-        null = means - mean
-        tolerance = UNIT * 64 * max(1.0, float(np.abs(null).max()))
-        why = ["numerically_degenerate_bootstrap_distribution"] * (float(np.ptp(null)) <= tolerance) + ["too_few_unique_bootstrap_statistics"] * (len(np.unique(np.rint(null / tolerance))) < LEAST_DISTINCT)
-        tail = (1 - confidence) / 2
-        got = [None] * 5 if why else [mean, *map(float, np.quantile(means, [tail, 1 - tail])), *((1 + int(hit.sum())) / (resamples + 1) for hit in (null >= mean, null <= mean))]
-        return pd.DataFrame([[rows["series"].iloc[0], *got, why]], columns=[f.split()[0] for f in shape.split(", ")])
-
-    fit = design.where("size(reasons) = 0").select("series", "block_length")
-    drawn = values.join(fit, "series").select("series", "idx", "value", "block_length").groupBy("series").applyInPandas(run, shape)
-    joined = design.join(drawn, "series", "left")
+    design = stash(design, "block-designs")
+    fit = design.where("size(reasons) = 0").select("series", "n", "own_mean", F.col("block_length").cast("long").alias("block_length"))
+    rows = block_mean_rows(values.join(fit.select("series"), "series", "left_semi"), fit.drop("own_mean"), max(resamples, 1), seed)
+    rows = stash(rows.join(fit.select("series", "own_mean"), "series"), "resamples")
+    null, tail = F.col("mean") - F.col("own_mean"), (1 - confidence) / 2
+    drawn_ = rows.groupBy("series").agg(
+        F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("ends"), *[((1 + F.count_if(hit)) / (resamples + 1)).alias(name) for name, hit in (("positive", null >= F.col("own_mean")), ("negative", null <= F.col("own_mean")))]
+    )
+    audit = audit_distribution(rows.select("series", null.alias("value"))).select("series", F.col("reasons").alias("own_reasons"))
+    joined = design.join(drawn_.join(audit, "series"), "series", "left")
+    none = F.array().cast("array<string>")
+    good = F.size(F.coalesce("own_reasons", F.array(F.lit("none drawn")))) == 0
+    shown = lambda c: F.when(good, c)
     return joined.select(
-        "series", F.col("n").alias("nominal_observations"), "block_length", "design.effective_blocks", "mean", F.col("low").alias("confidence_interval_low"), F.col("high").alias("confidence_interval_high"),
-        F.col("positive").alias("positive_one_sided_p_value"), F.col("negative").alias("negative_one_sided_p_value"), F.when(F.col("positive").isNotNull(), F.least(F.lit(1.0), 2 * F.least("positive", "negative"))).alias("two_sided_p_value"),
-        F.concat("reasons", F.coalesce("own_reasons", F.array().cast("array<string>"))).alias("unavailable_reasons"),
+        "series", F.col("n").alias("nominal_observations"), "block_length", "design.effective_blocks", shown(F.col("own_mean")).alias("mean"), shown(F.col("ends")[0]).alias("confidence_interval_low"), shown(F.col("ends")[1]).alias("confidence_interval_high"),
+        shown(F.col("positive")).alias("positive_one_sided_p_value"), shown(F.col("negative")).alias("negative_one_sided_p_value"), shown(F.least(F.lit(1.0), 2 * F.least("positive", "negative"))).alias("two_sided_p_value"),
+        F.concat("reasons", F.coalesce("own_reasons", none)).alias("unavailable_reasons"),
     ).withColumn("available", F.size("unavailable_reasons") == 0)
 
 
 def mean_inference(values: DataFrame, overlap_horizon: int = 1, minimum_lag: int = 0, block_length: int | None = None, resamples: int = 1000, seed: int = 1729) -> DataFrame:
     """Both inferences and whether their confirmation is available."""
-    hac = newey_west(values, overlap_horizon, minimum_lag)
+    values = stash(renumbered(values), "renumbered")
+    hac = newey_west(values, overlap_horizon, minimum_lag, dense=True)
     block = F.lit(block_length) if block_length is not None else F.greatest(F.col("hac_lag") + 1, F.lit(overlap_horizon), F.lit(1))
-    boot = bootstrap_mean(values, hac.select("series", block.cast("long").alias("block_length")), resamples, seed)
+    boot = bootstrap_mean(values, hac.select("series", block.cast("long").alias("block_length")), resamples, seed, dense=True)
     nested = lambda df, name: df.select("series", F.struct(*[c for c in df.columns if c != "series"]).alias(name))
     both = nested(hac, "hac").join(nested(boot, "block_bootstrap"), "series")
     has = F.col("hac.hac_t_stat").isNotNull()

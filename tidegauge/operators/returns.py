@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.ordering import same_keys
+
 PERIODS = 252
 #: Days of a stretch of a series whose curve is followed in one task.
 STRETCH_DAYS = 1024
@@ -61,11 +63,31 @@ def indexed(daily: DataFrame, keys: tuple[str, ...] = ("series",), stretch_days:
     return cut.join(before, [*keys, "stretch"]).withColumn("idx", F.col("before") + place - 1).drop("before", "stretch")
 
 
-def drawdowns(daily: DataFrame, keys: tuple[str, ...] = ("series",)) -> DataFrame:
-    """Curve, running peak (from 1) and drawdown at each row."""
-    so_far = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    curve = daily.withColumn("curve", F.product(1 + F.col("net_return")).over(so_far))
-    return curve.withColumn("peak", F.greatest(F.lit(1.0), F.max("curve").over(so_far))).withColumn("drawdown", F.col("curve") / F.col("peak") - 1)
+def _stretches(daily: DataFrame, keys: tuple[str, ...], stretch_days: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with _own and _top, the curve and its highest value from the start of their
+    stretch of days; and (product, low, high, fall) of each stretch."""
+    cut = daily.withColumn("_stretch", F.floor(F.datediff("date", F.lit("1970-01-01")) / stretch_days))
+    so_far = Window.partitionBy(*keys, "_stretch").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    curve = cut.withColumn("_own", F.product(1 + F.col("net_return")).over(so_far))
+    rows = curve.withColumn("_top", F.max("_own").over(so_far))
+    return rows, rows.groupBy(*keys, "_stretch").agg(F.max_by("_own", "date").alias("product"), F.min("_own").alias("low"), F.max("_own").alias("high"), F.min(F.col("_own") / F.col("_top") - 1).alias("fall"))
+
+
+def drawdowns(daily: DataFrame, keys: tuple[str, ...] = ("series",), stretch_days: int = STRETCH_DAYS) -> DataFrame:
+    """Adds curve, peak (from 1) and drawdown of each row.
+
+    A scan in two passes: (product, high) of each stretch give the level and the peak
+    that the next one starts from, and its rows go on from there.  Only these pairs, one
+    for each stretch, follow each other in one task.
+    """
+    rows, parts = _stretches(daily, keys, stretch_days)
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    level = parts.withColumn("_level", F.coalesce(F.product("product").over(before), F.lit(1.0)))
+    start = level.select(*keys, "_stretch", "_level", F.greatest(F.lit(1.0), F.max(F.col("_level") * F.col("high")).over(before)).alias("_peak"))
+    found = same_keys(rows, start, [*keys, "_stretch"])
+    curve = F.col("_level") * F.col("_own")
+    peak = F.greatest("_peak", F.col("_level") * F.col("_top"))
+    return found.select(*daily.columns, curve.alias("curve"), peak.alias("peak"), (curve / peak - 1).alias("drawdown"))
 
 
 def max_drawdown(daily: DataFrame, keys: tuple[str, ...] = ("series",), stretch_days: int = STRETCH_DAYS) -> DataFrame:
@@ -75,12 +97,8 @@ def max_drawdown(daily: DataFrame, keys: tuple[str, ...] = ("series",), stretch_
     relative to its start; these four of neighbours combine, so a long series is
     followed in many tasks.
     """
-    cut = daily.withColumn("stretch", F.floor(F.datediff("date", F.lit("1970-01-01")) / stretch_days))
-    own = Window.partitionBy(*keys, "stretch").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    curve = cut.withColumn("curve", F.product(1 + F.col("net_return")).over(own))
-    fall = curve.withColumn("fall", F.col("curve") / F.max("curve").over(own) - 1)
-    part = fall.groupBy(*keys, "stretch").agg(F.max_by("curve", "date").alias("product"), F.min("curve").alias("low"), F.max("curve").alias("high"), F.min("fall").alias("fall"))
-    parts = part.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("stretch", "product", "low", "high", "fall"))).alias("parts"))
+    part = _stretches(daily, keys, stretch_days)[1]
+    parts = part.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_stretch", "product", "low", "high", "fall"))).alias("parts"))
     merged = F.expr("""aggregate(parts, named_struct('at', 1D, 'peak', 1D, 'fall', 0D),
         (a, p) -> named_struct('at', a.at * p.product, 'peak', greatest(a.peak, a.at * p.high), 'fall', least(a.fall, p.fall, a.at * p.low / a.peak - 1)), a -> a.fall)""")
     return parts.select(*keys, merged.alias("max_drawdown"))

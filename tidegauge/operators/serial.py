@@ -6,14 +6,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidegauge.functions.numeric import TINY, UNIT, chi_square_survival, partial_autocorrelations
-from tidegauge.operators.inference import erfc_udf, lag_products, moments
-from tidegauge.operators.multiplicity import benjamini_hochberg
+from tidegauge.functions.numeric import TINY, UNIT, chi_square_survival, factor, last_coefficients, merged
+from tidegauge.operators.inference import BUCKET, erfc_udf, lag_products, moments
+from tidegauge.operators.multiplicity import step_up
 from tidegauge.operators.returns import nonfinite_series
+from tidegauge.operators.windows import with_halo
+from tidegauge.sources.tables import stash
 
 BAND = 1.959963984540054
 
@@ -41,22 +45,66 @@ def _known(values: DataFrame, most: int) -> DataFrame:
     return m.withColumn("varies", F.col("centered_energy") > UNIT * F.greatest("energy", F.lit(TINY)))
 
 
-def autocorrelations(values: DataFrame, max_lag: int = 20) -> DataFrame:
-    """(series, lag, acf); null where the variation cannot be told from rounding."""
-    known = _known(values, max_lag)
+def autocorrelations(values: DataFrame, max_lag: int = 20, known: DataFrame | None = None) -> DataFrame:
+    """(series, lag, acf); null where the variation cannot be told from rounding.  A series
+    with a value that is not finite is an error; ``known``: the caller has looked."""
+    known = known or _known(reject_nonfinite(values), max_lag)
     products = lag_products(values, known, max_lag).join(known.select("series", "centered_energy", "varies"), "series")
     return products.select("series", "lag", F.when(F.col("varies"), F.col("product") / F.col("centered_energy")).alias("acf"))
 
 
-def partial_autocorrelation_rows(values: DataFrame, max_lag: int = 20) -> DataFrame:
-    """(series, lag, pacf), by regressions on a whole series in one task."""
-    kind = values.schema["series"].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = partial_autocorrelations(rows.sort_values("idx")["value"].to_numpy(), max_lag)
-        return pd.DataFrame({"series": rows["series"].iloc[0], "lag": np.arange(1, len(got) + 1), "pacf": np.array(got, dtype=float)})
-
-    return values.select("series", "idx", "value").groupBy("series").applyInPandas(run, f"series {kind}, lag long, pacf double")
+#: Factors that one task merges.
+MERGED = 256
+
+
+def partial_autocorrelation_rows(values: DataFrame, max_lag: int = 20, known: DataFrame | None = None) -> DataFrame:
+    """(series, lag, pacf): the last coefficient of the regression on 1 to ``lag`` lags.
+
+    Buckets of a series, with the rows before them, give the triangular factors of their
+    regression rows, which are merged ``MERGED`` at a time up a tree.  A factor is no
+    larger than the lags squared, and has the singular values of all its rows, so the
+    rank is judged as in a regression on the whole series; sums of products would have
+    them squared and lose it.  Errors as in ``autocorrelations``.
+    """
+    known = known or _known(reject_nonfinite(values), max_lag)
+    top = known.agg(F.max("lags").alias("lags"), F.max("n").alias("n")).first()
+    most = int(top.lags or 0)
+    size = max(BUCKET, 4 * most)
+    buckets = -(-int(top.n or 0) // size)
+    kind, id_type = values.schema["series"].dataType.simpleString(), to_arrow_type(values.schema["series"].dataType)
+    limits = known.where("lags > 0").select("series", "mean", "lags", "varies", "n")
+    centered = values.join(limits.where("varies"), "series").select("series", "idx", (F.col("value") - F.col("mean")).alias("c"), "lags", "n")
+    shape = f"series {kind}, bucket long, lags long, n long, head binary, factor binary"
+
+    def factors(group: pa.Table) -> pa.Table:
+        group = group.sort_by("idx")
+        c, bucket, lags, n = group.column("c").to_numpy(), group.column("bucket")[0].as_py(), group.column("lags")[0].as_py(), group.column("n")[0].as_py()
+        start = int(np.searchsorted(group.column("idx").to_numpy(), bucket * size))
+        head = c[:lags] if bucket == 0 else c[:0]
+        return _row(group.column("series")[0], bucket, lags, n, head, factor(c, lags, start))
+
+    def merge(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        lags = rows[0]["lags"]
+        head = max((np.frombuffer(r["head"]) for r in rows), key=len)
+        return _row(group.column("series")[0], rows[0]["bucket"] // MERGED, lags, rows[0]["n"], head, merged([np.frombuffer(r["factor"]).reshape(-1, lags + 2) for r in rows]))
+
+    def _row(series, bucket, lags, n, head, found) -> pa.Table:
+        return pa.table({"series": pa.array([series.as_py()], id_type), "bucket": [bucket], "lags": [lags], "n": [n], "head": pa.array([head.tobytes()], pa.binary()), "factor": pa.array([np.ascontiguousarray(found).tobytes()], pa.binary())})
+
+    tree = with_halo(centered, size, most).select("series", "bucket", "idx", "c", "lags", "n").groupBy("series", "bucket").applyInArrow(factors, shape)
+    while buckets > 1:
+        tree, buckets = tree.groupBy("series", F.floor(F.col("bucket") / MERGED).alias("group")).applyInArrow(merge, shape), -(-buckets // MERGED)
+
+    def solve(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                got = last_coefficients(np.frombuffer(row["factor"]).reshape(-1, row["lags"] + 2), np.frombuffer(row["head"]), row["n"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["series"]] * len(got), id_type), pa.array(np.arange(1, len(got) + 1)), pa.array(got, pa.float64())], names=["series", "lag", "pacf"])
+
+    found = tree.mapInArrow(solve, f"series {kind}, lag long, pacf double")
+    flat = limits.where("not varies").select("series", F.explode(F.sequence(F.lit(1).cast("long"), "lags")).alias("lag"), F.lit(None).cast("double").alias("pacf"))
+    return found.unionByName(flat)
 
 
 def ljung_box(acf: DataFrame, sizes: DataFrame, model_degrees: int = 0) -> DataFrame:
@@ -70,14 +118,15 @@ def series_diagnostics(values: DataFrame, max_lag: int = 20, model_degrees: int
     """One record for each series, with its lags in an array; an error if a value is not finite."""
     if not 0 < alpha < 1 or model_degrees < 0:
         raise ValueError("alpha must be between zero and one, model degrees at least 0")
-    values = reject_nonfinite(values)
-    known = _known(values, max_lag).join(values.groupBy("series").agg(F.avg((F.col("value") == 0).cast("double")).alias("zero_fraction")), "series")
-    acf = autocorrelations(values, max_lag)
-    lags = acf.join(partial_autocorrelation_rows(values, max_lag), ["series", "lag"], "left").join(known.select("series", "n"), "series")
+    values = reject_nonfinite(stash(values, "diagnosed"))
+    zeros = values.groupBy("series").agg(F.avg((F.col("value") == 0).cast("double")).alias("zero_fraction"))
+    known = stash(_known(values, max_lag).join(zeros, "series"), "moments")
+    acf = stash(autocorrelations(values, max_lag, known), "autocorrelations")
+    lags = acf.join(partial_autocorrelation_rows(values, max_lag, known), ["series", "lag"], "left").join(known.select("series", "n"), "series")
     kinds = F.array(F.struct(F.lit("acf").alias("kind"), F.col("acf").alias("r")), F.struct(F.lit("pacf").alias("kind"), F.col("pacf").alias("r")))
     tests = lags.select("series", "lag", "n", F.inline(kinds)).withColumn("p_value", erfc_udf(F.abs("r") * F.sqrt("n") / math.sqrt(2)))
     tests = tests.withColumn("p_value", F.when(F.col("r").isNotNull(), F.col("p_value")))
-    tests = benjamini_hochberg(tests, ("series", "kind")).withColumn("exceeds", F.abs("r") > BAND / F.sqrt("n"))
+    tests = step_up(tests, ("series", "kind")).withColumn("exceeds", F.abs("r") > BAND / F.sqrt("n"))
     one = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     wide = tests.groupBy("series", "lag").agg(*[one(k, c).alias(n) for k in ("acf", "pacf") for c, n in (("r", k), ("p_value", f"{k}_p_value"), ("q_value", f"{k}_q_value"), ("exceeds", f"{k}_exceeds_band"))])
     record = F.struct("lag", *[f"{k}{x}" for k in ("acf", "pacf") for x in ("", "_p_value", "_q_value", "_exceeds_band")])

@@ -29,7 +29,7 @@ def with_halo(rows: DataFrame, size: int, halo: int) -> DataFrame:
 def _far_drawdowns(rows: DataFrame, horizon: int, size: int) -> DataFrame:
     """series, idx and drawdown of long windows, by numpy within buckets."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx")
         falls = window_drawdowns(rows["net_return"].to_numpy(), horizon)
         out = rows.iloc[horizon - 1 :][["series", "idx"]].assign(far=falls)
