@@ -52,7 +52,7 @@ def test_windows_of_constant_returns(spark):
         windows.overlapping_windows(daily(spark, [0.0]), [0])
 
 
-@pytest.mark.parametrize("horizon", [5, 80])
+@pytest.mark.parametrize("horizon", [1, 5, 80, 119])
 def test_window_drawdowns_across_buckets(spark, monkeypatch, horizon):
     monkeypatch.setattr(windows, "BUCKET", 16)
     x = np.random.default_rng(5).normal(0, 0.02, 700)

@@ -149,12 +149,3 @@ def drawn(seed: int, n: int, start: int, count: int, counts: np.ndarray, slice_s
                 return
         first += asked
 
-
-def window_drawdowns(returns: np.ndarray, horizon: int) -> np.ndarray:
-    """Largest drawdown within each window of the last ``horizon`` returns."""
-    if len(returns) < horizon:
-        return np.empty(0)
-    log = np.log1p(returns)
-    total = np.concatenate([[0.0], np.cumsum(log)])
-    curve = np.lib.stride_tricks.sliding_window_view(total, horizon + 1)
-    return np.expm1((curve - np.maximum.accumulate(curve, axis=1)).min(axis=1))

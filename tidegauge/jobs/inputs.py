@@ -6,25 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.symbols import normalize_symbol
+from tidegauge.operators.ordering import placed
+from tidegauge.operators.returns import indexed
 from tidegauge.sources.tables import table
 
 
+#: Customers of a desk: desks grow with the orders, and each has some hundred dates.
+DESK = 100
+
+
 def returns(spark: SparkSession, sf: str) -> DataFrame:
-    """A return series for each order priority."""
-    rows = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("date"))
+    """A return series for each desk of customers."""
+    desk = F.concat(F.lit("desk "), F.floor(F.col("o_custkey") / DESK).cast("string"))
+    rows = table(spark, sf, "orders").groupBy(desk.alias("series"), F.to_date("o_orderdate").alias("date"))
     paid = rows.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("paid"), F.count("*").alias("n"))
     return paid.select("series", "date", ((F.col("paid") / F.col("n") - 250000) / 25000000).alias("net_return"))
 
 
-RETURNS = """r as (select o_orderpriority as series, o_orderdate::date as date,
+RETURNS = f"""r as (select 'desk ' || (o_custkey // {DESK})::bigint as series, o_orderdate::date as date,
     (sum(o_totalprice::decimal(18,2))::double / count(*) - 250000) / 25000000 as net_return from orders group by all)"""
 INDEXED = RETURNS + ", i as (select *, row_number() over (partition by series order by date) - 1 as idx from r)"
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
 def values(spark: SparkSession, sf: str) -> DataFrame:
-    from tidegauge.operators.returns import indexed
+    """The desks' returns, and a series for each return flag with a place for each line: few
+    that grow with the lines beside many that do not."""
+    desks = indexed(returns(spark, sf)).select("series", "idx", F.col("net_return").alias("value"))
+    lines = table(spark, sf, "lineitem").select(F.concat(F.lit("flag "), "l_returnflag").alias("series"), (F.col("l_quantity") / 5000 - 0.005).alias("value"), *LINE)
+    return desks.unionByName(placed(lines, ["series"], LINE).select("series", F.col("_place").alias("idx"), "value"))
+
 
-    return indexed(returns(spark, sf)).select("series", "idx", F.col("net_return").alias("value"))
+VALUES = INDEXED + f""", v as (select series, idx, net_return as value from i union all
+    select 'flag ' || l_returnflag, row_number() over (partition by l_returnflag order by {", ".join(LINE)}) - 1, l_quantity / 5000 - 0.005 from lineitem)"""
 
 
 def membership(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.jobs import inputs
 from tidegauge.operators import asof, calendar, crosssec, events, inference, labels, multiplicity, outcomes, packs, retention, returns, serial, snapshots, units, windows
+from tidegauge.functions.clocks import strict_date
 from tidegauge.functions.symbols import is_symbol6, normalize_symbol
 from tidegauge.sources.tables import fresh_folder, scan_statistics, selected, table
 
@@ -84,13 +85,38 @@ def _readiness(spark, sf):
 
 def _hac(spark, sf):
     found = inference.newey_west(inputs.values(spark, sf), overlap_horizon=12)
-    return rounded(found.select("series", "nominal_observations", "hac_lag", (F.col("mean") * 1e6).alias("mean_e6"), (F.col("hac_long_run_variance") * 1e9).alias("lrv_e9"), "iid_t_stat", "hac_t_stat", "effective_observations"), 6)
+    lags = {"first_autocorrelation": F.get("lag_autocorrelations", F.lit(0)), "sum_of_autocorrelations": F.aggregate("lag_autocorrelations", F.lit(0.0), lambda a, x: a + x)}
+    return rounded(found.select("series", "nominal_observations", "hac_lag", (F.col("mean") * 1e6).alias("mean_e6"), (F.col("hac_long_run_variance") * 1e9).alias("lrv_e9"), "iid_t_stat", "hac_t_stat", "effective_observations",
+                                "hac_two_sided_p_value", "hac_positive_one_sided_p_value", "hac_negative_one_sided_p_value", *[c.alias(n) for n, c in lags.items()]), 6)
+
+
+def _hac_ratios(spark, sf):
+    return rounded(inference.hac_ratios(inference.newey_west(inputs.values(spark, sf), overlap_horizon=12)), 6)
+
+
+def _sizes(spark, sf):
+    return inputs.values(spark, sf).groupBy("series").agg(F.count("*").alias("n"))
+
+
+def _designs(spark, sf):
+    """Blocks of 8, of a fifth and of all of each series."""
+    lengths = F.explode(F.array(F.lit(8).cast("long"), F.floor(F.col("n") / 5), F.col("n"))).alias("block_length")
+    found = _sizes(spark, sf).select("series", "n", lengths).withColumn("design", inference.block_design(F.col("n"), F.col("block_length")))
+    return rounded(found.select("series", "n", "block_length", "design.effective_blocks", F.array_join("design.reasons", ",").alias("reasons")))
+
+
+def _distributions(spark, sf):
+    """Statistics of each supplier: discounts (few different ones), some without any, some all alike."""
+    rows = table(spark, sf, "lineitem")
+    value = F.when(F.col("l_suppkey") % 7 == 0, None).when(F.col("l_suppkey") % 5 == 0, 0.25).when(F.col("l_suppkey") % 3 == 0, F.col("l_quantity")).otherwise(F.col("l_discount"))
+    found = inference.audit_distribution(rows.select(F.col("l_suppkey").alias("series"), value.alias("value")))
+    return rounded(found.withColumn("reasons", F.array_join("reasons", ",")))
 
 
 def _ljung(spark, sf):
     v = inputs.values(spark, sf)
     sizes = v.groupBy("series").agg(F.count("*").alias("n")).withColumn("lags", serial.lag_limit(F.col("n"), 20))
-    return rounded(serial.ljung_box(serial.autocorrelations(v, 20), sizes).select("series", F.col("statistic"), "degrees_of_freedom"), 6)
+    return rounded(serial.ljung_box(serial.autocorrelations(v, 20), sizes).select("series", "statistic", "degrees_of_freedom", "p_value"), 6)
 
 
 def _bootstrap(spark, sf):
@@ -99,6 +125,20 @@ def _bootstrap(spark, sf):
     return found.withColumn("unavailable_reasons", F.array_join("unavailable_reasons", ","))
 
 
+def _violations(spark, sf):
+    """Returns of orders as texts: dates that repeat, that are none, and returns of less than everything."""
+    o = table(spark, sf, "orders")
+    date = F.when(F.col("o_orderkey") % 19 == 0, "1995-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    paid = F.when(F.col("o_orderkey") % 23 == 0, "none").when(F.col("o_orderkey") % 29 == 0, "-1.5").when(F.col("o_orderkey") % 31 == 0, "Infinity").otherwise("0.01")
+    return returns.return_violations(o.select(F.col("o_custkey").alias("series"), date.alias("date"), paid.alias("net_return")))
+
+
+def _strict_dates(spark, sf):
+    o = table(spark, sf, "orders")
+    forms = F.when(F.col("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "yyyy-M-d")).when(F.col("o_orderkey") % 4 == 1, F.concat(F.date_format("o_orderdate", "yyyy-MM-"), F.lit("31"))).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select("o_orderkey", forms.alias("raw")).select("o_orderkey", "raw", strict_date("raw").cast("string").alias("date"))
+
+
 def _memory(spark, sf):
     return serial.dependence_diagnostics(inputs.values(spark, sf))[1]
 
@@ -158,7 +198,7 @@ def _watchdog(spark, sf):
     beats = inputs.heartbeats(spark, sf)
     states = beats.groupBy("run_id").agg(F.max_by("status", "heartbeat_at").alias("status")).withColumn("blocker", F.when(F.col("status") == "failed", "dispatch_failed"))
     runs = beats.select("run_id").distinct()
-    r = inputs.receipts(spark, sf).where("cast(target as long) % 3 = 0")
+    r = inputs.receipts(spark, sf)
     h = events.delivery_health(r, r, inputs.acks(spark, sf), inputs.NOW, timeout_s=inputs.TIMEOUT_S).withColumn("run_id", F.concat(F.lit("run"), F.col("target")))
     registered = runs.where("substring(run_id, 4) % 5 <> 0")
     return events.watchdog(registered, states, beats, h, F.lit(_clock(spark, sf)), runs.where("substring(run_id, 4) % 7 = 0"))
@@ -215,9 +255,10 @@ def _benchmark_ids(spark, sf):
 QUERIES = {
     "path_metrics": lambda s, d: rounded(returns.path_metrics(inputs.returns(s, d)), 6),
     "without_best_days": lambda s, d: rounded(returns.without_best_days(inputs.returns(s, d))),
-    "overlapping_windows": lambda s, d: rounded(_windows(s, d).select("series", "horizon", "start_date", "end_date", "total_return", "win_rate", F.struct(F.round("max_drawdown", 5).alias("max_drawdown"), "worst_day").alias("exact"))).select("*", "exact.*").drop("exact"),
+    "drawdown_curve": lambda s, d: rounded(returns.drawdowns(inputs.returns(s, d)).select("series", "date", "curve", "peak", "drawdown")),
+    "overlapping_windows": lambda s, d: rounded(_windows(s, d).select("series", "horizon", "start_date", "end_date", "total_return", "annualized_return", "annualized_volatility", "sharpe", "max_drawdown", F.struct("worst_day").alias("exact"), "win_rate"), 7).select("*", "exact.worst_day").drop("exact"),
     "window_summary": lambda s, d: rounded(windows.summarize_windows(_windows(s, d)), 6),
-    "calendar_periods": lambda s, d: rounded(calendar.calendar_periods(inputs.returns(s, d)).select("series", "period_kind", "period", "start_date", "end_date", "observations", "total_return", "max_drawdown", "win_rate")),
+    "calendar_periods": lambda s, d: rounded(calendar.calendar_periods(inputs.returns(s, d)).select("series", "period_kind", "period", "start_date", "end_date", "observations", "total_return", "annualized_return", "annualized_volatility", "sharpe", "max_drawdown", "worst_day", "win_rate"), 6),
     "calendar_positive_fraction": lambda s, d: rounded(calendar.positive_fraction(calendar.calendar_periods(inputs.returns(s, d)))),
     "asof_membership": lambda s, d: rounded(asof.assert_no_future(_membership(s, d, asof.resolve_membership))),
     "asof_audit": lambda s, d: rounded(_membership(s, d, asof.audit_membership)),
@@ -234,6 +275,11 @@ QUERIES = {
     "ledger_audit": lambda s, d: labels.audit_ledger(inputs.ledger(s, d)),
     "readiness": _readiness,
     "newey_west": _hac,
+    "hac_ratios": _hac_ratios,
+    "block_designs": _designs,
+    "distribution_audit": _distributions,
+    "return_violations": _violations,
+    "strict_dates": _strict_dates,
     "autocorrelations": lambda s, d: rounded(serial.autocorrelations(inputs.values(s, d), 20)),
     "ljung_box": _ljung,
     "partial_autocorrelations": lambda s, d: serial.partial_autocorrelation_rows(inputs.values(s, d), 20),
@@ -262,7 +308,7 @@ QUERIES = {
     "references": _mentions,
 }
 
-_METRICS = """select {keys}, count(*) as observations, product(1 + net_return) - 1 as total_return, avg(net_return) as mean, stddev_samp(net_return) as spread, min(net_return) as worst_day,
+_METRICS = """select {keys}, count(*) as observations, product(1 + net_return) - 1 as total_return, avg(net_return) as mean, stddev_samp(net_return) as spread, min(net_return) as worst_day, max(net_return) as best_day,
     avg((net_return > 0)::int) as win_rate, min(date) as start_date, max(date) as end_date from {rows} group by {keys}"""
 _FALL = """select {keys}, least(0, min(curve / peak - 1)) as max_drawdown from (select *, greatest(1, max(curve) over w) as peak from
     (select *, product(1 + net_return) over w as curve from {rows} window w as (partition by {keys} order by date)) window w as (partition by {keys} order by date)) group by {keys}"""
@@ -271,17 +317,24 @@ _WINDOWS = f"""with {inputs.INDEXED}, h(horizon) as (values (20), (60), (90)),
     c as (select *, product(1 + net_return) over w as curve from x window w as (partition by series, horizon, stop order by date)),
     p as (select *, greatest(1, max(curve) over (partition by series, horizon, stop order by date)) as peak from c),
     w as (select series, horizon::int as horizon, min(date) as start_date, max(date) as end_date, product(1 + net_return) - 1 as total_return, least(0, min(curve / peak - 1)) as max_drawdown,
-          min(net_return) as worst_day, avg((net_return > 0)::int) as win_rate, avg(net_return) / stddev_samp(net_return) * sqrt(252) as sharpe from p group by series, horizon, stop)"""
+          min(net_return) as worst_day, avg((net_return > 0)::int) as win_rate, case when min(net_return) < max(net_return) then stddev_samp(net_return) else 0 end * sqrt(252) as volatility, avg(net_return) / stddev_samp(net_return) * sqrt(252) as sharpe from p group by series, horizon, stop)"""
 _CALENDAR = f"""with {inputs.RETURNS}, k as (select series, 'calendar_year' as period_kind, year(date)::varchar as period, date, net_return from r
     union all select series, 'calendar_quarter', year(date) || 'Q' || quarter(date), date, net_return from r),
     a as ({_METRICS.format(keys="series, period_kind, period", rows="k")}), f as ({_FALL.format(keys="series, period_kind, period", rows="k")})"""
 _RANK = """with x as (select row_number() over () as row_id, l_orderkey, l_linenumber, l_shipdate::date as date, case when l_partkey % 17 > 0 then l_discount end as value from lineitem),
     k as (select *, rank() over (partition by date order by value {direction}) as r, count(*) over (partition by date, value) as ties, count(*) over (partition by date) as n from x where value is not null)
     select x.l_orderkey, x.l_linenumber, round(coalesce((k.r + (k.ties - 1) / 2) / k.n - 0.5, 0), 8) as score from x left join k using (row_id)"""
-_LAGS = f"""with {inputs.INDEXED}, m as (select series, count(*) as n, avg(net_return) as mean from r group by series),
-    c as (select i.series, i.idx, i.net_return - m.mean as c from i join m using (series)),
+_LAGS = f"""with {inputs.VALUES}, m as (select series, count(*) as n, avg(value) as mean from v group by series),
+    c as (select v.series, v.idx, v.value - m.mean as c from v join m using (series)),
     z as (select series, sum(c * c) as energy from c group by series),
-    g as (select a.series, a.idx - b.idx as lag, sum(a.c * b.c) as product from c a join c b on a.series = b.series and b.idx between a.idx - 60 and a.idx - 1 group by all)"""
+    b as (select series, idx + lag as idx, lag, c from c, range(1, 61) t(lag)),
+    g as (select a.series, b.lag, sum(a.c * b.c) as product from c a join b using (series, idx) group by all)"""
+#: erfc for finite x of up to about 6; the terms are (2 x^2)^k / (1 * 3 * ... * (2 k + 1)).
+_ERFC = "(1 - sign({x}) * (case when abs({x}) > 6 or {x} = 0 then abs(sign({x})) else 2 / sqrt(pi()) * abs({x}) * exp(-({x}) * ({x})) * list_sum(list_transform(range(220), lambda k: exp(k * ln(2 * ({x}) * ({x})) - (k + 1) * ln(2) - lgamma(k + 1.5::double) + ln(pi()) / 2))) end))"
+_HAC = _LAGS + """, n as (select m.*, z.energy, least(n - 1, greatest(11, floor(4 * pow(n / 100.0, 2 / 9::double))::bigint)) as lags from m join z using (series)),
+        l as (select n.series, sum(2 * (1 - g.lag / (n.lags + 1)) * g.product / n.n) as weighed, sum(g.product / n.energy) as acf, max(g.product / n.energy) filter (g.lag = 1) as acf_1 from n join g on g.series = n.series and g.lag <= n.lags group by n.series),
+        w as (select n.*, l.acf, l.acf_1, greatest(0, energy / n.n + coalesce(weighed, 0)) as lrv from n left join l using (series)),
+        t as (select *, mean / sqrt(lrv / n) as t from w)"""
 _HEALTH = """r as (select o_orderkey as k, o_custkey as target, o_orderdate::timestamp as queued from orders),
     f as (select l_orderkey as k, min(l_shipdate::timestamp) as acked, count(*) - 1 as repeats from lineitem where {lines} group by 1)"""
 
@@ -291,11 +344,16 @@ ORACLE_SQL = {
         round(mean / spread * sqrt(252), 6) as sharpe, round(max_drawdown, 6) as max_drawdown, round(worst_day, 6) as worst_day, round(win_rate, 6) as win_rate from a join f using (series)""",
     "without_best_days": f"""with {inputs.RETURNS}, k as (select *, row_number() over (partition by series order by net_return desc) as place from r)
         select series, {", ".join(f"round(product(1 + net_return) filter (place > {n}) - 1, 8) as without_best_{n}" for n in (1, 5, 10))} from k group by series""",
-    "overlapping_windows": _WINDOWS + " select series, horizon, start_date::varchar as start_date, end_date::varchar as end_date, round(total_return, 8) as total_return, round(max_drawdown, 5) as max_drawdown, worst_day, round(win_rate, 8) as win_rate from w",
+    "overlapping_windows": _WINDOWS + """ select series, horizon, start_date::varchar as start_date, end_date::varchar as end_date, round(total_return, 7) as total_return, round(pow(1 + total_return, 252 / horizon) - 1, 7) as annualized_return,
+        round(volatility, 7) as annualized_volatility, round(sharpe, 7) as sharpe, round(max_drawdown, 7) as max_drawdown, worst_day, round(win_rate, 7) as win_rate from w""",
     "window_summary": _WINDOWS + """ select series, horizon, count(*) as window_count, round(avg((total_return > 0)::int), 6) as positive_window_fraction, round(avg(total_return), 6) as mean_total_return, round(quantile_cont(total_return, 0.5), 6) as median_total_return,
         round(min(total_return), 6) as minimum_total_return, round(quantile_cont(total_return, 0.1), 6) as p10_total_return, round(quantile_cont(total_return, 0.9), 6) as p90_total_return, round(max(total_return), 6) as maximum_total_return,
         round(quantile_cont(sharpe, 0.5), 6) as median_sharpe, round(min(max_drawdown), 6) as worst_window_drawdown, max(end_date)::varchar as latest_window_end_date, round(arg_max(total_return, end_date), 6) as latest_window_total_return from w group by series, horizon""",
-    "calendar_periods": _CALENDAR + " select series, period_kind, period, start_date::varchar as start_date, end_date::varchar as end_date, observations, round(total_return, 8) as total_return, round(max_drawdown, 8) as max_drawdown, round(win_rate, 8) as win_rate from a join f using (series, period_kind, period)",
+    "calendar_periods": _CALENDAR + """ select series, period_kind, period, start_date::varchar as start_date, end_date::varchar as end_date, observations, round(total_return, 6) as total_return, round(pow(1 + total_return, 252 / observations) - 1, 6) as annualized_return,
+        round(case when observations > 1 and worst_day < best_day then spread else 0 end * sqrt(252), 6) as annualized_volatility, round(case when observations > 1 and worst_day < best_day then mean / spread * sqrt(252) end, 6) as sharpe,
+        round(max_drawdown, 6) as max_drawdown, round(worst_day, 6) as worst_day, round(win_rate, 6) as win_rate from a join f using (series, period_kind, period)""",
+    "drawdown_curve": f"""with {inputs.RETURNS}, c as (select *, product(1 + net_return) over (partition by series order by date) as curve from r), p as (select *, greatest(1, max(curve) over (partition by series order by date)) as peak from c)
+        select series, date::varchar as date, round(curve, 8) as curve, round(peak, 8) as peak, round(curve / peak - 1, 8) as drawdown from p""",
     "calendar_positive_fraction": _CALENDAR + " select series, period_kind, round(avg((total_return > 0)::int), 8) as positive_fraction from a group by series, period_kind",
     "asof_membership": f"with {inputs.MEMBERS} select h.date::varchar as date, m.symbol, m.snapshot_date::varchar as membership_snapshot_date, (h.date - m.snapshot_date)::int as membership_snapshot_age_days from h join m using (snapshot_date) where h.date - m.snapshot_date <= 45",
     "asof_audit": f"""with {inputs.MEMBERS}, n as (select snapshot_date, count(*) as n from m group by 1)
@@ -348,12 +406,27 @@ ORACLE_SQL = {
         select 'u' || user_id || ':maturity_reference_mismatch' as blocker from b where off union select 'scenario_coverage_mismatch' from b where any_left = 0""",
     "ledger_audit": """with x as (select 'u' || user_id as scenario, event_id, date_trunc('second', ts) as clock, event_type from events), y as (select *, lag(clock) over (partition by scenario order by event_id) as before from x)
         select scenario, count(*) as account_rows, count(*) filter (clock <= before) as clock_not_increasing, 0::bigint as nonfinite_values, count(*) filter (event_type = 'error') as balance_mismatches, count(*) filter (clock is null) as invalid_clocks from y group by scenario""",
-    "newey_west": _LAGS + """, n as (select m.*, z.energy, least(n - 1, greatest(11, floor(4 * pow(n / 100.0, 2 / 9::double))::bigint)) as lags from m join z using (series)),
-        v as (select series, n.n, mean, energy, lags, greatest(0, energy / n.n + coalesce((select sum(2 * (1 - g.lag / (n.lags + 1)) * g.product / n.n) from g where g.series = n.series and g.lag <= n.lags), 0)) as lrv from n)
-        select series, n as nominal_observations, lags as hac_lag, round(mean * 1e6, 6) as mean_e6, round(lrv * 1e9, 6) as lrv_e9, round(mean / sqrt(energy / (n - 1) / n), 6) as iid_t_stat, round(mean / sqrt(lrv / n), 6) as hac_t_stat,
-        round(least(n, greatest(1, n * energy / (n - 1) / lrv)), 6) as effective_observations from v""",
+    "newey_west": _HAC + f""" select series, n as nominal_observations, lags as hac_lag, round(mean * 1e6, 6) as mean_e6, round(lrv * 1e9, 6) as lrv_e9, round(mean / sqrt(energy / (n - 1) / n), 6) as iid_t_stat, round(t, 6) as hac_t_stat,
+        round(least(n, greatest(1, n * energy / (n - 1) / lrv)), 6) as effective_observations, round({_ERFC.format(x="(abs(t) / sqrt(2))")}, 6) as hac_two_sided_p_value, round({_ERFC.format(x="(t / sqrt(2))")} / 2, 6) as hac_positive_one_sided_p_value,
+        round({_ERFC.format(x="(-t / sqrt(2))")} / 2, 6) as hac_negative_one_sided_p_value, round(acf_1, 6) as first_autocorrelation, round(acf, 6) as sum_of_autocorrelations from t""",
+    "hac_ratios": _HAC + " select series, round(t, 6) as hac_t_stat, round(mean / sqrt(lrv) * sqrt(252), 6) as hac_annualized_ratio from t",
+    "block_designs": f"""with {inputs.VALUES}, n as (select series, count(*) as n from v group by series), x as (select series, n, unnest([8::bigint, n // 5, n]) as block_length from n),
+        y as (select *, n / greatest(1, block_length) as blocks from x)
+        select series, n, block_length, round(blocks, 8) as effective_blocks, concat_ws(',', case when n < 2 then 'fewer_than_two_observations' end, case when block_length >= n then 'block_length_not_smaller_than_sample' end, case when blocks < 4 then 'too_few_effective_blocks' end) as reasons from y""",
+    "distribution_audit": """with x as (select l_suppkey as series, case when l_suppkey % 7 = 0 then null when l_suppkey % 5 = 0 then 0.25 when l_suppkey % 3 = 0 then l_quantity else l_discount end as v from lineitem),
+        w as (select series, count(v) as n, max(v) - min(v) as span, pow(2, -52) * 64 * greatest(1, max(abs(v))) as tolerance from x group by series),
+        d as (select series, count(distinct round_even(v / tolerance, 0)) as k from x join w using (series) group by series)
+        select series, n as finite_statistics, k as unique_statistics, round(span, 8) as numeric_span, concat_ws(',', case when n = 0 then 'no_finite_bootstrap_statistics' end, case when span <= tolerance then 'numerically_degenerate_bootstrap_distribution' end,
+        case when n > 0 and k < 20 then 'too_few_unique_bootstrap_statistics' end) as reasons from w join d using (series)""",
+    "return_violations": """with x as (select o_custkey as series, case when o_orderkey % 19 = 0 then null else o_orderdate::date end as date, case when o_orderkey % 23 = 0 then null when o_orderkey % 29 = 0 then -1.5 when o_orderkey % 31 = 0 then 'inf'::double else 0.01 end as v from orders),
+        y as (select series, date, count(*) as n, count(*) filter (date is null) as no_date, count(*) filter (v is null or isinf(v)) as no_return, count(*) filter (v <= -1) as below from x group by series, date),
+        z as (select series, sum(no_date)::bigint as invalid_dates, sum(no_return)::bigint as nonfinite_returns, sum(below)::bigint as returns_at_most_minus_one, count(*) filter (date is not null and n > 1) as duplicate_dates from y group by series)
+        select * from z where invalid_dates + nonfinite_returns + returns_at_most_minus_one + duplicate_dates > 0""",
+    "strict_dates": """with x as (select o_orderkey, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%-m-%-d') when 1 then strftime(o_orderdate, '%Y-%m-') || '31' else strftime(o_orderdate, '%Y-%m-%d') end as raw from orders)
+        select o_orderkey, raw, case when regexp_full_match(raw, '[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_cast(raw as date)::varchar end as date from x""",
     "autocorrelations": _LAGS + " select series, g.lag, round(g.product / z.energy, 8) as acf from g join z using (series) where lag <= 20",
-    "ljung_box": _LAGS + " select series, round(m.n * (m.n + 2) * sum(pow(g.product / z.energy, 2) / (m.n - g.lag)), 6) as statistic, 20::bigint as degrees_of_freedom from g join z using (series) join m using (series) where lag <= 20 group by series, m.n",
+    "ljung_box": _LAGS + """, q as (select series, m.n * (m.n + 2) * sum(pow(g.product / z.energy, 2) / (m.n - g.lag)) as q from g join z using (series) join m using (series) where lag <= 20 group by series, m.n)
+        select series, round(q, 6) as statistic, 20::bigint as degrees_of_freedom, round(exp(-q / 2) * list_sum(list_transform(range(10), lambda k: exp(k * ln(q / 2) - lgamma(k + 1)))), 6) as p_value from q""",
     "snapshot_difference": """with p as (select strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') as date, l_linenumber from lineitem), a as (select date, count(*) as n from p where date < '1997-01-01' group by 1),
         b as (select date, count(*) as n from p where date >= '1992-06-01' and not (date = '1995-03-01' and l_linenumber = 1) group by 1)
         select date, case when a.n is null then 'added' when b.n is null then 'removed' when a.n = b.n then 'reused' else 'changed' end as change from a full join b using (date)""",
@@ -401,7 +474,7 @@ ORACLE_SQL = {
         select * from x where error is not null""",
     "watchdog": "with " + _HEALTH.format(lines="true") + f""", t as (select max(ts) as last from events),
         b as (select 'run' || user_id as run_id, user_id, case event_type when 'error' then 'failed' when 'purchase' then 'succeeded' else 'running' end as status, ts from events qualify row_number() over (partition by user_id order by ts desc) = 1),
-        e as (select 'run' || r.target as run_id, bool_or(f.acked < r.queued or f.acked > timestamp '{inputs.NOW}') as invalid, bool_or(f.acked is null and timestamp '{inputs.NOW}' > r.queued + interval {inputs.TIMEOUT_S} second) as overdue from r left join f using (k) where r.target % 3 = 0 group by 1),
+        e as (select 'run' || r.target as run_id, bool_or(f.acked < r.queued or f.acked > timestamp '{inputs.NOW}') as invalid, bool_or(f.acked is null and timestamp '{inputs.NOW}' > r.queued + interval {inputs.TIMEOUT_S} second) as overdue from r left join f using (k) group by 1),
         x as (select b.run_id, b.status, user_id % 7 = 0 as halted, case when user_id % 7 = 0 then null when status = 'failed' then 'dispatch_failed' when status = 'running' and (select last from t) - ts > interval 30 second then 'controller_heartbeat_stale'
             when e.overdue then 'delivery_acknowledgment_overdue' when e.invalid then 'invalid_delivery_evidence' end as blocker from b left join e using (run_id) where user_id % 5 <> 0)
         select run_id, case when halted then 'paused' when blocker is not null then 'at_risk' else status end as status, blocker from x""",

@@ -9,10 +9,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidegauge.functions.numeric import UNIT, drawn, erfc, raw_draws
+from tidegauge.functions.numeric import UNIT, drawn, raw_draws
+from tidegauge.functions.special import erfc
 from tidegauge.operators.returns import finite
 from tidegauge.operators.windows import with_halo
 from tidegauge.sources.tables import stash
@@ -24,11 +24,6 @@ LEAST_BLOCKS, LEAST_DISTINCT = 4.0, 20
 HELD, DRAWS, SLICE = 1 << 20, 1 << 27, 1 << 24
 
 
-@F.pandas_udf(T.DoubleType())
-def erfc_udf(x: pd.Series) -> pd.Series:
-    return pd.Series(erfc(x.to_numpy(dtype=float)))
-
-
 def renumbered(values: DataFrame) -> DataFrame:
     """series, idx and value of what is finite, numbered anew in the old order: lag k
     is k surviving rows.  Numbers come from counts of stretches first."""
@@ -97,7 +92,7 @@ def newey_west(values: DataFrame, overlap_horizon: int = 1, minimum_lag: int = 0
     root = F.col("hac_t_stat") / math.sqrt(2)
     return df.select(
         "series", F.col("n").alias("nominal_observations"), effective.alias("effective_observations"), "mean", "iid_standard_error", "iid_t_stat", F.col("lags").alias("hac_lag"), "hac_long_run_variance", "hac_standard_error", "hac_t_stat",
-        erfc_udf(F.abs(root)).alias("hac_two_sided_p_value"), (0.5 * erfc_udf(root)).alias("hac_positive_one_sided_p_value"), (0.5 * erfc_udf(-root)).alias("hac_negative_one_sided_p_value"),
+        erfc(F.abs(root)).alias("hac_two_sided_p_value"), (0.5 * erfc(root)).alias("hac_positive_one_sided_p_value"), (0.5 * erfc(-root)).alias("hac_negative_one_sided_p_value"),
         F.coalesce("lag_autocorrelations", F.array().cast("array<double>")).alias("lag_autocorrelations"),
     )
 

@@ -5,15 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidegauge.functions.numeric import TINY, UNIT, chi_square_survival, factor, last_coefficients, merged
-from tidegauge.operators.inference import BUCKET, erfc_udf, lag_products, moments
+from tidegauge.functions.numeric import TINY, UNIT, factor, last_coefficients, merged
+from tidegauge.functions.special import chi_square_survival, erfc
+from tidegauge.operators.inference import BUCKET, lag_products, moments
 from tidegauge.operators.multiplicity import step_up
 from tidegauge.operators.returns import nonfinite_series
 from tidegauge.operators.windows import with_halo
@@ -22,11 +21,6 @@ from tidegauge.sources.tables import stash
 BAND = 1.959963984540054
 
 
-@F.pandas_udf(T.DoubleType())
-def chi_square_udf(statistic: pd.Series, degrees: pd.Series) -> pd.Series:
-    return pd.Series([chi_square_survival(float(s), int(d)) if pd.notna(s) and pd.notna(d) and d > 0 else None for s, d in zip(statistic, degrees, strict=True)], dtype="float64")
-
-
 def lag_limit(n: Column, most: int) -> Column:
     if most < 1:
         raise ValueError("the largest lag must be positive")
@@ -111,7 +105,7 @@ def ljung_box(acf: DataFrame, sizes: DataFrame, model_degrees: int = 0) -> DataF
     """Q statistic, degrees and p-value of each series; ``sizes``: (series, n, lags)."""
     q = acf.join(sizes, "series").groupBy("series").agg((F.first("n") * (F.first("n") + 2) * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag")))).alias("statistic"), F.first("lags").alias("lags"))
     degrees = F.col("lags") - model_degrees
-    return q.select("series", "statistic", F.when(degrees > 0, degrees).alias("degrees_of_freedom")).withColumn("p_value", chi_square_udf("statistic", "degrees_of_freedom"))
+    return q.select("series", "statistic", F.when(degrees > 0, degrees).alias("degrees_of_freedom")).withColumn("p_value", chi_square_survival(F.col("statistic"), F.col("degrees_of_freedom")))
 
 
 def series_diagnostics(values: DataFrame, max_lag: int = 20, model_degrees: int = 0, alpha: float = 0.05) -> DataFrame:
@@ -124,7 +118,7 @@ def series_diagnostics(values: DataFrame, max_lag: int = 20, model_degrees: int
     acf = stash(autocorrelations(values, max_lag, known), "autocorrelations")
     lags = acf.join(partial_autocorrelation_rows(values, max_lag, known), ["series", "lag"], "left").join(known.select("series", "n"), "series")
     kinds = F.array(F.struct(F.lit("acf").alias("kind"), F.col("acf").alias("r")), F.struct(F.lit("pacf").alias("kind"), F.col("pacf").alias("r")))
-    tests = lags.select("series", "lag", "n", F.inline(kinds)).withColumn("p_value", erfc_udf(F.abs("r") * F.sqrt("n") / math.sqrt(2)))
+    tests = lags.select("series", "lag", "n", F.inline(kinds)).withColumn("p_value", erfc(F.abs("r") * F.sqrt("n") / math.sqrt(2)))
     tests = tests.withColumn("p_value", F.when(F.col("r").isNotNull(), F.col("p_value")))
     tests = step_up(tests, ("series", "kind")).withColumn("exceeds", F.abs("r") > BAND / F.sqrt("n"))
     one = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))

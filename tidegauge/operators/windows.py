@@ -4,19 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.numeric import window_drawdowns
 from tidegauge.operators.returns import PERIODS, indexed
 
-#: Up to this horizon a window's drawdown is folded in the JVM.
-FOLDED = 64
 #: Observations of a series whose windows end in one task.
 BUCKET = 4096
-FOLD = """aggregate(rs, named_struct('at', 1D, 'peak', 1D, 'fall', 0D),
-    (a, r) -> named_struct('at', a.at * (1 + r), 'peak', greatest(a.peak, a.at * (1 + r)), 'fall', least(a.fall, a.at * (1 + r) / greatest(a.peak, a.at * (1 + r)) - 1)), a -> a.fall)"""
 
 
 def with_halo(rows: DataFrame, size: int, halo: int) -> DataFrame:
@@ -26,51 +20,58 @@ def with_halo(rows: DataFrame, size: int, halo: int) -> DataFrame:
     return rows.withColumn("bucket", F.explode(F.when(F.col("idx") % size >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))))
 
 
-def _far_drawdowns(rows: DataFrame, horizon: int, size: int) -> DataFrame:
-    """series, idx and drawdown of long windows, by numpy within buckets."""
+def _joined(a: Column, b: Column, n_a: int, n_b: int) -> Column:
+    """What is known of ``n_a`` rows followed by ``n_b`` rows.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        falls = window_drawdowns(rows["net_return"].to_numpy(), horizon)
-        out = rows.iloc[horizon - 1 :][["series", "idx"]].assign(far=falls)
-        return out[out["idx"] // size == key[1]]
-
-    kind = rows.schema["series"].dataType.simpleString()
-    return with_halo(rows, size, horizon - 1).select("series", "bucket", "idx", "net_return").groupBy("series", "bucket").applyInPandas(run, f"series {kind}, idx long, far double")
+    Known of rows: mean and m2 (squares about it), worst, best and wins of the returns;
+    grown, low and high of the curve from 1 before them, and fall, its largest drop from
+    a peak within them.
+    """
+    n, step = n_a + n_b, b["mean"] - a["mean"]
+    both = F.struct(
+        (a["mean"] + step * (n_b / n)).alias("mean"), (a["m2"] + b["m2"] + step * step * (n_a * n_b / n)).alias("m2"), F.least(a["worst"], b["worst"]).alias("worst"), F.greatest(a["best"], b["best"]).alias("best"), (a["wins"] + b["wins"]).alias("wins"),
+        (a["grown"] * b["grown"]).alias("grown"), F.least(a["low"], a["grown"] * b["low"]).alias("low"), F.greatest(a["high"], a["grown"] * b["high"]).alias("high"), F.least(a["fall"], b["fall"], a["grown"] * b["low"] / a["high"] - 1).alias("fall"),
+    )
+    return F.when(a.isNotNull(), both)
 
 
 def overlapping_windows(daily: DataFrame, horizons: Iterable[int], periods: int = PERIODS) -> DataFrame:
     """One row for each series, horizon and end: the path metrics of the last
     ``horizon`` observations.
 
-    A series is cut into buckets that carry the observations before them, so all its
-    frames lie within a bucket, and one ordering serves all horizons.
+    A series is cut into buckets that carry the observations before them.  What is known
+    of the last 1, 2, 4, ... rows is joined from that of half as many, and a
+    horizon from those powers of two that make it up: so a window costs the logarithm of its
+    horizon, and one ordering serves all of them.
     """
     wanted = sorted(set(map(int, horizons)))
     if not wanted or wanted[0] <= 0:
         raise ValueError("horizons must be positive")
-    rows = indexed(daily)
     size = max(BUCKET, 4 * wanted[-1])
     order = Window.partitionBy("series", "bucket").orderBy("idx")
-    out = with_halo(rows, size, wanted[-1] - 1)
-    kinds = ("start_date", "grown", "mean", "spread", "low", "high", "wins", "rs")
+    r = F.col("net_return")
+    one = F.struct(r.alias("mean"), F.lit(0.0).alias("m2"), r.alias("worst"), r.alias("best"), (r > 0).cast("long").alias("wins"), *[(1 + r).alias(c) for c in ("grown", "low", "high")], F.lit(0.0).alias("fall"))
+    out = with_halo(indexed(daily), size, wanted[-1] - 1).select("series", "bucket", "idx", "date", one.alias("last_1"))
+    n = 1
+    while 2 * n <= wanted[-1]:
+        out = out.withColumn("before", F.lag(f"last_{n}", n).over(order))
+        out, n = out.withColumn(f"last_{2 * n}", _joined(F.col("before"), F.col(f"last_{n}"), n, n)), 2 * n
     for h in wanted:
-        frame = order.rowsBetween(-(h - 1), 0)
-        listed = F.collect_list("net_return").over(frame) if h <= FOLDED else F.array().cast("array<double>")
-        metrics = (F.min("date").over(frame), F.product(1 + F.col("net_return")).over(frame), F.avg("net_return").over(frame), F.stddev_samp("net_return").over(frame), F.min("net_return").over(frame), F.max("net_return").over(frame), F.avg((F.col("net_return") > 0).cast("double")).over(frame), listed)
-        out = out.withColumns({f"{k}_{h}": m for k, m in zip(kinds, metrics, strict=True)})
+        bits = [1 << k for k in range(h.bit_length()) if h >> k & 1]
+        out, covered = out.withColumn(f"window_{h}", F.col(f"last_{bits[0]}")), bits[0]
+        for bit in bits[1:]:
+            out = out.withColumn("before", F.lag(f"last_{bit}", covered).over(order))
+            out, covered = out.withColumn(f"window_{h}", _joined(F.col("before"), F.col(f"window_{h}"), bit, covered)), covered + bit
+    out = out.withColumns({f"start_{h}": F.lag("date", h - 1).over(order) for h in wanted})
     own = out.where(F.floor(F.col("idx") / size) == F.col("bucket"))
-    each = F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{k}_{h}").alias(k) for k in kinds]) for h in wanted])
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"start_{h}").alias("start_date"), F.col(f"window_{h}").alias("w")) for h in wanted])
     stacked = own.select("series", F.col("date").alias("end_date"), "idx", F.inline(each)).where("idx + 1 >= horizon")
-    stacked = stacked.withColumn("max_drawdown", F.when(F.col("horizon") <= FOLDED, F.expr(FOLD)))
-    for h in (h for h in wanted if h > FOLDED):
-        far = _far_drawdowns(rows, h, size).withColumn("horizon", F.lit(h))
-        stacked = stacked.join(far, ["series", "idx", "horizon"], "left").withColumn("max_drawdown", F.coalesce("max_drawdown", "far")).drop("far")
-    spread = F.when((F.col("horizon") > 1) & (F.col("low") < F.col("high")), F.col("spread")).otherwise(0.0)
+    w = lambda c: F.col(f"w.{c}")
+    spread = F.when((F.col("horizon") > 1) & (w("worst") < w("best")), F.sqrt(w("m2") / (F.col("horizon") - 1))).otherwise(0.0)
     return stacked.select(
-        "series", "horizon", "start_date", "end_date", F.col("horizon").cast("long").alias("observations"), (F.col("grown") - 1).alias("total_return"),
-        (F.pow("grown", periods / F.col("horizon")) - 1).alias("annualized_return"), (spread * periods**0.5).alias("annualized_volatility"),
-        F.when(spread > 0, F.col("mean") / spread * periods**0.5).alias("sharpe"), "max_drawdown", F.col("low").alias("worst_day"), F.col("wins").alias("win_rate"),
+        "series", "horizon", "start_date", "end_date", F.col("horizon").cast("long").alias("observations"), (w("grown") - 1).alias("total_return"),
+        (F.pow(w("grown"), periods / F.col("horizon")) - 1).alias("annualized_return"), (spread * periods**0.5).alias("annualized_volatility"),
+        F.when(spread > 0, w("mean") / spread * periods**0.5).alias("sharpe"), F.least(F.lit(0.0), w("fall"), w("low") - 1).alias("max_drawdown"), w("worst").alias("worst_day"), (w("wins") / F.col("horizon")).alias("win_rate"),
     )
 
 
