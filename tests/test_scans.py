@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions import numeric
-from tidegauge.operators import inference, multiplicity, ordering, returns, serial
+from tidegauge.operators import inference, multiplicity, ordering, packs, returns, serial
 
 
 def series(spark, **held):
@@ -132,3 +132,32 @@ def test_partial_autocorrelations_across_tasks(spark, monkeypatch):
         with pytest.raises(ValueError, match="non-finite"):
             run(holed)
     assert serial.partial_autocorrelation_rows(series(spark, a=[1.0]).limit(0)).count() == 0
+
+
+def greedy(rows, members, most):
+    """Parts as an archive writer fills them, one artifact after the other."""
+    parts, held = {}, []
+    for name, size in rows:
+        if not held or len(held[-1]) >= members or sum(s for _, s in held[-1]) + size > most:
+            held.append([])
+        held[-1].append((name, size))
+        parts[name] = (len(held) - 1, len(held[-1]))
+    return parts
+
+
+@pytest.mark.parametrize("block, members, most", [(1 << 16, 7, 100), (16, 5, 100), (16, 4, 10**9), (16, 100, 40)])
+def test_parts_are_filled_greedily(spark, monkeypatch, block, members, most):
+    monkeypatch.setattr(packs, "BLOCK", block)
+    r = np.random.default_rng(block + members)
+    sizes = np.where(r.random(600) < 0.02, 500, r.integers(0, 40, 600))
+    rows = [(f"u{i // 200}", None if i % 200 == 0 else "json", f"n{i:04d}", int(s) if s else None) for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "unit string, kind string, name string, bytes int").withColumn("other", F.lit("x")).repartition(4)
+    found = packs.plan_parts(df, members, most)
+    assert found.columns == [*df.columns, "part", "member"]
+    got = {x.name: x for x in found.collect()}
+    order = sorted(rows, key=lambda x: (x[0], x[1] is not None, x[1] or "", x[2]))
+    want = greedy([(x[2], x[3] or 0) for x in order], members, most)
+    assert len(got) == 600 and {n: (int(x.part.split("-")[1]), x.member) for n, x in got.items()} == want
+    several = packs.plan_parts(df, members, most, buckets=3).groupBy("part").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("bytes").alias("largest"))
+    assert several.where((F.col("n") > members) | ((F.col("b") > most) & (F.col("n") > 1))).count() == 0
+    assert packs.plan_parts(df.limit(0), members, most).count() == 0

@@ -436,9 +436,11 @@ ORACLE_SQL = {
         select step, date, count(*) as rows, sum(l_orderkey)::bigint as orders, any_value(objects) as objects, any_value(all_rows) as all_rows, step = 'later' as reused from x join t using (step) group by step, date""",
     "selected_rows": "select strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') as date, lpad(l_suppkey::varchar, 6, '0') as symbol, l_discount from lineitem where strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') in ('1995-03-01', '1996-07-01') and l_suppkey in (1, 7)",
     "scan_statistics": "with d as (select distinct date_trunc('month', l_shipdate) as m from lineitem) select count(*) filter (m in (timestamp '1995-03-01', timestamp '1996-07-01')) as files_selected, count(*) as files_total, 3 as columns_selected, 5 as columns_total from d",
-    "pack_parts": """with a as (select source as unit, lang as kind, doc_id::varchar as name, strlen(coalesce(text, '')) as bytes from documents), b as (select *, row_number() over w as n, coalesce(sum(bytes) over (order by unit, kind, name rows between unbounded preceding and 1 preceding), 0) // 131072 as step from a window w as (order by unit, kind, name)),
-        c as (select *, (row_number() over (partition by step order by n) - 1) // 64 as turn from b)
-        select '000000-' || lpad(step::bigint::varchar, 8, '0') || '-' || lpad(turn::varchar, 6, '0') as part, count(*) as members, sum(bytes)::bigint as bytes from c group by step, turn""",
+    "pack_parts": """with recursive a as (select source as unit, lang as kind, doc_id::varchar as name, strlen(coalesce(text, ''))::bigint as bytes from documents), b as (select *, row_number() over (order by unit, kind, name) as n from a),
+        p(n, part, members, bytes) as (select n, 0::bigint, 1::bigint, bytes from b where n = 1 union all
+            select b.n, case when p.members >= 64 or p.bytes + b.bytes > 131072 then p.part + 1 else p.part end, case when p.members >= 64 or p.bytes + b.bytes > 131072 then 1 else p.members + 1 end,
+                case when p.members >= 64 or p.bytes + b.bytes > 131072 then b.bytes else p.bytes + b.bytes end from p join b on b.n = p.n + 1)
+        select '000000-' || lpad(part::varchar, 12, '0') as part, max(members) as members, max(bytes)::bigint as bytes from p group by part""",
     "pack_totals": "select lang as kind, count(*) as artifacts, count(distinct source) as units, sum(strlen(coalesce(text, '')))::bigint as logical_bytes from documents group by lang",
     "artifact_inventory": "select source as unit, count(*) as artifacts, sum(strlen(coalesce(text, '')))::bigint as total_bytes from documents group by source",
     "delivery_health": "with " + _HEALTH.format(lines="l_linenumber > 1") + f""", x as (select r.*, f.acked, f.repeats, r.queued + interval {inputs.TIMEOUT_S} second as due, r.k % 10 <> 0 as has, timestamp '{inputs.NOW}' as now_at from r left join f using (k)),

@@ -2,33 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.sources.tables import stash
+from tidegauge.operators.ordering import placed, same_keys
 
 IDENTITY = ("unit", "kind", "name")
 MEMBERS, PART_BYTES = 1024, 64 << 20
 
 
+#: Artifacts whose parts one task lays out.
+BLOCK = 1 << 16
+
+
+def next_starts(sizes: np.ndarray, max_members: int, max_bytes: int) -> np.ndarray:
+    """Where the next part starts if one starts at each place: past ``max_members``, or
+    before the first artifact that would exceed ``max_bytes``; one artifact always fits."""
+    ends = np.cumsum(sizes)
+    by_bytes = np.searchsorted(ends, ends - sizes + max_bytes, "right")
+    at = np.arange(len(sizes))
+    return np.minimum(np.maximum(by_bytes, at + 1), at + max_members)
+
+
+def _followed(next_: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place, if a part starts there: the first start past ``own``, how many
+    parts start before that, and the last of those, by doubling of the jumps."""
+    at, n, last = next_[:own].copy(), np.ones(own, np.int64), np.arange(own)
+    while len(inside := np.flatnonzero(at < own)):
+        to = at[inside]
+        n[inside], last[inside], at[inside] = n[inside] + n[to], last[to], at[to]
+    return at, n, last
+
+
 def plan_parts(artifacts: DataFrame, max_members: int = MEMBERS, max_bytes: int = PART_BYTES, buckets: int = 1) -> DataFrame:
-    """Adds part (bucket, bytes step, member step) and member of each artifact (unit,
-    kind, name, bytes).
+    """Adds part and member of each artifact (unit, kind, name, bytes), whose identities differ.
 
-    A part ends at a multiple of the bytes or of the members; it may exceed the
-    bytes by its last member.  Running sums go by ranges of the identity, to which the
-    sums of the ranges before are added, so no bucket is one task.
+    In the order of the identity a part takes artifacts while it has room for members
+    and bytes; only an artifact that is larger alone exceeds the bytes.  Blocks of places, with
+    the next ``max_members`` places, tell where a part that starts at one of their first
+    places leads beyond them; following these maps, one for each block, gives the
+    place where each block's first part starts, and blocks number their parts from there.
     """
-    bucketed = artifacts.withColumn("bucket", F.pmod(F.xxhash64(*IDENTITY), F.lit(buckets)).cast("int"))
-    rows = stash(bucketed.repartitionByRange("bucket", *IDENTITY).withColumn("range", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy("bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    sums = rows.groupBy("bucket", "range").agg(F.sum("bytes").alias("sum")).select("bucket", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
-    own = F.coalesce(F.sum("bytes").over(Window.partitionBy("bucket", "range").orderBy(*IDENTITY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_bytes = rows.join(sums, ["bucket", "range"]).withColumn("step", F.floor((own + F.col("before")) / max_bytes))
-    in_step = F.row_number().over(Window.partitionBy("bucket", "step").orderBy(*IDENTITY))
-    stepped = by_bytes.withColumn("turn", F.floor((in_step - 1) / max_members))
-    part = F.concat_ws("-", F.lpad("bucket", 6, "0"), F.lpad(F.col("step").cast("string"), 8, "0"), F.lpad(F.col("turn").cast("string"), 6, "0"))
-    return stepped.withColumn("part", part).withColumn("member", F.row_number().over(Window.partitionBy("part").orderBy(*IDENTITY))).drop("bucket", "range", "before", "step", "turn")
+    if max_members < 1 or max_bytes < 1:
+        raise ValueError("a part needs room")
+    size = max(BLOCK, 4 * max_members)
+    light = artifacts.select(*IDENTITY, F.coalesce("bytes", F.lit(0)).cast("long").alias("_bytes"), F.pmod(F.xxhash64(*IDENTITY), F.lit(buckets)).cast("int").alias("_bucket"))
+    rows = placed(light, ["_bucket"], IDENTITY).drop("_part", "_total")
+    block = F.floor(F.col("_place") / size)
+    # The first places of a block also stand after the one before.
+    early = (F.col("_place") % size < max_members) & (block > 0)
+    dealt = rows.select("_bucket", "_place", "_bytes", F.explode(F.when(early, F.array(block - 1, block)).otherwise(F.array(block))).alias("_block"))
+
+    def ordered(group: pa.Table) -> tuple[np.ndarray, int, int, int]:
+        group = group.sort_by("_place")
+        first = group.column("_block")[0].as_py() * size
+        return group.column("_bytes").to_numpy(), group.column("_bucket")[0].as_py(), first, min(size, group.num_rows)
+
+    def leads(group: pa.Table) -> pa.Table:
+        sizes, bucket, first, own = ordered(group)
+        entries = min(own, max_members)
+        out = [x[:entries] for x in _followed(next_starts(sizes, max_members, max_bytes), own)]
+        return pa.table({"_bucket": pa.array([bucket], pa.int32()), "_block": [first // size], "leaves": pa.array([out[0] + first]), "parts": pa.array([out[1]]), "last": pa.array([out[2] + first])})
+
+    maps = dealt.groupBy("_bucket", "_block").applyInArrow(leads, "_bucket int, _block long, leaves array<long>, parts array<long>, last array<long>")
+    n = int(artifacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def follow(batches):
+        bucket, entry, number, last = None, 0, 0, 0
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if row["_bucket"] != bucket:
+                    bucket, entry, number, last = row["_bucket"], 0, 0, 0
+                k = entry - row["_block"] * size
+                out.append((bucket, row["_block"], entry, number, last))
+                if k < len(row["leaves"]):  # else the last block ends before the entry
+                    entry, number, last = row["leaves"][k], number + row["parts"][k], row["last"][k]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), entered, strict=True)] if out else [pa.array([], t) for t in entered], names=["_bucket", "_block", "entry", "number", "last"])
+
+    entered = [pa.int32(), *[pa.int64()] * 4]
+    chained = maps.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_block").mapInArrow(follow, "_bucket int, _block long, entry long, number long, last long")
+
+    def numbered(_, group: pa.Table, where: pa.Table) -> pa.Table:
+        sizes, bucket, first, own = ordered(group)
+        entry, number, last = (where.column(c)[0].as_py() for c in ("entry", "number", "last"))
+        next_, starts, at = next_starts(sizes, max_members, max_bytes), [], entry - first
+        while at < own:
+            starts.append(at)
+            at = int(next_[at])
+        place = np.arange(own)
+        turn = np.searchsorted(starts, place, "right")
+        begin = np.array([last - first, *starts])[turn]
+        return pa.table({"_bucket": pa.array(np.full(own, bucket, np.int32)), "_place": place + first, "_number": turn + number - 1, "member": (place - begin + 1).astype(np.int32)})
+
+    shape = "_bucket int, _place long, _number long, member int"
+    found = dealt.groupBy("_bucket", "_block").cogroup(chained.groupBy("_bucket", "_block")).applyInArrow(numbered, shape)
+    part = F.format_string("%06d-%012d", "_bucket", "_number").alias("part")
+    planned = rows.join(found, ["_bucket", "_place"]).select(*IDENTITY, part, "member")
+    return same_keys(artifacts, planned, IDENTITY)
 
 
 def publication_errors(artifacts: DataFrame) -> DataFrame:
