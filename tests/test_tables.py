@@ -159,6 +159,37 @@ def test_snapshot_store(spark, tmp_path):
             bad()
 
 
+def test_snapshot_reads_open_what_the_manifest_names(spark, tmp_path):
+    store, say = str(tmp_path / "store"), dict.fromkeys(snapshots.SEMANTICS, "stated")
+    rows = [(f"{s:06d}", f"2026-07-{d:02d}", float(s + d), s) for d in range(1, 9) for s in (range(100) if d == 1 else (d, 50 + d))]
+    id = snapshots.freeze(store, {"a": panel(spark, rows)}, say)["snapshot_id"]
+    digest = {r.date: r.digest for r in snapshots.scan_plan(spark, store, id).collect()}
+
+    def opened(**query):
+        df = snapshots.read_snapshot(spark, store, id, **query)
+        return sorted(tuple(r) for r in df.collect()), {f.split("_digest=")[1].split("/")[0] for f in df.inputFiles() if "_digest=" in f}
+
+    got, files = opened(columns=["symbol", "x"], dates=["2026-07-02", "2026-07-03"], symbols=["000002", "000053"])
+    assert got == [("000002", 4.0), ("000053", 56.0)] and files == {digest["2026-07-02"], digest["2026-07-03"]}
+    # Objects that list their symbols, or know their ends, are left alone.
+    got, files = opened(columns=["x"], dates=["2026-07-01", "2026-07-02", "2026-07-03"], symbols=["000052"])
+    assert got == [(53.0,), (54.0,)] and files == {digest["2026-07-01"], digest["2026-07-02"]}
+    got, files = opened(dates=["2026-07-01", "2026-07-04"], symbols=["000200"])
+    assert got == [] and files == set()
+    assert opened(dates=[]) == ([], set()) and opened(dates=["2026-07-01"], symbols=[])[0] == [] and len(opened(symbols=["000050"])[0]) == 1
+    assert len(opened(dates=["2026-07-01"])[0]) == 100 and len(opened(dates=["2027-01-01"])[0]) == 0 and opened(columns=["x"])[0] == sorted((r[2],) for r in rows)
+    row = snapshots.scan_summary(snapshots.scan_plan(spark, store, id, ["2026-07-01", "2026-07-02"], ["000052"]), 1, 4).first()
+    assert (row.files_selected, row.files_total, row.columns_selected) == (2, 8, 1) and 0 < row.bytes_selected < row.bytes_total
+    for bad in (dict(columns=["missing"]), dict(columns=[]), dict(dates=["2026-7-2"]), dict(symbols=["1"]), dict(columns=["x", "x"], dates=[])):
+        with pytest.raises(ValueError):
+            snapshots.read_snapshot(spark, store, id, **bad)
+    # Only what is opened is verified.
+    shutil.rmtree(next((tmp_path / "store/objects").glob(f"*/_digest={digest['2026-07-05']}")))
+    assert snapshots.read_snapshot(spark, store, id, verified=True, dates=["2026-07-02"]).count() == 2
+    with pytest.raises(ValueError):
+        snapshots.read_snapshot(spark, store, id, verified=True, dates=["2026-07-05"])
+
+
 def test_packs(spark, tmp_path):
     rows = [(f"u{i % 2}", "json", f"n{i}", bytearray(f"content {i}".encode())) for i in range(6)]
     df = spark.createDataFrame(rows, "unit string, kind string, name string, content binary").withColumn("sha256", F.sha2("content", 256))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.jobs import inputs
+from tidegauge.jobs.validation import sequential_validation
 from tidegauge.operators import asof, calendar, crosssec, events, inference, labels, multiplicity, outcomes, packs, retention, returns, serial, snapshots, units, windows
 from tidegauge.functions.clocks import strict_date
 from tidegauge.functions.symbols import is_symbol6, normalize_symbol
@@ -140,7 +141,21 @@ def _strict_dates(spark, sf):
 
 
 def _memory(spark, sf):
-    return serial.dependence_diagnostics(inputs.values(spark, sf))[1]
+    return serial.dependence_diagnostics(inputs.values(spark, sf))[1].drop("residual_memory")
+
+
+def _validation(spark, sf):
+    """The flagship: everything about each desk in one row."""
+    r = sequential_validation(inputs.returns(spark, sf), (20, 60))["result"]
+    window = lambda h: F.element_at(F.filter("window_summary", lambda w: w["horizon"] == h), 1)
+    gained = F.element_at(F.filter("calendar_positive_fraction", lambda c: c["period_kind"] == "calendar_quarter"), 1)["positive_fraction"]
+    full, inferred = F.col("full_period_metrics"), F.col("inference")
+    return rounded(r.select(
+        "series", "status", "date_min", "date_max", full["observations"].alias("observations"), *[full[c].alias(c) for c in ("total_return", "sharpe", "max_drawdown")], F.col("without_best_days.without_best_5").alias("without_best_5"),
+        inferred["hac"]["hac_lag"].alias("hac_lag"), inferred["hac"]["hac_t_stat"].alias("hac_t_stat"), inferred["block_bootstrap"]["block_length"].alias("block_length"), inferred["confirmation_inference_available"].alias("confirmed"),
+        "serial_dependence.linear_return_memory", "serial_dependence.volatility_memory", window(20)["window_count"].alias("windows_20"), window(20)["positive_window_fraction"].alias("gained_20"),
+        window(60)["window_count"].alias("windows_60"), window(60)["worst_window_drawdown"].alias("worst_60"), gained.alias("gained_quarters"),
+    ), 6)
 
 
 def _panel(spark, sf):
@@ -167,12 +182,21 @@ def _frozen(spark, sf):
     return out[0].unionByName(out[1])
 
 
+def _snapshot_reads(spark, sf):
+    """Some suppliers' rows of some months from a frozen panel, with what was opened for them."""
+    say = {"universe": "suppliers", "price_basis": "discount", "frequency": "month", "availability": "ship date", "role": "panel"}
+    store, dates, symbols = fresh_folder(spark, "store"), ["1995-03-01", "1996-07-01", "2050-01-01"], ["000001", "000007"]
+    id = snapshots.freeze(store, {"lineitem": _panel(spark, sf)}, say)["snapshot_id"]
+    rows = snapshots.read_snapshot(spark, store, id, columns=["date", "symbol", "l_discount"], dates=dates, symbols=symbols)
+    return rows.crossJoin(snapshots.scan_summary(snapshots.scan_plan(spark, store, id, dates, symbols), 3, 5))  # one row on the right
+
+
 def _selection(spark, sf):
     return selected(_panel(spark, sf), ["date", "symbol", "l_discount"], ["1995-03-01", "1996-07-01"], ["000001", "000007"])
 
 
 def _scan(spark, sf):
-    return scan_statistics(snapshots.date_digests(_panel(spark, sf)), ["1995-03-01", "1996-07-01"], 3, 5).select("files_selected", "files_total", "columns_selected", "columns_total")
+    return scan_statistics(snapshots.date_digests(_panel(spark, sf)), ["1995-03-01", "1996-07-01"], 3, 5)
 
 
 def _parts(spark, sf):
@@ -285,8 +309,10 @@ QUERIES = {
     "partial_autocorrelations": lambda s, d: serial.partial_autocorrelation_rows(inputs.values(s, d), 20),
     "block_bootstrap": _bootstrap,
     "serial_memory": _memory,
+    "sequential_validation": _validation,
     "snapshot_difference": _snapshot_change,
     "snapshot_store": _frozen,
+    "snapshot_reads": _snapshot_reads,
     "selected_rows": _selection,
     "scan_statistics": _scan,
     "pack_parts": _parts,
@@ -331,10 +357,22 @@ _LAGS = f"""with {inputs.VALUES}, m as (select series, count(*) as n, avg(value)
     g as (select a.series, b.lag, sum(a.c * b.c) as product from c a join b using (series, idx) group by all)"""
 #: erfc for finite x of up to about 6; the terms are (2 x^2)^k / (1 * 3 * ... * (2 k + 1)).
 _ERFC = "(1 - sign({x}) * (case when abs({x}) > 6 or {x} = 0 then abs(sign({x})) else 2 / sqrt(pi()) * abs({x}) * exp(-({x}) * ({x})) * list_sum(list_transform(range(220), lambda k: exp(k * ln(2 * ({x}) * ({x})) - (k + 1) * ln(2) - lgamma(k + 1.5::double) + ln(pi()) / 2))) end))"
-_HAC = _LAGS + """, n as (select m.*, z.energy, least(n - 1, greatest(11, floor(4 * pow(n / 100.0, 2 / 9::double))::bigint)) as lags from m join z using (series)),
+_HAC = _LAGS + """, n as (select m.*, z.energy, least(n - 1, greatest({least}, floor(4 * pow(n / 100.0, 2 / 9::double))::bigint)) as lags from m join z using (series)),
         l as (select n.series, sum(2 * (1 - g.lag / (n.lags + 1)) * g.product / n.n) as weighed, sum(g.product / n.energy) as acf, max(g.product / n.energy) filter (g.lag = 1) as acf_1 from n join g on g.series = n.series and g.lag <= n.lags group by n.series),
         w as (select n.*, l.acf, l.acf_1, greatest(0, energy / n.n + coalesce(weighed, 0)) as lrv from n left join l using (series)),
         t as (select *, mean / sqrt(lrv / n) as t from w)"""
+_MEMORY = f"""with {inputs.VALUES}, y as (select series, idx, unnest(['returns', 'absolute', 'squared']) as kind, unnest([value, abs(value), value * value]) as value from v),
+    m as (select series, kind, count(*) as n, avg(value) as mean from y group by all), c as (select y.series, y.kind, y.idx, value - mean as c from y join m using (series, kind)), z as (select series, kind, sum(c * c) as energy from c group by all),
+    b as (select series, kind, idx + lag as idx, lag, c from c, range(1, 21) t(lag)), g as (select a.series, a.kind, b.lag, sum(a.c * b.c) as product from c a join b using (series, kind, idx) group by all),
+    x as (select series, kind, lag, n, product / energy as r from g join z using (series, kind) join m using (series, kind) where lag <= least(20, n // 4, n - 2)),
+    p as (select *, {_ERFC.format(x="(abs(r) * sqrt(n) / sqrt(2))")} as p from x), k as (select *, row_number() over (partition by series, kind order by p) as place, count(*) over (partition by series, kind) as tests from p),
+    l as (select series, kind, bool_or(p * tests / place <= 0.05) as any_lag, n * (n + 2) * sum(r * r / (n - lag)) / 2 as h from k group by series, kind, n),
+    o as (select series, kind, any_lag or exp(-h) * list_sum(list_transform(range(10), lambda j: exp(j * ln(h) - lgamma(j + 1)))) <= 0.05 as memory from l)
+    select series, bool_or(memory) filter (kind = 'returns') as linear_return_memory, bool_or(memory) filter (kind <> 'returns') as volatility_memory from o group by series"""
+#: Rows of the panel, and what a selection of two months opens; a row's bytes are those of its JSON.
+_SCANNED = """with p as (select strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') as date, repeat('0', greatest(0, 6 - len(l_suppkey::varchar))) || l_suppkey as symbol, l_orderkey, l_linenumber, l_discount from lineitem),
+    d as (select date, sum(strlen('{"date":"","l_discount":,"l_linenumber":,"l_orderkey":,"symbol":""}') + strlen(date) + strlen(l_discount::varchar) + strlen(l_linenumber::varchar) + strlen(l_orderkey::varchar) + strlen(symbol))::bigint as bytes from p group by date),
+    t as (select count(*) filter (date in ('1995-03-01', '1996-07-01')) as files_selected, count(*) as files_total, coalesce(sum(bytes) filter (date in ('1995-03-01', '1996-07-01')), 0)::bigint as bytes_selected, sum(bytes)::bigint as bytes_total, 3 as columns_selected, 5 as columns_total from d)"""
 _HEALTH = """r as (select o_orderkey as k, o_custkey as target, o_orderdate::timestamp as queued from orders),
     f as (select l_orderkey as k, min(l_shipdate::timestamp) as acked, count(*) - 1 as repeats from lineitem where {lines} group by 1)"""
 
@@ -406,10 +444,10 @@ ORACLE_SQL = {
         select 'u' || user_id || ':maturity_reference_mismatch' as blocker from b where off union select 'scenario_coverage_mismatch' from b where any_left = 0""",
     "ledger_audit": """with x as (select 'u' || user_id as scenario, event_id, date_trunc('second', ts) as clock, event_type from events), y as (select *, lag(clock) over (partition by scenario order by event_id) as before from x)
         select scenario, count(*) as account_rows, count(*) filter (clock <= before) as clock_not_increasing, 0::bigint as nonfinite_values, count(*) filter (event_type = 'error') as balance_mismatches, count(*) filter (clock is null) as invalid_clocks from y group by scenario""",
-    "newey_west": _HAC + f""" select series, n as nominal_observations, lags as hac_lag, round(mean * 1e6, 6) as mean_e6, round(lrv * 1e9, 6) as lrv_e9, round(mean / sqrt(energy / (n - 1) / n), 6) as iid_t_stat, round(t, 6) as hac_t_stat,
+    "newey_west": _HAC.replace("{least}", "11") + f""" select series, n as nominal_observations, lags as hac_lag, round(mean * 1e6, 6) as mean_e6, round(lrv * 1e9, 6) as lrv_e9, round(mean / sqrt(energy / (n - 1) / n), 6) as iid_t_stat, round(t, 6) as hac_t_stat,
         round(least(n, greatest(1, n * energy / (n - 1) / lrv)), 6) as effective_observations, round({_ERFC.format(x="(abs(t) / sqrt(2))")}, 6) as hac_two_sided_p_value, round({_ERFC.format(x="(t / sqrt(2))")} / 2, 6) as hac_positive_one_sided_p_value,
         round({_ERFC.format(x="(-t / sqrt(2))")} / 2, 6) as hac_negative_one_sided_p_value, round(acf_1, 6) as first_autocorrelation, round(acf, 6) as sum_of_autocorrelations from t""",
-    "hac_ratios": _HAC + " select series, round(t, 6) as hac_t_stat, round(mean / sqrt(lrv) * sqrt(252), 6) as hac_annualized_ratio from t",
+    "hac_ratios": _HAC.replace("{least}", "11") + " select series, round(t, 6) as hac_t_stat, round(mean / sqrt(lrv) * sqrt(252), 6) as hac_annualized_ratio from t",
     "block_designs": f"""with {inputs.VALUES}, n as (select series, count(*) as n from v group by series), x as (select series, n, unnest([8::bigint, n // 5, n]) as block_length from n),
         y as (select *, n / greatest(1, block_length) as blocks from x)
         select series, n, block_length, round(blocks, 8) as effective_blocks, concat_ws(',', case when n < 2 then 'fewer_than_two_observations' end, case when block_length >= n then 'block_length_not_smaller_than_sample' end, case when blocks < 4 then 'too_few_effective_blocks' end) as reasons from y""",
@@ -427,6 +465,15 @@ ORACLE_SQL = {
     "autocorrelations": _LAGS + " select series, g.lag, round(g.product / z.energy, 8) as acf from g join z using (series) where lag <= 20",
     "ljung_box": _LAGS + """, q as (select series, m.n * (m.n + 2) * sum(pow(g.product / z.energy, 2) / (m.n - g.lag)) as q from g join z using (series) join m using (series) where lag <= 20 group by series, m.n)
         select series, round(q, 6) as statistic, 20::bigint as degrees_of_freedom, round(exp(-q / 2) * list_sum(list_transform(range(10), lambda k: exp(k * ln(q / 2) - lgamma(k + 1)))), 6) as p_value from q""",
+    "serial_memory": _MEMORY,
+    "sequential_validation": f"""with {inputs.RETURNS}, a as ({_METRICS.format(keys="series", rows="r")}), f as ({_FALL.format(keys="series", rows="r")}), e as ({_MEMORY}),
+        d as (select series, product(1 + net_return) filter (place > 5) - 1 as without_best_5 from (select *, row_number() over (partition by series order by net_return desc) as place from r) group by series),
+        h as ({_HAC.replace("{least}", "0")} select series, lags, t, n / (lags + 1) as blocks from t),
+        k as ({_CALENDAR} select series, avg((total_return > 0)::int) as gained from a where period_kind = 'calendar_quarter' group by series),
+        w as ({_WINDOWS} select series, count(*) filter (horizon = 20) as windows_20, avg((total_return > 0)::int) filter (horizon = 20) as gained_20, count(*) filter (horizon = 60) as windows_60, min(max_drawdown) filter (horizon = 60) as worst_60 from w group by series)
+        select series, 'diagnostic_only_causal_signal_path_not_verified' as status, start_date::varchar as date_min, end_date::varchar as date_max, observations, round(total_return, 6) as total_return, round(mean / spread * sqrt(252), 6) as sharpe, round(max_drawdown, 6) as max_drawdown,
+        round(without_best_5, 6) as without_best_5, lags as hac_lag, round(t, 6) as hac_t_stat, lags + 1 as block_length, blocks >= 4 as confirmed, linear_return_memory, volatility_memory, windows_20, round(gained_20, 6) as gained_20, windows_60, round(worst_60, 6) as worst_60, round(gained, 6) as gained_quarters
+        from a join f using (series) join d using (series) join h using (series) join k using (series) join w using (series) join e using (series)""",
     "snapshot_difference": """with p as (select strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') as date, l_linenumber from lineitem), a as (select date, count(*) as n from p where date < '1997-01-01' group by 1),
         b as (select date, count(*) as n from p where date >= '1992-06-01' and not (date = '1995-03-01' and l_linenumber = 1) group by 1)
         select date, case when a.n is null then 'added' when b.n is null then 'removed' when a.n = b.n then 'reused' else 'changed' end as change from a full join b using (date)""",
@@ -435,7 +482,8 @@ ORACLE_SQL = {
         t as (select step, count(distinct date)::bigint as objects, count(*)::bigint as all_rows from x group by step)
         select step, date, count(*) as rows, sum(l_orderkey)::bigint as orders, any_value(objects) as objects, any_value(all_rows) as all_rows, step = 'later' as reused from x join t using (step) group by step, date""",
     "selected_rows": "select strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') as date, lpad(l_suppkey::varchar, 6, '0') as symbol, l_discount from lineitem where strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') in ('1995-03-01', '1996-07-01') and l_suppkey in (1, 7)",
-    "scan_statistics": "with d as (select distinct date_trunc('month', l_shipdate) as m from lineitem) select count(*) filter (m in (timestamp '1995-03-01', timestamp '1996-07-01')) as files_selected, count(*) as files_total, 3 as columns_selected, 5 as columns_total from d",
+    "scan_statistics": _SCANNED + " select * from t",
+    "snapshot_reads": _SCANNED + " select p.date, p.symbol, p.l_discount, t.* from p, t where p.date in ('1995-03-01', '1996-07-01') and p.symbol in ('000001', '000007')",
     "pack_parts": """with recursive a as (select source as unit, lang as kind, doc_id::varchar as name, strlen(coalesce(text, ''))::bigint as bytes from documents), b as (select *, row_number() over (order by unit, kind, name) as n from a),
         p(n, part, members, bytes) as (select n, 0::bigint, 1::bigint, bytes from b where n = 1 union all
             select b.n, case when p.members >= 64 or p.bytes + b.bytes > 131072 then p.part + 1 else p.part end, case when p.members >= 64 or p.bytes + b.bytes > 131072 then 1 else p.members + 1 end,

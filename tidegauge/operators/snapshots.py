@@ -9,19 +9,21 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.clocks import strict_date
-from tidegauge.sources.tables import stash
+from tidegauge.sources.tables import selected, stash
 
 SEMANTICS = ("universe", "price_basis", "frequency", "availability", "role")
 MANIFEST = "snapshot_id string, source string, date string, digest string, rows long, bytes long"
-OBJECTS = "digest string, rows long, bytes long"
+OBJECTS = "digest string, rows long, bytes long, symbols array<string>, low string, high string"
 SNAPSHOTS = "snapshot_id string, schema string, date_column string"
 #: The column that names the object of a stored row; sources may not have it.
 OBJECT = "_digest"
+#: The column that objects are indexed by besides their date, and symbols that an object's entry lists; beyond that it has their ends.
+SYMBOL, LISTED = "symbol", 64
 
 
 def _plain(df: DataFrame):
@@ -117,7 +119,7 @@ def freeze(store: str, sources: dict[str, DataFrame], semantics: dict[str, str],
             # Rows are dealt by their content, so that a repeated task deals them alike.
             dealt = F.pmod(F.xxhash64(F.to_json(F.struct(*_plain(df)))), F.lit(salt))
             rows.repartition(OBJECT, dealt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(OBJECT).parquet(_objects(store, schema))
-        fresh.select("digest", "rows", "bytes").write.mode("append").parquet(f"{store}/objects_index")
+        _indexed(fresh, sources, date).write.mode("append").parquet(f"{store}/objects_index")
     if not hit:
         # By snapshot and overwritten, so that a run which ended here leaves no doubles.
         manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{store}/manifests")
@@ -125,37 +127,97 @@ def freeze(store: str, sources: dict[str, DataFrame], semantics: dict[str, str],
     return {"snapshot_id": id, "rows": total.rows, "objects": total.n, "added_bytes": added.bytes, "reused_bytes": total.bytes - added.bytes, "cache_hit": hit}
 
 
-def _stored(spark: SparkSession, store: str, id: str) -> tuple[DataFrame, DataFrame, str]:
-    """Manifest and objects of a snapshot, with the schema that it was frozen with, and its date column."""
+def _indexed(fresh: DataFrame, sources: dict[str, DataFrame], date: str) -> DataFrame:
+    """Entries of new objects: the symbols of one that has few, else their ends; nothing
+    of what has no symbols."""
+    held = None
+    for name, df in sources.items():
+        if SYMBOL in df.columns:
+            new = fresh.where(F.col("source") == name).select("digest", OBJECT + "_date")
+            one = df.select(F.col(date).cast("string").alias(OBJECT + "_date"), F.col(SYMBOL).cast("string").alias(SYMBOL)).join(new, OBJECT + "_date").select("digest", SYMBOL)
+            held = one if held is None else held.unionByName(one)
+    entries = fresh.select("digest", "rows", "bytes")
+    if held is None:
+        return entries.select("*", F.lit(None).cast("array<string>").alias("symbols"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"))
+    each = held.where(F.col(SYMBOL).isNotNull()).distinct()
+    first = each.withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy(SYMBOL))).where(F.col("n") <= LISTED + 1)
+    lists = first.groupBy("digest").agg(F.sort_array(F.collect_list(SYMBOL)).alias("symbols"))
+    ends = each.groupBy("digest").agg(F.min(SYMBOL).alias("low"), F.max(SYMBOL).alias("high"))
+    return entries.join(lists, "digest", "left").join(ends, "digest", "left").withColumn("symbols", F.when(F.size("symbols") <= LISTED, F.col("symbols"))).select("digest", "rows", "bytes", "symbols", "low", "high")
+
+
+def _head(spark: SparkSession, store: str, id: str) -> tuple[DataFrame, T.StructType, str, str]:
+    """Manifest of a snapshot, the schema that it was frozen with, where its objects lie, and its date column."""
     head = _table(spark, f"{store}/snapshots", SNAPSHOTS).where(F.col("snapshot_id") == id).first()
     if head is None:
         raise ValueError(f"no snapshot {id}")
-    schema = T.StructType.fromJson(json.loads(head.schema))
     manifest = _table(spark, f"{store}/manifests", MANIFEST).where(F.col("snapshot_id") == id)
+    return manifest, T.StructType.fromJson(json.loads(head.schema)), _objects(store, head.schema), head.date_column
+
+
+def _rows(spark: SparkSession, schema: T.StructType, path: str, digests: list[str] | None = None) -> DataFrame:
+    """Stored rows with the object that each is of: of all objects, or of those named alone."""
     full = T.StructType([*schema.fields, T.StructField(OBJECT, T.StringType())])
-    return manifest, _table(spark, _objects(store, head.schema), full), head.date_column
+    if digests is None:
+        return _table(spark, path, full)
+    return spark.read.schema(full).option("basePath", path).parquet(*[f"{path}/{OBJECT}={d}" for d in digests]) if digests else spark.createDataFrame([], full)
 
 
-def read_snapshot(spark: SparkSession, store: str, id: str, source: str | None = None, verified: bool = False) -> DataFrame:
+def scan_plan(spark: SparkSession, store: str, id: str, dates: list[str] | None = None, symbols: list[str] | None = None, source: str | None = None) -> DataFrame:
+    """The manifest's rows with ``opened``: whether an object may hold rows of these dates
+    and symbols, as the manifest and the objects' entries tell."""
+    manifest = _head(spark, store, id)[0]
+    wanted = manifest if source is None else manifest.where(F.col("source") == source)
+    entries = _table(spark, f"{store}/objects_index", OBJECTS).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("symbols", "low", "high")])
+    hit = F.lit(True) if dates is None else F.col("date").isin(dates) if dates else F.lit(False)
+    if symbols is not None:
+        among = F.array(*map(F.lit, symbols)).cast("array<string>")
+        between = F.exists(among, lambda s: (s >= F.col("low")) & (s <= F.col("high")))
+        # An object without an entry, or without symbols in it, may hold anything.
+        hit &= F.coalesce(F.when(F.col("symbols").isNotNull(), F.arrays_overlap("symbols", among)).otherwise(between), F.lit(True)) if symbols else F.lit(False)
+    return wanted.join(entries, "digest", "left").select("source", "date", "digest", "rows", "bytes", hit.alias("opened"))
+
+
+def scan_summary(plan: DataFrame, columns: int, all_columns: int) -> DataFrame:
+    """Objects and bytes that a plan opens, of all, and columns."""
+    each = plan.groupBy("digest").agg(F.bool_or("opened").alias("opened"), F.first("bytes").alias("bytes"))
+    return each.agg(
+        F.count_if("opened").alias("files_selected"), F.count("*").alias("files_total"), F.coalesce(F.sum(F.when(F.col("opened"), F.col("bytes"))), F.lit(0)).alias("bytes_selected"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_total"),
+        F.lit(columns).alias("columns_selected"), F.lit(all_columns).alias("columns_total"),
+    )
+
+
+def read_snapshot(spark: SparkSession, store: str, id: str, source: str | None = None, verified: bool = False, columns: list[str] | None = None, dates: list[str] | None = None, symbols: list[str] | None = None) -> DataFrame:
     """The rows of a snapshot, or of one of its sources, as they were frozen: an object
     that several sources hold comes once for each.
 
-    With ``verified`` changed, missing or doubled content is an error.  An unknown id is one
-    always; a snapshot without rows is an empty table of its schema.
+    With ``dates`` or ``symbols`` the manifest names the objects to open, as many as the
+    dates at most, and no other is listed or read; both conditions and ``columns`` reach the scan of
+    those (see ``selected`` for what is an error).  With ``verified`` changed, missing or doubled
+    content of what is opened is an error.  An unknown id is one always; a snapshot
+    without rows is an empty table of its schema.
     """
-    if verified and (bad := stored_errors(spark, store, id).limit(5).collect()):
-        raise ValueError(f"content differs from the manifest: {[r.asDict() for r in bad]}")
-    manifest, objects, _ = _stored(spark, store, id)
+    manifest, schema, path, date = _head(spark, store, id)
     wanted = manifest if source is None else manifest.where(F.col("source") == source)
-    return objects.join(wanted.select(F.col("digest").alias(OBJECT)), OBJECT).drop(OBJECT)
+    chosen = None
+    if dates is not None or symbols is not None:
+        selected(spark.createDataFrame([], schema), columns or schema.names, dates, symbols, date, SYMBOL)  # the caller's errors come first
+        wanted = scan_plan(spark, store, id, dates, symbols, source).where("opened")
+    if dates is not None:
+        chosen = sorted(r.digest for r in wanted.select("digest").distinct().collect())
+    if verified and (bad := stored_errors(spark, store, id, chosen).limit(5).collect()):
+        raise ValueError(f"content differs from the manifest: {[r.asDict() for r in bad]}")
+    rows = _rows(spark, schema, path, chosen).join(wanted.select(F.col("digest").alias(OBJECT)), OBJECT).select(*schema.names)
+    return rows if columns is None and dates is None and symbols is None else selected(rows, columns or schema.names, dates, symbols, date, SYMBOL)
 
 
-def stored_errors(spark: SparkSession, store: str, id: str) -> DataFrame:
-    """date, digest and what was found (null: nothing) of objects of a snapshot whose
-    stored rows are not those of the manifest; empty when all is sound."""
-    manifest, objects, date = _stored(spark, store, id)
+def stored_errors(spark: SparkSession, store: str, id: str, digests: list[str] | None = None) -> DataFrame:
+    """date, digest and what was found (null: nothing) of objects of a snapshot, or of
+    those named, whose stored rows are not those of the manifest; empty when all is sound."""
+    manifest, schema, path, date = _head(spark, store, id)
     stated = manifest.select(F.col("digest").alias(OBJECT), "date").distinct()
-    have = date_digests(objects.join(stated.select(OBJECT), OBJECT, "left_semi"), date, OBJECT)
+    stated = stated if digests is None else stated.where(F.col(OBJECT).isin(digests)) if digests else stated.limit(0)
+    have = date_digests(_rows(spark, schema, path).join(stated.select(OBJECT), OBJECT, "left_semi"), date, OBJECT)
     joined = stated.join(have.select(OBJECT, F.col("digest").alias("found")), OBJECT, "left")
     return joined.where(~F.col(OBJECT).eqNullSafe(F.col("found"))).select("date", F.col(OBJECT).alias("digest"), "found")
 
