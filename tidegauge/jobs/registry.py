@@ -254,7 +254,10 @@ def _progress(spark, sf):
 
 
 def _closure(spark, sf):
-    return retention.closure(inputs.edges(spark, sf), inputs.roots(spark, sf))[0]
+    found, complete = retention.closure(inputs.edges(spark, sf), inputs.roots(spark, sf))
+    if not complete:
+        raise RuntimeError("the closure did not end")
+    return found
 
 
 def _conflicts(spark, sf):

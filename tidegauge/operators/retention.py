@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.sources.tables import stash
+from tidegauge.sources.tables import fresh_folder, stash
 
 #: Paths under these roots are references (a fixed value).
 PATH = r"((?:workspace_out|data_lake)/[^\n\r\"<>|\s]+)"
@@ -21,20 +23,39 @@ def references(documents: DataFrame, known: DataFrame) -> DataFrame:
     return trimmed.unionByName(names).distinct()
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, bool]:
+def closure(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, bool]:
     """Nodes that the roots (node) reach over edges (src, dst), roots included, and
-    whether the search came to its end within ``max_rounds``.
+    whether the search came to its end; without ``max_rounds`` it goes on until it does.
 
-    Each round joins only the frontier, drops what was seen before and is written.
+    Edges are written once, bucketed by source, and what was seen is bucketed by node
+    and only added to.  So a round deals out its frontier alone: neither edges nor
+    nodes seen before are computed, dealt or written again.
     """
-    seen = frontier = stash(roots.select(F.col("node")).distinct(), "frontier")
-    for _ in range(max_rounds):
-        found = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = stash(found.join(seen, "node", "left_anti"), "frontier")
-        if frontier.limit(1).isEmpty():
-            return seen, True
-        seen = stash(seen.union(frontier), "seen")
-    return seen, False
+    spark, id = edges.sparkSession, uuid.uuid4().hex
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = fresh_folder(spark, "closure")
+
+    def kept(df: DataFrame, name: str, by: str) -> None:
+        df.write.mode("append").bucketBy(n, by).sortBy(by).option("path", f"{folder}/{name}").saveAsTable(f"{name}_{id}")
+
+    links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    kept(links, "closure_edges", "src")
+    frontier = stash(roots.select("node").where("node is not null").distinct(), "frontier")
+    rounds, complete = 0, False
+    try:
+        kept(frontier, "closure_seen", "node")
+        while not complete and (max_rounds is None or rounds < max_rounds):
+            found = spark.table(f"closure_edges_{id}").join(frontier.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
+            frontier = stash(found.join(spark.table(f"closure_seen_{id}"), "node", "left_anti"), "frontier")
+            rounds, complete = rounds + 1, frontier.limit(1).isEmpty()
+            if not complete:
+                kept(frontier, "closure_seen", "node")
+        schema = spark.table(f"closure_seen_{id}").schema
+    finally:
+        # Only the catalog's entries go; the rows are read by path.
+        for name in ("closure_edges", "closure_seen"):
+            spark.sql(f"drop table if exists {name}_{id}")
+    return spark.read.schema(schema).parquet(f"{folder}/closure_seen"), complete
 
 
 def ancestors(path: Column) -> Column:

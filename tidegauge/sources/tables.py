@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +75,7 @@ def read_fits(spark: SparkSession, path: str) -> DataFrame:
 
 def read_membership(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Dated snapshots under dt=*/cs_norm.parquet: (snapshot_date, symbol) and one row
-    (snapshot_date, path) for each snapshot, also for those without a symbol.
+    (snapshot_date, path, sha256) for each snapshot, also for those without a symbol.
 
     Only the symbol column is read.  Fails if there is no snapshot, or a date is not
     a date or comes twice.
@@ -86,15 +89,40 @@ def read_membership(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
         raise ValueError("snapshot dates must be dates, each once")
     rows = spark.read.option("pathGlobFilter", "cs_norm.parquet").option("recursiveFileLookup", "true").parquet(root).select("symbol", strict_date(F.regexp_extract("_metadata.file_path", "/dt=([^/]*)/", 1)).alias("snapshot_date"))
     members = rows.select("snapshot_date", normalize_symbol(rows, "symbol").alias("symbol")).where("symbol <> ''").distinct()
-    return members, headers.select("snapshot_date", "path")
+    return members, headers.join(file_digests(spark, root, "cs_norm.parquet"), "path", "left").select("snapshot_date", "path", "sha256")
 
 
-def file_digests(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int = 1 << 30) -> DataFrame:
-    """path, bytes and sha256 of each file; larger ones than ``most_bytes`` have a null hash."""
+def _streamed(batches):
+    """path, bytes and sha256 of files that are too large for a row, read in pieces."""
+    for b in batches:
+        hashes = []
+        for path in b.column("path").to_pylist():
+            system, name = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as file:
+                while piece := file.read(PIECE):
+                    digest.update(piece)
+            hashes.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("path"), b.column("bytes"), pa.array(hashes, pa.string())], names=["path", "bytes", "sha256"])
+
+
+#: Bytes of a file that is hashed as a row, and of a piece of a larger one.
+WHOLE, PIECE = 64 << 20, 4 << 20
+
+
+def file_digests(spark: SparkSession, path: str, pattern: str = "*", whole: int = WHOLE) -> DataFrame:
+    """path, bytes and sha256 of each file.
+
+    A file of up to ``whole`` bytes is a row of Spark's reader.  A larger one is read by its own
+    task in pieces, over a file system that Arrow knows; one in a store that only Spark
+    reads is an error, not a missing hash.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    small = files.where(F.col("length") <= most_bytes).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") > most_bytes).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256"))
-    return small.unionByName(large)
+    small = files.where(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select("path", F.col("length").alias("bytes"))
+    # Each large file is a task of its own as far as there are tasks.
+    dealt = large.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return small.unionByName(dealt.mapInArrow(_streamed, "path string, bytes long, sha256 string"))
 
 
 def selected(df: DataFrame, columns: list[str], dates: list[str] | None = None, symbols: list[str] | None = None, date: str = "date", symbol: str = "symbol") -> DataFrame:
