@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.ordering import placed
 from tidegauge.operators.returns import PERIODS, indexed
 
 #: Observations of a series whose windows end in one task.
@@ -76,10 +77,26 @@ def overlapping_windows(daily: DataFrame, horizons: Iterable[int], periods: int
 
 
 def summarize_windows(windows: DataFrame) -> DataFrame:
-    """One row for each series and horizon."""
-    return windows.groupBy("series", "horizon").agg(
-        F.count("*").alias("window_count"), F.avg((F.col("total_return") > 0).cast("double")).alias("positive_window_fraction"), F.avg("total_return").alias("mean_total_return"),
-        F.percentile("total_return", F.lit(0.5)).alias("median_total_return"), F.min("total_return").alias("minimum_total_return"), F.percentile("total_return", F.lit(0.1)).alias("p10_total_return"),
-        F.percentile("total_return", F.lit(0.9)).alias("p90_total_return"), F.max("total_return").alias("maximum_total_return"), F.percentile("sharpe", F.lit(0.5)).alias("median_sharpe"),
-        F.min("max_drawdown").alias("worst_window_drawdown"), F.max("end_date").alias("latest_window_end_date"), F.max_by("total_return", "end_date").alias("latest_window_total_return"),
+    """One row for each series and horizon.
+
+    Percentiles are exact and interpolated: values are dealt by ranges and get their
+    places, and the one or two at a percentile's place are added up by their weights, so
+    no group's values come together anywhere.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("total_return", "sharpe")])
+    each = windows.select("series", "horizon", "end_date", "max_drawdown", F.inline(kinds)).where("value is not null")
+    rows = placed(each, ("series", "horizon", "metric"), ("value",))
+    of = lambda c: F.when(F.col("metric") == "total_return", c)
+
+    def percentile(metric: str, p: float) -> Column:
+        at = p * (F.col("_total") - 1)
+        weight = F.when(F.col("_place") == F.floor(at), 1 - (at - F.floor(at))).when(F.col("_place") == F.floor(at) + 1, at - F.floor(at))
+        return F.sum(F.when(F.col("metric") == metric, F.col("value") * weight))
+
+    value = of(F.col("value"))
+    return rows.groupBy("series", "horizon").agg(
+        F.count(value).alias("window_count"), F.avg((value > 0).cast("double")).alias("positive_window_fraction"), F.avg(value).alias("mean_total_return"),
+        percentile("total_return", 0.5).alias("median_total_return"), F.min(value).alias("minimum_total_return"), percentile("total_return", 0.1).alias("p10_total_return"),
+        percentile("total_return", 0.9).alias("p90_total_return"), F.max(value).alias("maximum_total_return"), percentile("sharpe", 0.5).alias("median_sharpe"),
+        F.min(of(F.col("max_drawdown"))).alias("worst_window_drawdown"), F.max("end_date").alias("latest_window_end_date"), F.max_by(value, of(F.col("end_date"))).alias("latest_window_total_return"),
     )
