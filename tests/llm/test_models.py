@@ -1,9 +1,11 @@
 """Language model, toxicity, secrets and nearest neighbours."""
 
+import bisect
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -129,7 +131,8 @@ def entropy_spans(text, base):
         good = [i for i in range(len(m[0]) - 19) if sum(secrets.C_LOG_C[c] for c in Counter(m[0][i : i + 20]).values()) <= most]
         if good:
             a, b = m.start() + good[0], m.start() + good[-1] + 20
-            if not any(s < b and a < e for s, _, e in base):
+            near = base[max(0, bisect.bisect(base, (a, -1, 0)) - 4) : bisect.bisect(base, (b, 9, 0))]  # each kind is without overlap
+            if not any(s < b and a < e for s, _, e in near):
                 out.append((a, 3, b))
     return out
 
@@ -139,8 +142,12 @@ def test_secrets(spark):
     key = lambda k, a="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": "".join(r.choices(a, k=k))
     texts = ["", None, "password=abc", "Password : 'abcdefg'", "token=token=abcdef", "password=token: abcdefgh", "AKIA" + "A" * 16, "AKIA" + "A" * 15, "AKIAAKIA" + "B" * 20, "f" * 24, "g" + "0a" * 12 + "z", "日本 secret=" + key(12), key(40), key(64, "0123456789abcdef"), key(40, "0123456789ABCDEF"), "EXAMPLE" + key(40), "123e4567-e89b-12d3-a456-426614174000", "a" * 5000 + "1", key(3000), "api_key='" + key(30) + "' " + key(33), "x" * 100000]
     texts += ["".join(r.choices(["password", "=", ":", " ", "token", "\"", key(7), key(25), "AKIA", "ABCD1234", "é", "a1b2c3d4", "\n"], k=r.randint(1, 25))) for _ in range(300)]
+    # Very many matches of all kinds in one text.
+    texts.append(" ".join(r.choice([f"secret={key(8)}", "AKIA" + key(20, "ABCDEFGH0123456789"), key(24), key(30, "0123456789abcdef"), "token:" + key(40)]) for _ in range(20_000)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"assign": F.lit(1), "spans": F.lit("x")})
+    began = time.time()
     got = {g.doc_id: g for g in secrets.scan(df).collect()}
+    assert time.time() - began < 60
     name = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
     for i, t in enumerate(texts):
         base = base_spans(t or "")
