@@ -9,9 +9,9 @@ clean rates, and K is fitted to the best segments of clean texts.  Segments with
 are passages; their evidence, -ln E, is added up.  A monotone curve fitted on the
 labelled texts turns evidence into a probability.
 
-Learning reads all labelled training rows and counts every token in Spark.  Only tokens
-beyond ``ERRORS`` standard errors reach the driver and the executors; each is in some
-dozen labelled texts at least, and all others have one score.  Training texts are scored
+Learning reads all labelled training rows and counts every token in Spark.  The lexicon is
+of bounded size, as any vocabulary: of the tokens beyond ``ERRORS`` standard errors the ``LEXICON``
+farthest from equal rates reach the driver and the executors, and all others have one score.  Training texts are scored
 for K and the curve with the counts of the other of two folds.
 
 Defined cases: a null text is the empty text; a text without tokens has no passage
@@ -37,6 +37,8 @@ from tidegauge.llm.shared import id_remainder, stash, text_of
 
 #: Pseudo-tokens of the prior, standard errors that a token needs, and what each token costs a segment.
 PRIOR, ERRORS, DRIFT = 500.0, 5.0, 0.1
+#: Tokens of the lexicon at most.
+LEXICON = 1 << 17
 #: The curve's grid over evidence.
 LOW, HIGH, BINS = -24.0, 72.0, 384
 PUNCTUATION = ".,;:!?\"'()[]{}«»„“”…-*_"
@@ -198,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     # The first fold, the second one and both.
     views = [("n00", "n01", *total[:2]), ("n10", "n11", *total[2:]), ("n00 + n10", "n01 + n11", total[0] + total[2], total[1] + total[3])]
     far = [F.expr(distance_sql(*view)).alias(f"g{i}") for i, view in enumerate(views)]
-    kept = counts.select("*", *far).where(" or ".join(f"g{i} > {ERRORS**2}" for i in range(3))).toArrow()
+    farthest = F.greatest("g0", "g1", "g2")
+    kept = counts.select("*", *far).where(farthest > ERRORS**2).orderBy(farthest.desc(), "token").limit(LEXICON).toArrow()
     tokens, n = kept.column("token").to_pylist(), {c: kept.column(c).to_numpy().astype(float) for c in kept.schema.names[1:]}
     pairs = [(n["n00"], n["n01"]), (n["n10"], n["n11"]), (n["n00"] + n["n10"], n["n01"] + n["n11"])]
     *halves, whole = [Lexicon(tokens, *pair, n[f"g{i}"], *view[2:]) for i, (pair, view) in enumerate(zip(pairs, views, strict=True))]
