@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions import numeric
+from tidegauge.jobs import inputs, registry
 from tidegauge.operators import inference, multiplicity, ordering, packs, returns, serial
 
 
@@ -161,3 +162,21 @@ def test_parts_are_filled_greedily(spark, monkeypatch, block, members, most):
     several = packs.plan_parts(df, members, most, buckets=3).groupBy("part").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("bytes").alias("largest"))
     assert several.where((F.col("n") > members) | ((F.col("b") > most) & (F.col("n") > 1))).count() == 0
     assert packs.plan_parts(df.limit(0), members, most).count() == 0
+
+
+def test_inference_on_the_given_tables(spark):
+    """Queries over the driver's tables against numpy on whole series."""
+    folder, held = "/root/testdata/sf0.001", {}
+    for r in inputs.values(spark, folder).orderBy("series", "idx").collect():
+        held.setdefault(r.series, []).append(r.value)
+    pacf = registry.QUERIES["partial_autocorrelations"](spark, folder).toPandas()
+    boot = {r.series: r for r in registry.QUERIES["block_bootstrap"](spark, folder).collect()}
+    assert len(held) > 4 and max(map(len, held.values())) > 1000 and set(pacf.series) == set(boot) == set(held)
+    for name, x in held.items():
+        x = np.array(x)
+        assert np.allclose(pacf[pacf.series == name].sort_values("lag")["pacf"], regressions(x, 20), atol=1e-9)
+        means, row = numeric.block_means(x, 8, 1000, 1729), boot[name]
+        assert (row.confidence_interval_low, row.confidence_interval_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-12)
+        # Sums in another order may put a resample on the other side of a tie.
+        least, most = ((1 + int((means - 2 * x.mean() >= e).sum())) / 1001 for e in (1e-14, -1e-14))
+        assert least <= row.positive_one_sided_p_value <= most and most - least < 0.005

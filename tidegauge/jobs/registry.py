@@ -203,6 +203,26 @@ def _parts(spark, sf):
     return packs.plan_parts(inputs.artifacts(spark, sf), 64, 1 << 17).groupBy("part").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes")).select("part", "members", "bytes")
 
 
+def _pack(spark, sf):
+    """A planned pack with its contents, of which some are not what the catalog says."""
+    d = table(spark, sf, "documents")
+    text = F.coalesce("text", F.lit(""))
+    held = d.select(F.col("source").alias("unit"), F.col("lang").alias("kind"), F.col("doc_id").cast("string").alias("name"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"), "doc_id", text.alias("text"))
+    planned = packs.plan_parts(held, 64, 1 << 17)
+    content = F.when(F.col("doc_id") % 37 == 0, F.concat("text", F.lit("."))).when(F.col("doc_id") % 41 == 0, F.concat(F.lit("x"), F.expr("substring(text, 2)"))).otherwise(F.col("text"))
+    return planned.withColumn("content", content.cast("binary")).drop("text")
+
+
+def _member_errors(spark, sf):
+    return packs.member_errors(_pack(spark, sf))
+
+
+def _lookup(spark, sf):
+    pack = _pack(spark, sf)
+    wanted = inputs.artifacts(spark, sf).where("cast(name as long) % 17 = 0").select("unit", "kind", "name")
+    return packs.lookup(pack, wanted, ["part", "member", "unit", "kind", "name", "bytes"])
+
+
 def _receipts(spark, sf):
     a = inputs.artifacts(spark, sf).select("unit", "name", "sha256", "bytes")
     stated = a.where("cast(name as long) % 41 <> 0").groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("name", F.when(F.col("bytes") % 53 == 0, F.lit("x")).otherwise(F.col("sha256"))))).alias("artifacts"))
@@ -276,7 +296,7 @@ def _mentions(spark, sf):
 
 def _benchmark_ids(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_type", "value")
-    return events.published_once(e).agg(F.count("*").alias("events"))
+    return events.published_once(e).select("event_id", "user_id", "event_type", "value")
 
 
 QUERIES = {
@@ -319,9 +339,11 @@ QUERIES = {
     "selected_rows": _selection,
     "scan_statistics": _scan,
     "pack_parts": _parts,
+    "pack_member_errors": _member_errors,
+    "pack_lookup": _lookup,
     "pack_totals": lambda s, d: packs.catalog_totals(inputs.artifacts(s, d), ("kind",)),
     "receipt_errors": _receipts,
-    "artifact_inventory": lambda s, d: packs.inventory(inputs.artifacts(s, d), ("unit",)).select("unit", "artifacts", "total_bytes"),
+    "artifact_inventory": lambda s, d: packs.inventory(inputs.artifacts(s, d), ("unit",)),
     "delivery_health": _health,
     "first_acks": lambda s, d: events.first_acks(inputs.acks(s, d)),
     "pending_events": lambda s, d: events.pending(inputs.receipts(s, d), inputs.acks(s, d)).select("event_id", "target"),
@@ -372,6 +394,11 @@ _MEMORY = f"""with {inputs.VALUES}, y as (select series, idx, unnest(['returns',
     l as (select series, kind, bool_or(p * tests / place <= 0.05) as any_lag, n * (n + 2) * sum(r * r / (n - lag)) / 2 as h from k group by series, kind, n),
     o as (select series, kind, any_lag or exp(-h) * list_sum(list_transform(range(10), lambda j: exp(j * ln(h) - lgamma(j + 1)))) <= 0.05 as memory from l)
     select series, bool_or(memory) filter (kind = 'returns') as linear_return_memory, bool_or(memory) filter (kind <> 'returns') as volatility_memory from o group by series"""
+#: Documents in the order of a pack, and where each is put: part, members and bytes of the part with it.
+_PACKED = """with recursive a as (select source as unit, lang as kind, doc_id::varchar as name, doc_id, coalesce(text, '') as text, strlen(coalesce(text, ''))::bigint as bytes from documents), b as (select *, row_number() over (order by unit, kind, name) as n from a),
+        p(n, part, members, bytes) as (select n, 0::bigint, 1::bigint, bytes from b where n = 1 union all
+            select b.n, case when p.members >= 64 or p.bytes + b.bytes > 131072 then p.part + 1 else p.part end, case when p.members >= 64 or p.bytes + b.bytes > 131072 then 1 else p.members + 1 end,
+                case when p.members >= 64 or p.bytes + b.bytes > 131072 then b.bytes else p.bytes + b.bytes end from p join b on b.n = p.n + 1)"""
 #: Rows of the panel, and what a selection of two months opens; a row's bytes are those of its JSON.
 _SCANNED = """with p as (select strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') as date, repeat('0', greatest(0, 6 - len(l_suppkey::varchar))) || l_suppkey as symbol, l_orderkey, l_linenumber, l_discount from lineitem),
     d as (select date, sum(strlen('{"date":"","l_discount":,"l_linenumber":,"l_orderkey":,"symbol":""}') + strlen(date) + strlen(l_discount::varchar) + strlen(l_linenumber::varchar) + strlen(l_orderkey::varchar) + strlen(symbol))::bigint as bytes from p group by date),
@@ -487,13 +514,12 @@ ORACLE_SQL = {
     "selected_rows": "select strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') as date, lpad(l_suppkey::varchar, 6, '0') as symbol, l_discount from lineitem where strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') in ('1995-03-01', '1996-07-01') and l_suppkey in (1, 7)",
     "scan_statistics": _SCANNED + " select * from t",
     "snapshot_reads": _SCANNED + " select p.date, p.symbol, p.l_discount, t.* from p, t where p.date in ('1995-03-01', '1996-07-01') and p.symbol in ('000001', '000007')",
-    "pack_parts": """with recursive a as (select source as unit, lang as kind, doc_id::varchar as name, strlen(coalesce(text, ''))::bigint as bytes from documents), b as (select *, row_number() over (order by unit, kind, name) as n from a),
-        p(n, part, members, bytes) as (select n, 0::bigint, 1::bigint, bytes from b where n = 1 union all
-            select b.n, case when p.members >= 64 or p.bytes + b.bytes > 131072 then p.part + 1 else p.part end, case when p.members >= 64 or p.bytes + b.bytes > 131072 then 1 else p.members + 1 end,
-                case when p.members >= 64 or p.bytes + b.bytes > 131072 then b.bytes else p.bytes + b.bytes end from p join b on b.n = p.n + 1)
-        select '000000-' || lpad(part::varchar, 12, '0') as part, max(members) as members, max(bytes)::bigint as bytes from p group by part""",
+    "pack_parts": _PACKED + " select '000000-' || lpad(part::varchar, 12, '0') as part, max(members) as members, max(bytes)::bigint as bytes from p group by part",
     "pack_totals": "select lang as kind, count(*) as artifacts, count(distinct source) as units, sum(strlen(coalesce(text, '')))::bigint as logical_bytes from documents group by lang",
-    "artifact_inventory": "select source as unit, count(*) as artifacts, sum(strlen(coalesce(text, '')))::bigint as total_bytes from documents group by source",
+    "artifact_inventory": """with a as (select source as unit, strlen(coalesce(text, ''))::bigint as bytes, sha256(doc_id || '|' || sha256(coalesce(text, '')) || '|' || strlen(coalesce(text, ''))) as entry from documents)
+        select unit, count(*) as artifacts, sum(bytes)::bigint as total_bytes, sha256(concat_ws('|', count(*), sum(('0x' || entry[1:15])::bigint), sum(('0x' || entry[16:30])::bigint), sum(('0x' || entry[31:45])::bigint), sum(('0x' || entry[46:60])::bigint))) as list_sha256 from a group by unit""",
+    "pack_member_errors": _PACKED + " select unit, kind, name, '000000-' || lpad(part::varchar, 12, '0') as part, members::int as member from p join b using (n) where doc_id % 37 = 0 or (doc_id % 41 = 0 and text[1:1] <> 'x')",
+    "pack_lookup": _PACKED + " select '000000-' || lpad(part::varchar, 12, '0') as part, members::int as member, unit, kind, name, b.bytes from p join b using (n) where doc_id % 17 = 0",
     "delivery_health": "with " + _HEALTH.format(lines="l_linenumber > 1") + f""", x as (select r.*, f.acked, f.repeats, r.queued + interval {inputs.TIMEOUT_S} second as due, r.k % 10 <> 0 as has, timestamp '{inputs.NOW}' as now_at from r left join f using (k)),
         y as (select *, case when not has then null when now_at < queued then 'delivery_clock_regression' when acked < queued or acked > now_at then 'delivery_ack_clock_invalid' end as error from x)
         select k::varchar as event_id, case when error is not null then null when not has then case when k % 20 = 0 then 'submission_uncertain' else 'not_submitted' end when acked is not null then case when acked > due then 'acknowledged_late' else 'acknowledged' end
@@ -502,7 +528,7 @@ ORACLE_SQL = {
     "first_acks": """with x as (select l_orderkey::varchar as event_id, l_shipdate::timestamp as acknowledged_at, l_linenumber as line from lineitem)
         select event_id, acknowledged_at, line, count(*) over (partition by event_id) - 1 as already_consumed from x qualify row_number() over (partition by event_id order by acknowledged_at, line) = 1""",
     "pending_events": "select o_orderkey::varchar as event_id, o_custkey::varchar as target from orders where o_orderkey not in (select l_orderkey from lineitem)",
-    "published_once": "select count(*) as events from (select distinct user_id, event_type, value from events)",
+    "published_once": """select sha256('{"event_type":"' || event_type || '","user_id":' || user_id || ',"value":' || value || '}') as event_id, user_id, event_type, value from (select distinct user_id, event_type, value from events)""",
     "heartbeat_health": """with x as (select 'run' || user_id as run_id, case event_type when 'error' then 'failed' when 'purchase' then 'succeeded' else 'running' end as status, ts from events),
         y as (select * from x qualify row_number() over (partition by run_id order by ts desc, status desc) = 1)
         select run_id, case when status = 'running' and (select max(ts) from events) - ts > interval 1 day then 'at_risk' else status end as status, case when status = 'running' and (select max(ts) from events) - ts > interval 1 day then 'controller_heartbeat_stale' end as blocker from y""",
