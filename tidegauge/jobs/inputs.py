@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.symbols import normalize_symbol
 from tidegauge.operators.ordering import placed
 from tidegauge.operators.returns import indexed
-from tidegauge.sources.tables import table
+from tidegauge.sources.tables import stash, table
 
 
 #: Customers of a desk: desks grow with the orders, and each has some hundred dates.
@@ -34,7 +34,7 @@ def values(spark: SparkSession, sf: str) -> DataFrame:
     that grow with the lines beside many that do not."""
     desks = indexed(returns(spark, sf)).select("series", "idx", F.col("net_return").alias("value"))
     lines = table(spark, sf, "lineitem").select(F.concat(F.lit("flag "), "l_returnflag").alias("series"), (F.col("l_quantity") / 5000 - 0.005).alias("value"), *LINE)
-    return desks.unionByName(placed(lines, ["series"], LINE).select("series", F.col("_place").alias("idx"), "value"))
+    return stash(desks.unionByName(placed(lines, ["series"], LINE).select("series", F.col("_place").alias("idx"), "value")), "values")
 
 
 VALUES = INDEXED + f""", v as (select series, idx, net_return as value from i union all

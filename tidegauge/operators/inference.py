@@ -76,7 +76,7 @@ def newey_west(values: DataFrame, overlap_horizon: int = 1, minimum_lag: int = 0
     finite are left out, and a series of such values alone has no row; with ``dense`` the
     caller has done so."""
     values = values if dense else stash(renumbered(values), "renumbered")
-    known = moments(values).withColumn("lags", hac_lag(F.col("n"), overlap_horizon, minimum_lag))
+    known = stash(moments(values).withColumn("lags", hac_lag(F.col("n"), overlap_horizon, minimum_lag)), "moments")
     gamma = F.col("centered_energy") / F.col("n")
     products = lag_products(values, known).join(known.select("series", "n", "lags", "centered_energy"), "series")
     weighed = products.groupBy("series").agg(

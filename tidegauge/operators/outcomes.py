@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.returns import finite
 
+# Actions that mean cash, texts of truth values, names of counts and error codes.
 CASH = ("ABSTAIN", "CASH", "NO_ACTION")
+TRUE, FALSE = ("1", "true", "yes"), ("0", "false", "no")
 
 
 def resolution(c: Column) -> tuple[Column, Column]:
     """(resolved, valid) of a truth value or its text; anything else is invalid and unresolved."""
     text = F.coalesce(F.lower(F.trim(c.cast("string"))), F.lit(""))
-    return text.isin("1", "true", "yes"), text.isin("0", "1", "false", "true", "no", "yes")
+    return text.isin(*TRUE), text.isin(*TRUE, *FALSE)
 
 
 def audit_outcomes(df: DataFrame, value: str = "net_return", resolved: str = "resolved", action: str = "action", keys: tuple[str, ...] = (), cash: tuple[str, ...] = CASH, tolerance: float = 1e-15) -> DataFrame:
@@ -25,7 +27,7 @@ def audit_outcomes(df: DataFrame, value: str = "net_return", resolved: str = "re
     done, valid = resolution(F.col(resolved))
     number = F.col(value).try_cast("double") if df.schema[value].dataType.simpleString() == "string" else F.col(value).cast("double")
     flagged = df.select(*keys, done.alias("done"), valid.alias("valid"), F.coalesce(F.upper(F.trim(F.col(action).cast("string"))), F.lit("")).isin(*[c.strip().upper() for c in cash]).alias("cash"), finite(number).alias("finite"), F.coalesce(finite(number) & (F.abs(number) > tolerance), F.lit(False)).alias("nonzero"))
-    checks = {
+    checks = {  # fixed values: count, error code and rule
         "invalid_resolution": ("invalid_resolution_value", "not valid"),
         "resolved_cash_nonfinite": ("resolved_cash_return_must_be_explicit_zero", "done and cash and not finite"),
         "resolved_cash_nonzero": ("resolved_cash_return_must_equal_zero", "done and cash and nonzero"),

@@ -42,7 +42,7 @@ def _known(values: DataFrame, most: int) -> DataFrame:
 def autocorrelations(values: DataFrame, max_lag: int = 20, known: DataFrame | None = None) -> DataFrame:
     """(series, lag, acf); null where the variation cannot be told from rounding.  A series
     with a value that is not finite is an error; ``known``: the caller has looked."""
-    known = known or _known(reject_nonfinite(values), max_lag)
+    known = known or stash(_known(reject_nonfinite(values), max_lag), "moments")
     products = lag_products(values, known, max_lag).join(known.select("series", "centered_energy", "varies"), "series")
     return products.select("series", "lag", F.when(F.col("varies"), F.col("product") / F.col("centered_energy")).alias("acf"))
 
@@ -60,7 +60,7 @@ def partial_autocorrelation_rows(values: DataFrame, max_lag: int = 20, known: Da
     rank is judged as in a regression on the whole series; sums of products would have
     them squared and lose it.  Errors as in ``autocorrelations``.
     """
-    known = known or _known(reject_nonfinite(values), max_lag)
+    known = known or stash(_known(reject_nonfinite(values), max_lag), "moments")
     top = known.agg(F.max("lags").alias("lags"), F.max("n").alias("n")).first()
     most = int(top.lags or 0)
     size = max(BUCKET, 4 * most)
