@@ -199,16 +199,16 @@ def read_snapshot(spark: SparkSession, store: str, id: str, source: str | None =
     """
     manifest, schema, path, date = _head(spark, store, id)
     wanted = manifest if source is None else manifest.where(F.col("source") == source)
-    chosen = None
+    chosen, names = None, schema.names if columns is None else columns
     if dates is not None or symbols is not None:
-        selected(spark.createDataFrame([], schema), columns or schema.names, dates, symbols, date, SYMBOL)  # the caller's errors come first
+        selected(spark.createDataFrame([], schema), names, dates, symbols, date, SYMBOL)  # the caller's errors come first
         wanted = scan_plan(spark, store, id, dates, symbols, source).where("opened")
     if dates is not None:
         chosen = sorted(r.digest for r in wanted.select("digest").distinct().collect())
     if verified and (bad := stored_errors(spark, store, id, chosen).limit(5).collect()):
         raise ValueError(f"content differs from the manifest: {[r.asDict() for r in bad]}")
     rows = _rows(spark, schema, path, chosen).join(wanted.select(F.col("digest").alias(OBJECT)), OBJECT).select(*schema.names)
-    return rows if columns is None and dates is None and symbols is None else selected(rows, columns or schema.names, dates, symbols, date, SYMBOL)
+    return rows if columns is None and dates is None and symbols is None else selected(rows, names, dates, symbols, date, SYMBOL)
 
 
 def stored_errors(spark: SparkSession, store: str, id: str, digests: list[str] | None = None) -> DataFrame:
