@@ -63,6 +63,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished queries once the driver's garbage is
+    collected, which may be long after; a job of many steps asks for that in between."""
+    spark._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``size`` bytes of text each, and one row at least."""
     end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
