@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, line_dedup, resemblance, simhash
+from tidegauge.llm import exact_dedup, line_dedup, resemblance, shared, simhash
 from tidegauge.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -258,6 +258,21 @@ def test_resemblance(spark):
     assert resemblance.keep_one(df.limit(0)).count() == 0
 
 
+def test_near_stage_lets_tables_go(spark):
+    """Texts are written once, and keys, candidates and their shingles go when they have been read."""
+    import os
+
+    r = random.Random(4)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(400)], k=60)) for _ in range(30)]
+    df = docs(spark, list(enumerate(texts + [t + " end" for t in texts])))
+    with shared.recorded(made := []):
+        assert simhash.keep_one(df, words=5, similarity=True).count() == 30
+    left = [path for path in made if os.path.exists(path.removeprefix("file://"))]
+    assert left and not [path for path in left if os.path.basename(path).split("-")[0] in ("keys", "candidates", "named", "shingles")]
+    holds = [os.path.basename(path).split("-")[0] for path in left if {"row", "text"} & set(spark.read.parquet(path).columns)]
+    assert holds == ["numbered"]
+
+
 def test_masks_fold():
     """Groups of long and short sets give every similar pair of different components, and no pair whose masks forbid it."""
     import pyarrow as pa

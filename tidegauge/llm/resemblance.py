@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.components import components
 from tidegauge.llm.language_model import mixed
-from tidegauge.llm.shared import release, slices, stash, text_of
+from tidegauge.llm.shared import drop, recorded, release, slices, stash, text_of
 
 WORDS, SEED, BITS = 5, 42, 1024
 #: A shingle in one of so many rows is frequent; their number is at most this times the mean number of shingles, and ``FREQUENT``.
@@ -168,12 +168,17 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
             good = [similar(np.array(x[i].values), np.array(y[i].values)) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    pairs = stash(pairs, "candidates")
-    named = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    held = stash(rows.join(named.hint("merge"), "rid").mapInArrow(sets, "rid long, found array<long>"), "shingles")
+    spark = rows.sparkSession
+    with recorded(made := []):
+        pairs = stash(pairs, "candidates")
+        named = stash(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "named")
+        release(spark)
+        # Spark knows the size of a written table, so for few rows texts are not shuffled.
+        held = stash(rows.join(named, "rid").mapInArrow(sets, "rid long, found array<long>"), "shingles")
     sides = pairs.join(held.toDF("a", "x").hint("merge"), "a").join(held.toDF("b", "y").hint("merge"), "b")
     found = stash(sides.mapInArrow(run, "a long, b long"), "similar")
-    release(rows.sparkSession)
+    drop(spark, made)
+    release(spark)
     return found
 
 
@@ -224,17 +229,19 @@ def _apart(closest: bool):
 
 def links(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """Links (a, b) that connect all similar texts (rid, text)."""
-    keyed = _keyed(rows, words)
-    known = keyed.select("rid", "size", "mask")
+    with recorded(made := []):
+        keyed = _keyed(rows, words)
     each = keyed.select("rid", F.explode("keys").alias("key"))
     members = [F.bit_xor(F.xxhash64("rid", F.lit(seed))).alias(f"x{seed}") for seed in (0, 1)]
     met = each.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("hub"), *members).where("n > 1")
     # Of buckets with the same members (told by 128 bits) one is enough.
     met = stash(met.groupBy("n", "hub", "x0", "x1").agg(F.min("key").alias("key")).select("key", "n", "hub"), "buckets")
     held = stash(each.join(met.hint("merge"), "key"), "members")
+    known = stash(keyed.select("rid", "size", "mask"), "masks")
+    drop(rows.sparkSession, made)  # keys take more room than masks and are in the members
     release(rows.sparkSession)
 
-    def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(known.toDF("a", "size_a", "mask_a").hint("merge"), "a").join(known.toDF("b", "size_b", "mask_b").hint("merge"), "b")
         return _confirmed(sides.where(_may_be_similar(F.col("size_a"), F.col("size_b"), F.col("mask_a"), F.col("mask_b"))).select("a", "b"), rows, words)
 
@@ -248,13 +255,12 @@ def links(rows: DataFrame, words: int = WORDS) -> DataFrame:
         release(rows.sparkSession)
         return found
 
-    near = confirmed(held.groupBy("rid").agg(F.min("hub").alias("a")).where("a < rid").select("a", F.col("rid").alias("b")), rows)
+    near = confirmed(held.groupBy("rid").agg(F.min("hub").alias("a")).where("a < rid").select("a", F.col("rid").alias("b")))
     held, every = held.select("key", "n", "rid"), rows.count()
     apart = split(near, 0)
-    some = stash(rows.join(apart.select("rid").distinct().hint("merge"), "rid", "left_semi"), "apart-rows")
     for turn in range(1, ROUNDS + 1):
         pairs = apart.where("root <> hub.root").select(F.least("rid", "hub.rid").alias("a"), F.greatest("rid", "hub.rid").alias("b")).distinct()
-        more = confirmed(stash(pairs, "hub-pairs"), some)
+        more = confirmed(stash(pairs, "hub-pairs"))
         found = more.count()
         if found:
             near = stash(near.union(more), "near")
@@ -267,7 +273,7 @@ def links(rows: DataFrame, words: int = WORDS) -> DataFrame:
         member = apart.where("n > 2").select("key", "rid", "root", parts.alias("parts")).join(known.hint("merge"), "rid")
         member = member.withColumn("part", F.pmod(F.xxhash64("rid"), "parts").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         grouped = member.groupBy("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).agg(F.collect_list(F.struct("rid", "root", "size", "mask", "part")).alias("members"))
-        return _confirmed(grouped.select("members", "lo", "hi").mapInArrow(_apart(closest), "a long, b long").distinct(), some, words)
+        return _confirmed(grouped.select("members", "lo", "hi").mapInArrow(_apart(closest), "a long, b long").distinct(), rows, words)
 
     near = stash(near.union(searched(apart, True)), "near")
     return near.union(searched(split(near, 0), False))
