@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidegauge.llm import exact_dedup, line_dedup, resemblance, shared, simhash
 from tidegauge.llm.components import components
 
@@ -273,6 +274,42 @@ def test_near_stage_lets_tables_go(spark):
     assert holds == ["numbered"]
 
 
+def test_near_stage_by_fingerprints(spark, monkeypatch):
+    """The stage gets its links from ``near_links``; similarity confirms them, and finds what they leave apart."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(500)], k=r.choice([0, 3, 8, 40, 300]))) for _ in range(50)]
+    texts += [" ".join(w for w in t.split() if r.random() > share) for t in texts for share in (0.004, 0.02, 0.1)]
+    texts += ["same fingerprint", "SAME fingerprint"]
+    sets = [set(resemblance.shingles(t).tolist()) for t in texts]
+    fps = simhash.fingerprints(texts, 5)
+    pairs = [(j, i) for i in range(len(texts)) for j in range(i)]
+    close = {p for p in pairs if int(np.bitwise_count(fps[p[0]] ^ fps[p[1]])) <= 4}
+    alike = {(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert alike - close and alike & close
+
+    def least(links):
+        group = list(range(len(texts)))
+        for i, j in sorted(links):
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+        return group
+
+    met, proposed, near_links, links = [], [], simhash.near_links, resemblance.links
+    monkeypatch.setattr(simhash, "near_links", lambda distinct, *a: met.append(distinct.count()) or near_links(distinct, *a))
+
+    def spied(rows, words, links_of_prints):
+        place = {x.rid: texts.index(x.text) for x in rows.collect()}
+        proposed.extend((place[x.a], place[x.b]) for x in links_of_prints.collect())
+        return links(rows, words, links_of_prints)
+
+    monkeypatch.setattr(resemblance, "links", spied)
+    kept = corpus_pipeline.near(spark, docs(spark, list(enumerate(texts))), "")
+    ids = [texts.index(t) for t in texts]  # of equal texts the first
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(least(alike)))
+    assert met == [len(set(fps.tolist()))] and set(proposed) <= close | {(i, i) for i in ids} | {(j, i) for i, j in close}
+    assert least(proposed + [(ids[i], i) for i in range(len(ids))]) == least(close)
+
+
 def test_masks_fold():
     """Groups of long and short sets give every similar pair of different components, and no pair whose masks forbid it."""
     import pyarrow as pa

@@ -12,8 +12,9 @@ sets of shingles, without loss:
   ``BITS`` at least; a longer mask folds to a shorter one.  Masks differ in no more bits than sets
   do in shingles, and similar sets of a and b shingles in at most (a + b) / 9.
 
-A row is first compared with one other, the smallest that shares a key with it, and components
-found; then, while that finds links, with one member of each of its buckets that is in
+Links that another method proposes (``simhash`` those of its fingerprints) are confirmed first.
+Without them a row is first compared with one other, the smallest that shares a key with it.
+Components are found; then, while that finds links, with one member of each of its buckets that is in
 another component, chosen anew each time.  Then each bucket gives, for each two components
 that it has members of, the pair whose masks differ least; and at last all members of one
 bucket that are still in different components are compared with each other.  Sizes and masks must allow it each time, and a crowded bucket is dealt in groups
@@ -97,7 +98,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _numbered(docs: DataFrame, text: str, id: str) -> DataFrame:
+def numbered(docs: DataFrame, text: str, id: str) -> DataFrame:
     """Written: rid (a number for each row), doc_id and row."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return stash(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), row), "numbered")
@@ -227,8 +228,12 @@ def _apart(closest: bool):
     return run
 
 
-def links(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """Links (a, b) that connect all similar texts (rid, text)."""
+def links(rows: DataFrame, words: int = WORDS, proposed: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect all similar texts (rid, text).
+
+    ``proposed`` links (a, b) are confirmed first; then only texts that these leave
+    apart are compared.
+    """
     with recorded(made := []):
         keyed = _keyed(rows, words)
     each = keyed.select("rid", F.explode("keys").alias("key"))
@@ -255,7 +260,9 @@ def links(rows: DataFrame, words: int = WORDS) -> DataFrame:
         release(rows.sparkSession)
         return found
 
-    near = confirmed(held.groupBy("rid").agg(F.min("hub").alias("a")).where("a < rid").select("a", F.col("rid").alias("b")))
+    if proposed is None:
+        proposed = held.groupBy("rid").agg(F.min("hub").alias("a")).where("a < rid").select("a", F.col("rid").alias("b"))
+    near = confirmed(proposed)
     held, every = held.select("key", "n", "rid"), rows.count()
     apart = split(near, 0)
     for turn in range(1, ROUNDS + 1):
@@ -279,12 +286,17 @@ def links(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return near.union(searched(split(near, 0), False))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The row with the smallest id of each component, null ids last, with all columns of ``docs``."""
-    rows = _numbered(docs, text, id)
-    stars = components(links(rows.select("rid", text_of(f"row.{text}").alias("text")), words))
+def keep_first(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The row with the smallest id of each component of ``links``, null ids last."""
+    stars = components(links)
     member = stars.union(stars.select("root", "root").distinct()).toDF("rid", "root").join(rows.select("rid", "doc_id"), "rid")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")
     first = member.groupBy("root").agg(F.min(order)["rid"].alias("rid")).select("rid")
     gone = stash(member.select("rid").join(first, "rid", "left_anti"), "near-copies")
     return rows.join(gone, "rid", "left_anti").select("row.*")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The row with the smallest id of each component, null ids last, with all columns of ``docs``."""
+    rows = numbered(docs, text, id)
+    return keep_first(rows, links(rows.select("rid", text_of(f"row.{text}").alias("text")), words))

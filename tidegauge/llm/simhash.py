@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import resemblance
 from tidegauge.llm.components import components
-from tidegauge.llm.shared import stash, text_of
+from tidegauge.llm.shared import drop, recorded, release, slices, stash, text_of
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at a time.
@@ -60,9 +60,9 @@ def fingerprints(texts, words: int) -> np.ndarray:
     def count() -> None:
         if not held:
             return
-        bits = np.unpackbits(np.array(held, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        rows = np.array([r for r, _ in at])
-        ones[rows] += np.add.reduceat(bits, np.array([a for _, a in at]), axis=0, dtype=np.int64)
+        every = np.array(held, ">u8").view(np.uint8).reshape(-1, 8)
+        for (row, a), b in zip(at, [*(a for _, a in at[1:]), len(held)], strict=True):
+            ones[row] += np.unpackbits(every[a:b], axis=1).sum(axis=0, dtype=np.int64)
 
     for row, text in enumerate(texts):
         hashes = shingle_hashes(text, words)
@@ -82,7 +82,7 @@ def fingerprinted(docs: DataFrame, words: int, carry: bool = False, text: str =
 
     def run(batches):
         pid, n = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             fp = fingerprints(b.column("text").to_pylist(), words)
             rid = (pid << 40) + n + np.arange(b.num_rows)
             n += b.num_rows
@@ -173,15 +173,33 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, at_once: i
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def proposals(rows: DataFrame, words: int, radius: int, at_once: int) -> DataFrame:
+    """Written: links (a, b) between rows (rid, text) that connect all whose fingerprints are
+    within the radius of each other."""
+    with recorded(made := []):
+        fps = fingerprinted(rows, words, id="rid").select("fp", F.col("doc_id").alias("rid"))
+        first = stash(fps.groupBy("fp").agg(F.min("rid").alias("first")), "distinct")
+        near = stash(near_links(first.select("fp"), radius, at_once).distinct(), "fingerprint-links")
+    between = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    within = fps.join(first, "fp").where("first < rid").select("first", "rid")
+    found = stash(between.union(within).distinct(), "proposals")
+    drop(rows.sparkSession, made)
+    release(rows.sparkSession)
+    return found
+
+
 def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, at_once: int = 4096, similarity: bool = False, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The row with the smallest id of each component, with all columns of ``docs``.
 
     With ``similarity`` texts are linked by a Jaccard similarity of their shingles of 0.8
-    or more.  Fingerprints of such texts are some 10 bits apart, too far for masks, so the
-    candidates then come from the sets of shingles themselves (see ``resemblance``).
+    or more.  Links between fingerprints are then confirmed by the exact similarity.  Such
+    texts may also have fingerprints some 10 bits apart, too far for masks, so what the
+    fingerprints leave apart is found by the sets of shingles (see ``resemblance``).
     """
     if similarity:
-        return resemblance.keep_one(docs, words, text, id)
+        rows = resemblance.numbered(docs, text, id)
+        texts = rows.select("rid", text_of(f"row.{text}").alias("text"))
+        return resemblance.keep_first(rows, resemblance.links(texts, words, proposals(texts, words, radius, at_once)))
     fps = fingerprinted(docs, words, carry=True, text=text, id=id)
     firsts = _linked(fps.select("doc_id", "fp", "rid"), radius, at_once).select(F.col("first.rid").alias("rid")).distinct()
     return fps.join(firsts, "rid").select("row.*")
