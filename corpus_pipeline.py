@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and its
 result is written before the next stage is called.  So the next one first deletes the
-tables that earlier stages wrote for themselves.
+tables that earlier stages wrote for themselves.  Texts reach Python in small batches, in what
+a stage writes itself.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import exact_dedup, mixing, packing, simhash, toxicity
 from tidegauge.llm.queries import vocabulary
-from tidegauge.llm.shared import drop, recorded, stash
+from tidegauge.llm.shared import drop, recorded, small_batches, stash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Tables that finished stages of this thread's run wrote for themselves.
@@ -29,7 +30,7 @@ def stage(work: Stage) -> Stage:
         if left is None:
             _left.set(left := [])
         drop(spark, left)
-        with recorded(left):
+        with recorded(left), small_batches(spark):
             return work(spark, docs, sf_dir)
 
     return run_stage
@@ -38,8 +39,10 @@ def stage(work: Stage) -> Stage:
 @stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
-    model = toxicity.fit(toxicity.learnable(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, carry=True).where("predicted = 0").select("row.*")
+    with recorded(made := []):
+        model = toxicity.fit(toxicity.learnable(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    drop(spark, made)  # the model has all that scores need
+    return stash(toxicity.score(docs, model, carry=True).where("predicted = 0").select("row.*"), "clean")
 
 
 @stage

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,37 @@ def test_tables_go(spark):
         spark.read.parquet(path)
 
 
+def test_stages_batches(spark, tmp_path):
+    """Stages hand texts to Python in small batches and leave the session as it was."""
+    name, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 8000) AS text")
+
+    def measured(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    @corpus_pipeline.stage
+    def work(spark, docs, sf_dir):
+        sizes.extend(r.n for r in shared.stash(docs.mapInArrow(measured, "n long"), "test").collect())
+        if sf_dir == "fails":
+            raise ValueError(sf_dir)
+        return docs
+
+    work(spark, docs, "")
+    assert sum(sizes) > 25 << 20 and max(sizes) < 6 << 20
+    assert spark.conf.get(name, None) is None
+    with pytest.raises(ValueError, match="fails"):
+        work(spark, docs, "fails")
+    assert spark.conf.get(name, None) is None
+    spark.conf.set(name, 1 << 20)
+    try:
+        sizes.clear()
+        work(spark, docs, "")
+        assert max(sizes) < 2 << 20 and spark.conf.get(name) == str(1 << 20)
+    finally:
+        spark.conf.unset(name)
+
+
 def test_empty_and_clashing(spark, data, tmp_path):
     """Stages take empty tables and columns named like their own."""
     names = ["row", "rid", "fp", "key", "size", "root", "members", "predicted", "edge", "position", "words", "length", "pid"]

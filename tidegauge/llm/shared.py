@@ -80,6 +80,25 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[
         start = stop
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 1 << 22) -> Iterator[None]:
+    """What is written meanwhile hands rows to Python in batches of about ``size`` bytes.
+
+    By default they may have 64 MB, and an executor and its Python workers keep the room
+    that the largest one took.  A limit that the session names is left alone, and
+    afterwards none is named, as before.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def text_of(column: str | Column) -> Column:
     """A text in which null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

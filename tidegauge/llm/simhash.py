@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import resemblance
 from tidegauge.llm.components import components
-from tidegauge.llm.shared import drop, recorded, release, slices, stash, text_of
+from tidegauge.llm.shared import drop, partitions, recorded, release, slices, stash, text_of
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at a time.
@@ -179,7 +179,9 @@ def proposals(rows: DataFrame, words: int, radius: int, at_once: int) -> DataFra
     with recorded(made := []):
         fps = fingerprinted(rows, words, id="rid").select("fp", F.col("doc_id").alias("rid"))
         first = stash(fps.groupBy("fp").agg(F.min("rid").alias("first")), "distinct")
-        near = stash(near_links(first.select("fp"), radius, at_once).distinct(), "fingerprint-links")
+        # A written table of fingerprints is a few files, but each one is placed in all tables.
+        dealt = first.select("fp").repartition(partitions(rows.sparkSession), "fp")
+        near = stash(near_links(dealt, radius, at_once).distinct(), "fingerprint-links")
     between = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     within = fps.join(first, "fp").where("first < rid").select("first", "rid")
     found = stash(between.union(within).distinct(), "proposals")
