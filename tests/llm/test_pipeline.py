@@ -1,7 +1,9 @@
 """The pipeline's stages against brute force."""
 
+import gc
 import random
 import re
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from tidegauge.llm import shared
+from tidegauge.llm import packing, shared, toxicity
+from tidegauge.llm.queries import vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +120,41 @@ def test_stages_batches(spark, tmp_path):
         spark.conf.unset(name)
 
 
+def test_stages_batches_of_a_megabyte(spark):
+    docs = spark.range(0, 100, 1, 1).selectExpr("repeat('some words ', 8000) AS text")
+
+    def measured(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    @corpus_pipeline.stage
+    def work(spark, docs, sf_dir):
+        return shared.stash(docs.mapInArrow(measured, "n long"), "test")
+
+    sizes = [r.n for r in work(spark, docs, "").collect()]
+    assert sum(sizes) > 8 << 20 and max(sizes) < 3 << 19
+
+
+def test_workers_let_go(monkeypatch):
+    """What packing holds for its next task in a Python worker goes when another operator's task begins there."""
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", "other words"], "fold": [0, 1], "toxic": [0, 1]})
+
+    def alive():
+        gc.collect()
+        return [id(x) for x in gc.get_objects() if type(x) is packing.WordIds]
+
+    for _ in range(2):
+        (found,) = packing.cutter(vocabulary("word_bpe_49k.json"), 2048)([batch])
+        assert found.num_rows == 2
+        held = alive()
+        assert len(held) == 1
+    list(packing.cutter(vocabulary("word_bpe_49k.json"), 2048)([batch]))
+    assert alive() == held
+    assert sum(b.num_rows for b in toxicity.count_tokens([batch])) == 4
+    assert alive() == []
+
+
 def test_empty_and_clashing(spark, data, tmp_path):
     """Stages take empty tables and columns named like their own."""
     names = ["row", "rid", "fp", "key", "size", "root", "members", "predicted", "edge", "position", "words", "length", "pid"]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.shared import BLANKS, stash, text_of
+from tidegauge.llm.shared import frugal, BLANKS, stash, text_of
 
 LEADING = 64
 #: The range, whether the run is its first (0) or last one (1) or neither (-1), whether the row is the run's
@@ -49,6 +49,7 @@ def _fresh(b: pa.RecordBatch, last: str | None) -> np.ndarray:
     return fresh
 
 
+@frugal
 def _groups(batches):
     """All rows of one range, with the head and size of their runs.
 
@@ -87,6 +88,7 @@ def _groups(batches):
         yield from closed(pa.concat_tables([r for r, _ in waiting]), np.concatenate([a for _, a in waiting]), True)
 
 
+@frugal
 def _heads(batches):
     """The first row of each run of one range; of a run with very many rows no other is held."""
     pid, last, text, open_, edge = TaskContext.get().partitionId(), None, None, None, 0

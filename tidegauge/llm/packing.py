@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import Merger, Ragged, spans, spread, unknown
-from tidegauge.llm.shared import stash, text_of
+from tidegauge.llm.shared import frugal, remembered, stash, text_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long, row_id long"
 #: Characters tokenised at a time, and words remembered by a Python worker.
-BLOCK, REMEMBERED = 1 << 20, 1 << 18
+BLOCK, REMEMBERED = 1 << 20, 1 << 16
 #: Bases of the polynomial hashes of words.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Pre-tokens of the word vocabulary (a fixed value).
@@ -154,12 +154,6 @@ class WordIds:
         return ids, np.bincount(line, weights=count).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One for each Python worker, which Spark uses for many tasks."""
-    return WordIds(path)
-
-
 def flush(words: WordIds, row: int, held: list[str], found: list[np.ndarray], total: np.ndarray) -> int:
     """Adds what is held, from ``row`` on, to the batch; returns the row that is open."""
     ids, count = words.of(" ".join(held).encode())
@@ -169,8 +163,9 @@ def flush(words: WordIds, row: int, held: list[str], found: list[np.ndarray], to
 
 
 def cutter(path: str, capacity: int):
+    @frugal
     def run(batches):
-        pid, seen, words, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), word_ids(path), 0
+        pid, seen, words, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), remembered(WordIds, path), 0
         for b in batches:
             if not b.num_rows:
                 continue

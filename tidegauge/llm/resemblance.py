@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.components import components
 from tidegauge.llm.language_model import mixed
-from tidegauge.llm.shared import drop, recorded, release, slices, stash, text_of
+from tidegauge.llm.shared import drop, frugal, recorded, release, slices, stash, text_of
 
 WORDS, SEED, BITS = 5, 42, 1024
 #: A shingle in one of so many rows is frequent; their number is at most this times the mean number of shingles, and ``FREQUENT``.
@@ -107,6 +107,7 @@ def numbered(docs: DataFrame, text: str, id: str) -> DataFrame:
 def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of at least one row in ``SHARE``, rarer ones first, as ``keys`` takes them."""
 
+    @frugal
     def run(batches):
         held, size = [], 0
 
@@ -142,6 +143,7 @@ def _keyed(rows: DataFrame, words: int) -> DataFrame:
     """Written: rid, size, mask and keys of each row."""
     frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))
 
+    @frugal
     def run(batches):
         for part in (part for b in batches for part in slices(b, "text")):
             found = [shingles(t, words) for t in part.column("text").to_pylist()]
@@ -158,11 +160,13 @@ def _keyed(rows: DataFrame, words: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """Written: those of pairs (a, b) that are similar."""
 
+    @frugal
     def sets(batches):
         for part in (part for b in batches for part in slices(b, "text")):
             found = [shingles(t, words).view(np.int64) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(found, pa.list_(pa.int64()))], names=["rid", "found"])
 
+    @frugal
     def run(batches):
         for b in batches:
             x, y = b.column("x"), b.column("y")
@@ -220,6 +224,7 @@ def _pairs(m: pa.Array, lo: int, hi: int, closest: bool) -> tuple[np.ndarray, np
 
 
 def _apart(closest: bool):
+    @frugal
     def run(batches):
         for b in batches:
             found = [_pairs(m.values, lo, hi, closest) for m, lo, hi in zip(b.column("members"), b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True)]

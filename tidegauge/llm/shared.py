@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +82,52 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[
         start = stop
 
 
+#: What this Python worker holds for later tasks, and for which operator.
+_held: dict[tuple, object] = {}
+_holder: list[str] = []
+
+
+def remembered(make: Callable, *args):
+    """``make(*args)``, which this Python worker keeps until another operator's task begins."""
+    if (make, args) not in _held:
+        _held[make, args] = make(*args)
+    return _held[make, args]
+
+
+def _begin(operator: str) -> None:
+    if _holder != [operator]:
+        _held.clear()
+        _holder[:] = [operator]
+
+
+def _end() -> None:
+    """Freed memory goes back to the system; elsewhere than in glibc that is left to the allocator."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def frugal(work: Callable) -> Callable:
+    """``work`` on the batches of a task, for Python workers that go on to serve others.
+
+    Spark keeps workers for the tasks of all later stages, so what one of them holds or
+    has freed but not returned would take room from every stage after it.
+    """
+    operator = work.__module__
+
+    @wraps(work)
+    def run(batches):
+        _begin(operator)
+        try:
+            yield from work(batches)
+        finally:
+            _end()
+
+    return run
+
+
 @contextmanager
-def small_batches(spark: SparkSession, size: int = 1 << 22) -> Iterator[None]:
+def small_batches(spark: SparkSession, size: int = 1 << 20) -> Iterator[None]:
     """What is written meanwhile hands rows to Python in batches of about ``size`` bytes.
 
     By default they may have 64 MB, and an executor and its Python workers keep the room

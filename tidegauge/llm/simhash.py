@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import resemblance
 from tidegauge.llm.components import components
-from tidegauge.llm.shared import drop, partitions, recorded, release, slices, stash, text_of
+from tidegauge.llm.shared import drop, frugal, partitions, recorded, release, slices, stash, text_of
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at a time.
@@ -80,6 +80,7 @@ def fingerprints(texts, words: int) -> np.ndarray:
 def fingerprinted(docs: DataFrame, words: int, carry: bool = False, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Written: doc_id, fp (as a signed long), rid (a number for each row) and perhaps row."""
 
+    @frugal
     def run(batches):
         pid, n = TaskContext.get().partitionId(), 0
         for b in (part for whole in batches for part in slices(whole, "text")):
@@ -125,6 +126,7 @@ def forest(members: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarra
 def _searched(buckets: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) within buckets (members: array of long)."""
 
+    @frugal
     def run(batches):
         for b in batches:
             links = [link for m in b.column("members") for link in forest(np.array(m.values).view(np.uint64), radius)]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
-from tidegauge.llm.shared import id_remainder, stash, text_of
+from tidegauge.llm.shared import frugal, id_remainder, stash, text_of
 
 #: Pseudo-tokens of the prior, standard errors that a token needs, and what each token costs a segment.
 PRIOR, ERRORS, DRIFT = 500.0, 5.0, 0.1
@@ -64,6 +64,7 @@ class Remembered(dict):
         return value
 
 
+@frugal
 def count_tokens(batches):
     """Rows (token, fold, toxic, n): in how many labelled texts of a task a token is.
 
@@ -148,6 +149,7 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 def training_segments(lexicons):
     """Rows (toxic, n, best scores) of labelled texts, each with the other fold's lexicon."""
 
+    @frugal
     def run(batches):
         of = [Remembered(x.score) for x in lexicons.value]
         for b in batches:
@@ -229,6 +231,7 @@ JUDGED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("pa
 
 def scorer(model):
     @F.arrow_udf(JUDGED)
+    @frugal
     def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = model.value
         of = Remembered(fitted.words.score)
