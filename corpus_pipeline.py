@@ -65,8 +65,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    """Pieces of documents with their places in sequences; its workers stand beside executors that earlier stages filled."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), remembered=1 << 16)
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]

@@ -155,6 +155,13 @@ def test_workers_let_go(monkeypatch):
     assert alive() == []
 
 
+def test_remembered_words(spark):
+    """Few words are remembered, and the pieces are the same."""
+    docs = spark.range(0, 60, 1, 2).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40), k -> concat('w', hex(k * 37 + id * 11)))) AS text")
+    few, all_ = (sorted(map(tuple, packing.pieces(docs, vocabulary("word_bpe_49k.json"), remembered=n).collect())) for n in (10, 1 << 18))
+    assert few == all_ and len(few) == 60
+
+
 def test_empty_and_clashing(spark, data, tmp_path):
     """Stages take empty tables and columns named like their own."""
     names = ["row", "rid", "fp", "key", "size", "root", "members", "predicted", "edge", "position", "words", "length", "pid"]

@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import Merger, Ragged, spans, spread, unknown
-from tidegauge.llm.shared import frugal, remembered, stash, text_of
+from tidegauge.llm.shared import frugal, kept_here, stash, text_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long, row_id long"
 #: Characters tokenised at a time, and words remembered by a Python worker.
-BLOCK, REMEMBERED = 1 << 20, 1 << 16
+BLOCK, REMEMBERED = 1 << 20, 1 << 18
 #: Bases of the polynomial hashes of words.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Pre-tokens of the word vocabulary (a fixed value).
@@ -95,13 +95,14 @@ class WordIds:
     tokenizers library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import regex
         from tokenizers import Tokenizer
 
         self.library, self.merger = Tokenizer.from_file(path), Merger(path)
         self.find, self.odd = regex.compile(WORD + r"|\n").findall, regex.compile(r"[^\n]*[^\x21-\x7e¡-ɏ\n][^\n]*").findall
         self.special = regex.compile("|".join(map(regex.escape, self.merger.special)) or r"(?!)").search
+        self.remembered = remembered
         self.forget()
 
     def forget(self) -> None:
@@ -111,7 +112,7 @@ class WordIds:
         self.word_ids.add(np.zeros(1, np.int32), np.ones(1, np.int64))
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.words) > REMEMBERED or len(self.parts) > REMEMBERED:
+        if len(self.words) > self.remembered or len(self.parts) > self.remembered:
             self.forget()
         lines = b"\n".join([w for w in words if w not in self.words]).decode()
         if not lines:
@@ -162,10 +163,10 @@ def flush(words: WordIds, row: int, held: list[str], found: list[np.ndarray], to
     return row + held.count("\n")
 
 
-def cutter(path: str, capacity: int):
+def cutter(path: str, capacity: int, remembered: int = REMEMBERED):
     @frugal
     def run(batches):
-        pid, seen, words, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), remembered(WordIds, path), 0
+        pid, seen, words, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), kept_here(WordIds, path, remembered), 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -316,17 +317,18 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, in
     return out
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", id: str = "doc_id") -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", id: str = "doc_id", remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece, numbered within its task among those of its length."""
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return plain.mapInArrow(cutter(path, capacity), PIECE)
+    return plain.mapInArrow(cutter(path, capacity, remembered), PIECE)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", id: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", id: str = "doc_id", remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece, and
-    row_id, a number for each row of ``docs``, which tells pieces of rows with one id apart."""
+    row_id, a number for each row of ``docs``, which tells pieces of rows with one id apart.
+    ``remembered``: words that a Python worker holds; the result does not depend on it."""
     spark = docs.sparkSession
-    cut = stash(pieces(docs, path, capacity, text, id), "pieces")
+    cut = stash(pieces(docs, path, capacity, text, id, remembered), "pieces")
     # A row for each task and length, so a length of very many pieces is never in one place.
     each = stash(cut.groupBy("length", "pid").agg(F.count("*").alias("n")), "piece-counts")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

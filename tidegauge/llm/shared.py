@@ -87,7 +87,7 @@ _held: dict[tuple, object] = {}
 _holder: list[str] = []
 
 
-def remembered(make: Callable, *args):
+def kept_here(make: Callable, *args):
     """``make(*args)``, which this Python worker keeps until another operator's task begins."""
     if (make, args) not in _held:
         _held[make, args] = make(*args)
