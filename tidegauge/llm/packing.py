@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -164,7 +164,7 @@ def flush(words: WordIds, row: int, held: list[str], found: list[np.ndarray], to
 
 
 def cutter(path: str, capacity: int, remembered: int = REMEMBERED):
-    @frugal
+    @partial(frugal, trim=False)
     def run(batches):
         pid, seen, words, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), kept_here(WordIds, path, remembered), 0
         for b in batches:

@@ -97,21 +97,23 @@ def kept_here(make: Callable, *args):
 def _begin(operator: str) -> None:
     if _holder != [operator]:
         _held.clear()
+        _trim()
         _holder[:] = [operator]
 
 
-def _end() -> None:
+def _trim() -> None:
     """Freed memory goes back to the system; elsewhere than in glibc that is left to the allocator."""
     pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
 
 
-def frugal(work: Callable) -> Callable:
+def frugal(work: Callable, trim: bool = True) -> Callable:
     """``work`` on the batches of a task, for Python workers that go on to serve others.
 
     Spark keeps workers for the tasks of all later stages, so what one of them holds or
-    has freed but not returned would take room from every stage after it.
+    has freed but not returned would take room from every stage after it.  Without ``trim``
+    that waits for the next operator's task, so that tasks of one need not ask for it again.
     """
     operator = work.__module__
 
@@ -121,7 +123,8 @@ def frugal(work: Callable) -> Callable:
         try:
             yield from work(batches)
         finally:
-            _end()
+            if trim:
+                _trim()
 
     return run
 
