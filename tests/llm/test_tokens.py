@@ -1,11 +1,14 @@
 """Token counts, packing and mixing."""
 
+import cProfile
 import random
 import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -183,3 +186,43 @@ def test_words_by_hash():
     start = np.append(0, end[:-1] + 1)
     first, kind = packing.grouped(np.frombuffer(lines, np.uint8), start, end)
     assert [words[i] for i in first[kind]] == words and len(first) == len(set(words))
+
+
+@pytest.fixture
+def cut(monkeypatch):
+    """Pieces of texts as a worker cuts them, here in this process."""
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+
+    def run(texts, capacity=64, remembered=packing.REMEMBERED):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+        batches = [batch.slice(at, 150) for at in range(0, len(texts), 150)]
+        return [tuple(r.values()) for b in packing.cutter(public_tokenizers.path("word_bpe_49k.json"), capacity, remembered)(iter(batches)) for r in b.select(range(5)).to_pylist()]
+
+    return run
+
+
+def test_pieces_are_the_library_s(cut, monkeypatch):
+    """Every character of one or two bytes in and between words, parts about as long as
+    two numbers hold, short forms, and blocks that end inside texts."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x800)]
+    texts = [t or "" for t in awkward()] + letters + [f"X{c}{c} 'S{c}'RE'{c}é, 1{c}" for c in letters]
+    texts += ["".join(c * n for n in range(5, 20) for c in (a, b)) for a, b in ("a.", "éb", "a'", "É1", "a ", "' ")]
+    texts += ["it''s 'TIS we'LLd 'd'm're", "a\0 a\0\0 \0", "x<|endoftext|>y <|ENDOFTEXT|>", "sixteen letters: abcdefghijklmnop abcdefghijklmnopq"]
+    want = [[*e.ids, 0] for e in library.encode_batch(texts, add_special_tokens=False)]
+    pieces = [(i, s // 64, s, len(x[s : s + 64]), zlib.crc32(np.array(x[s : s + 64], "<u4").tobytes())) for i, x in enumerate(want) for s in range(0, len(x), 64)]
+    assert cut(texts) == pieces
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    assert cut(texts) == pieces == cut(texts, remembered=40)
+
+
+def test_new_words_cost_no_calls(cut):
+    """Words that a worker meets for the first time are found, told apart and merged on arrays:
+    no Python call for each of them, which was most of the time of packing."""
+    r = random.Random(12)
+    words = {"".join(r.choices("etaoinshrdluéü", k=r.randint(4, 12))) for _ in range(60_000)}
+    cut(["one"])
+    with cProfile.Profile() as profile:
+        (piece, *_) = cut([" ".join(words)], capacity=1 << 20)
+    assert piece[3] > len(words) > 50_000
+    assert sum(x.callcount for x in profile.getstats()) < len(words) // 4

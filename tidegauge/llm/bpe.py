@@ -103,20 +103,22 @@ class Merger:
 
     def merge(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words behind one another, and each word's number of ids."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        return self.merge_bytes(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def merge_bytes(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that lie behind one another in ``raw``."""
         sym = self.inner[raw]
         ends = np.cumsum(size)
         if self.end:
             filled = ends[size > 0] - 1
             sym[filled] = self.last[raw[filled]]
-        seq = np.repeat(np.arange(len(words)), size)
-        length = np.zeros(len(words), np.int64)
+        seq = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        length = np.zeros(len(size), np.int64)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         if len(long := np.flatnonzero(size > LONG)):
             for n in long.tolist():
                 ids = self._alone(sym[ends[n] - size[n] : ends[n]])
-                done.append((np.full(len(ids), n), ids))
+                done.append((np.full(len(ids), n, np.int32), ids))
                 length[n] = len(ids)
             short = (size <= LONG)[seq]
             sym, seq = sym[short], seq[short]

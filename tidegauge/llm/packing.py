@@ -26,141 +26,254 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.bpe import Merger, Ragged, spans, spread, unknown
-from tidegauge.llm.shared import frugal, kept_here, stash, text_of
+from tidegauge.llm.bpe import Merger, Ragged, spread
+from tidegauge.llm.shared import frugal, kept_here, slices, stash, text_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long, row_id long"
-#: Characters tokenised at a time, and words remembered by a Python worker.
+#: Bytes tokenised at a time, and parts of words remembered by a Python worker.
 BLOCK, REMEMBERED = 1 << 20, 1 << 18
-#: Bases of the polynomial hashes of words.
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-#: Pre-tokens of the word vocabulary (a fixed value).
+#: Pre-tokens of the word vocabulary (a fixed value), and those of them that begin with its apostrophe.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-
-class Powers:
-    """The powers of a base and of its inverse, mod 2^64, from two small tables of each."""
-
-    def __init__(self, base: int, low: int = 1 << 11):
-        self.low, self.tables = low, []
-        for b in (base, pow(base, -1, 1 << 64)):
-            self.tables.append([np.array([pow(b, i * step, 1 << 64) for i in range(low)], np.uint64) for step in (1, low)])
-
-    def first(self, n: int) -> np.ndarray:
-        """The powers 0 .. n - 1 of the base; ``n`` is at most the square of a table's size."""
-        low, high = self.tables[0]
-        return (high[: -(-n // self.low), None] * low).reshape(-1)[:n]
-
-    def inverse(self, at: np.ndarray) -> np.ndarray:
-        low, high = self.tables[1]
-        return low[at % self.low] * high[at // self.low]
-
-
-@lru_cache(maxsize=8)
-def powers(base: int, low: int) -> Powers:
-    return Powers(base, low)
+SHORT_FORMS = tuple(x.encode() for x in WORD.split("|") if x[0] == "'")
+#: Bytes that tell parts apart in two numbers.
+WIDE = 16
+#: Kinds of bytes.  Those of one kind in a row are one part, from ALONE on each for itself; a word
+#: with anything ODD, where normal forms or other character classes matter, is one part.
+SPACE, LETTER, OTHER, ODD, DIGIT, END = range(6)
+ALONE = DIGIT
+GOLDEN = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+#: The bytes that count of eight, by how many there are.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+@lru_cache(maxsize=1)
+def alphabet() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kind and lower case of each byte below 0x80, and of each character of two bytes
+    (lower case as its two bytes).  Plain are visible ASCII and U+00A1 to U+024F, where lower
+    case does not depend on the letters around, as far as it has two bytes as well."""
+    import regex
+
+    is_letter, is_number = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
+    kind, lower = np.full(256, ODD, np.uint8), np.arange(256, dtype=np.uint8)
+    kind2, lower2 = np.full(0x800, ODD, np.uint8), np.zeros((0x800, 2), np.uint8)
+    kind[[0x20, *range(9, 14)]] = SPACE
+    for code in [*range(0x21, 0x7F), *range(0xA1, 0x250)]:
+        low = chr(code).lower()
+        what = LETTER if is_letter(low) else DIGIT if is_number(low) else OTHER
+        if code < 0x80:
+            kind[code], lower[code] = what, ord(low)
+        elif len(low) == 1 and len(low.encode()) == 2 and what != DIGIT:
+            kind2[code], lower2[code] = what, list(low.encode())
+    return kind, lower, kind2, lower2
+
+
+def keys(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words of up to ``WIDE`` bytes, none of them zero, as two numbers."""
+    padded = np.append(raw, np.zeros(WIDE, np.uint8))
+    eight = np.ndarray(len(raw) + 8, "<u8", padded, strides=(1,))
+    first, second = eight[start] & MASKS[np.minimum(size, 8)], np.zeros(len(start), np.uint64)
+    more = np.flatnonzero(size > 8)
+    second[more] = eight[start[more] + 8] & MASKS[size[more] - 8]
+    return first, second
 
 
 def grouped(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One word of each kind among ``raw[start:end]``, and the kind of each word.
-
-    Words are told apart by two polynomial hashes of 64 bits, taken from running sums.
+    """One word of each kind among ``raw[start:end]``, of up to ``WIDE`` bytes each, and the kind of each word."""
+    one, two = keys(raw, start, end - start)
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
+
+
+class Known:
+    """Rows of known parts of up to ``WIDE`` bytes, in an open-addressed table that grows.
+
+    The table holds rows only; what they are lies in the order in which they came, so
+    the frequent ones, which come early, lie side by side.
     """
-    kinds = []
-    for base in BASES:
-        table = powers(base, 1 << max(11, -(-len(raw).bit_length() // 2)))
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw + np.uint64(1)) * table.first(len(raw)), out=sums[1:])
-        kinds.append((sums[end] - sums[start]) * table.inverse(start))
-    _, first, kind = np.unique(kinds[0], return_index=True, return_inverse=True)
-    if not (kinds[1][first][kind] == kinds[1]).all():
-        _, first, kind = np.unique(np.stack(kinds, axis=1), axis=0, return_index=True, return_inverse=True)
-    return first, kind
+
+    def __init__(self):
+        self.rows, self.used = np.full(1 << 12, -1, np.int32), 0
+        self.one, self.two = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+
+    def _home(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        mixed = one * GOLDEN[0] ^ two * GOLDEN[1]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * GOLDEN[0]
+        return (mixed >> np.uint64(65 - len(self.rows).bit_length())).astype(np.int64)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Row of each, -1 for unknown ones."""
+        at, last = self._home(one, two), len(self.rows) - 1
+        found = self.rows[at]
+        open_ = np.flatnonzero((found >= 0) & ((self.one[found] != one) | (self.two[found] != two)))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & last
+            found[open_] = here = self.rows[at[open_]]
+            open_ = open_[(here >= 0) & ((self.one[here] != one[open_]) | (self.two[here] != two[open_]))]
+        return found
+
+    def add(self, one: np.ndarray, two: np.ndarray, first_row: int) -> None:
+        """New and different ones get the rows from ``first_row`` on."""
+        rows = np.arange(first_row, first_row + len(one), dtype=np.int32)
+        while first_row + len(one) > len(self.one):
+            self.one, self.two = (np.append(x, np.zeros_like(x)) for x in (self.one, self.two))
+        self.one[rows], self.two[rows] = one, two
+        self.used += len(one)
+        if 3 * self.used > len(self.rows):
+            rows = np.append(self.rows[self.rows >= 0], rows)
+            self.rows = np.full(1 << (4 * self.used).bit_length(), -1, np.int32)
+        at = self._home(self.one[rows], self.two[rows])
+        while len(rows):
+            free = self.rows[at] < 0
+            self.rows[at[free]] = rows[free]
+            rest = self.rows[at] != rows  # also where another one took the place
+            rows, at = rows[rest], (at[rest] + 1) & (len(self.rows) - 1)
 
 
 class WordIds:
-    """Ids of words between spaces, remembered as rows of a ragged table.
+    """Ids of the parts of words, remembered as rows of a ragged table.
 
-    Words of plain Latin letters go through the ragged merger, all new ones of a block
-    together; any others, where normal forms or character classes matter, through the
-    tokenizers library.
+    Parts of plain Latin letters, digits and signs are found, told apart and merged on
+    arrays of bytes, all new ones of a block together; words with any other character
+    go through the tokenizers library.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        import regex
         from tokenizers import Tokenizer
 
         self.library, self.merger = Tokenizer.from_file(path), Merger(path)
-        self.find, self.odd = regex.compile(WORD + r"|\n").findall, regex.compile(r"[^\n]*[^\x21-\x7e¡-ɏ\n][^\n]*").findall
-        self.special = regex.compile("|".join(map(regex.escape, self.merger.special)) or r"(?!)").search
+        self.special = [x.encode() for x in self.merger.special]
         self.remembered = remembered
         self.forget()
 
     def forget(self) -> None:
-        """Only the break of a line is known: as a part it has no ids, as a word it ends a document."""
-        self.parts, self.part_ids, self.words, self.word_ids = {"\n": 0}, Ragged(), {b"\n": 0}, Ragged()
-        self.part_ids.add(np.empty(0, np.int32), np.zeros(1, np.int64))
-        self.word_ids.add(np.zeros(1, np.int32), np.ones(1, np.int64))
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.words) > self.remembered or len(self.parts) > self.remembered:
+        """Only the end of a document is known, which is the id 0."""
+        self.known, self.named, self.ids = Known(), {}, Ragged()
+        self.ids.add(np.zeros(1, np.int32), np.ones(1, np.int64))
+
+    def parts(self, block: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The block in lower case (odd words as they are), and start, size and kind of its parts."""
+        kinds, lower, kinds2, lower2 = alphabet()
+        raw = np.frombuffer(block, np.uint8)
+        kind, low = kinds[raw], lower[raw]
+        if not block.isascii():
+            lead = np.flatnonzero((raw >= 0xC2) & (raw <= 0xDF))
+            code = (raw[lead].astype(np.int64) & 0x1F) << 6 | raw[lead + 1] & 0x3F
+            kind[lead] = kind[lead + 1] = kinds2[code]
+            plain = kinds2[code] != ODD
+            lead = lead[plain]
+            low[lead], low[lead + 1] = lower2[code[plain]].T
+        for x in self.special:
+            at = block.find(x)
+            while at >= 0:
+                kind[at] = ODD
+                at = block.find(x, at + 1)
+        kind[ends] = END
+        odd = np.flatnonzero(kind == ODD)
+        if len(odd):
+            breaks = np.flatnonzero((kind == SPACE) | (kind == END))
+            after = np.unique(np.searchsorted(breaks, odd))
+            begin = np.where(after > 0, breaks[after - 1] + 1, 0)
+            odd = spread(begin, np.append(breaks, len(raw))[after] - begin)
+            kind[odd], low[odd] = ODD, raw[odd]
+        edge = kind >= ALONE
+        edge[:1] = True
+        edge[1:] |= kind[1:] != kind[:-1]
+        signs = np.flatnonzero((low == ord("'")) & edge & (kind == OTHER))
+        if len(signs):
+            next_ = np.append(low, np.zeros(3, np.uint8))
+            for form in SHORT_FORMS:
+                some = signs[np.logical_and.reduce([next_[signs + k] == c for k, c in enumerate(form)])]
+                edge[some + 1] = False
+                past = some + len(form)
+                past = past[past < len(raw)]
+                edge[past[kind[past] == LETTER]] = True
+        start = np.flatnonzero(edge)
+        size = np.diff(start, append=len(raw))
+        some = np.flatnonzero(kind[start] != SPACE)
+        start, size = start[some], size[some]
+        return low, start, size, kind[start]
+
+    def of(self, block: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of a block, and how many each line has; ``ends`` are the places of the
+        bytes that end a line, which have the id 0.  The block ends with the end of a word."""
+        if self.ids.rows > self.remembered:
             self.forget()
-        lines = b"\n".join([w for w in words if w not in self.words]).decode()
-        if not lines:
-            return
-        new, odd = lines.split("\n"), set(self.odd(lines))
-        if self.special(lines):
-            odd.update(w for w in new if self.special(w))
-        if plain := [w for w in new if w not in odd] if odd else new:
-            # In this range lower case does not depend on the letters around.
-            cut = self.find("\n".join(plain).lower())
-            if parts := unknown([cut], self.parts):
-                self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts)), strict=True))
-                self.part_ids.add(*self.merger.merge([p.encode() for p in parts]))
-            rows = np.fromiter(map(self.parts.__getitem__, cut), np.int64, len(cut))
-            ids, count = self.part_ids.take(rows)
-            self.keep(plain, ids, np.bincount(np.cumsum(rows == 0), weights=count, minlength=len(plain)).astype(np.int64))
-        rest = list(odd)
+        low, start, size, kind = self.parts(block, ends)
+        rows = np.zeros(len(start), np.int64)
+        short = np.flatnonzero((kind != END) & (kind != ODD) & (size <= WIDE))
+        rows[short] = self.short(low, start[short], size[short])
+        rest = np.flatnonzero((kind == ODD) | (size > WIDE))
+        if len(rest):
+            rows[rest] = self.others(low, start[rest], size[rest], kind[rest])
+        ids, count = self.ids.take(rows)
+        until = np.append(0, np.cumsum(count))[np.append(np.flatnonzero(kind == END) + 1, len(count))]
+        return ids, np.diff(until, prepend=0)
+
+    def short(self, low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Rows of plain parts of up to ``WIDE`` bytes."""
+        one, two = keys(low, start, size)
+        rows = self.known.find(one, two)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            first, of = grouped(low, start[new], start[new] + size[new])
+            rows[new] = self.ids.rows + of
+            first = new[first]
+            self.known.add(one[first], two[first], self.ids.rows)
+            self.ids.add(*self.merger.merge_bytes(low[spread(start[first], size[first])], size[first]))
+        return rows
+
+    def others(self, low: np.ndarray, start: np.ndarray, size: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Rows of long parts and odd words, by name."""
+        names, odd = [low[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)], (kind == ODD).tolist()
+        new = dict.fromkeys((n, o) for n, o in zip(names, odd, strict=True) if n not in self.named)
+        if long := [n for n, o in new if not o]:
+            self.keep(long, *self.merger.merge(long))
+        rest = [n for n, o in new if o]
         for at in range(0, len(rest), 4096):
-            some = [e.ids for e in self.library.encode_batch(rest[at : at + 4096], add_special_tokens=False)]
+            some = [e.ids for e in self.library.encode_batch([n.decode() for n in rest[at : at + 4096]], add_special_tokens=False)]
             self.keep(rest[at : at + 4096], np.fromiter(chain.from_iterable(some), np.int32), np.fromiter(map(len, some), np.int64))
-
-    def keep(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
-        self.words.update(zip(map(str.encode, words), range(len(self.words), len(self.words) + len(words)), strict=True))
-        self.word_ids.add(ids, count)
-
-    def of(self, lines: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words between spaces, and how many each line has; a break between
-        spaces ends a line and is the id 0."""
-        raw = np.frombuffer(lines, np.uint8)
-        space = np.flatnonzero(raw == 0x20)
-        start, end = np.append(0, space + 1), np.append(space, len(raw))
-        some = end > start
-        start, end = start[some], end[some]
-        first, kind = grouped(raw, start, end)
-        words = [lines[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        self.learn(words)
-        rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))[kind]
-        ids, count = self.word_ids.take(rows)
-        line = np.cumsum(rows == 0) - (rows == 0)
-        return ids, np.bincount(line, weights=count).astype(np.int64)
-
-
-def flush(words: WordIds, row: int, held: list[str], found: list[np.ndarray], total: np.ndarray) -> int:
-    """Adds what is held, from ``row`` on, to the batch; returns the row that is open."""
-    ids, count = words.of(" ".join(held).encode())
-    found.append(ids)
-    total[row : row + len(count)] += count
-    return row + held.count("\n")
+        return np.fromiter(map(self.named.__getitem__, names), np.int64, len(names))
+
+    def keep(self, names: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        self.named.update(zip(names, range(self.ids.rows, self.ids.rows + len(names)), strict=True))
+        self.ids.add(ids, count)
+
+
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """First row, bytes and places of line ends of each block of a batch's texts; a block ends
+    with a text, or at a space in a long one."""
+    row = 0
+    for some in slices(batch, "text", BLOCK):
+        lines = pc.binary_join_element_wise(some.column("text").cast(large := pa.large_string()), pa.scalar("", large), pa.scalar("\n", large))
+        _, offsets, data = lines.buffers()
+        ends = np.frombuffer(offsets, np.int64)[lines.offset : lines.offset + len(lines) + 1]
+        data, ends = data.to_pybytes()[ends[0] : ends[-1]], ends[1:] - ends[0] - 1
+        at = before = 0
+        while at < len(data):
+            past = data.find(b" ", at + BLOCK) + 1
+            if past and (later := np.searchsorted(ends, at + BLOCK)) < len(ends):
+                past = min(past, int(ends[later]) + 1)
+            past = past or len(data)
+            inside = int(np.searchsorted(ends, past))
+            yield row + before, data[at:past], ends[before:inside] - at
+            at, before = past, inside
+        row += some.num_rows
 
 
 def cutter(path: str, capacity: int, remembered: int = REMEMBERED):
@@ -170,17 +283,12 @@ def cutter(path: str, capacity: int, remembered: int = REMEMBERED):
         for b in batches:
             if not b.num_rows:
                 continue
-            found, total = [], np.zeros(b.num_rows, np.int64)
-            row, held, size = 0, [], 0  # the first row held, which may have begun before
-            for value in b.column("text"):
-                for span in spans(value.as_py()):
-                    held.append(span.replace("\n", " "))
-                    size += len(span)
-                    if size >= BLOCK:
-                        row = flush(words, row, held, found, total)
-                        held, size = [], 0
-                held.append("\n")
-            flush(words, row, held, found, total)
+            found, total = [], np.zeros(b.num_rows + 1, np.int64)
+            for row, block, ends in blocks(b):
+                ids, count = words.of(block, ends)
+                found.append(ids)
+                total[row : row + len(count)] += count
+            total = total[:-1]  # after the last line there is none
             ids = np.concatenate(found).astype("<u4")
             many = -(-total // capacity)
             of = np.repeat(np.arange(b.num_rows), many)
@@ -326,7 +434,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text",
 def pack(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", id: str = "doc_id", remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece, and
     row_id, a number for each row of ``docs``, which tells pieces of rows with one id apart.
-    ``remembered``: words that a Python worker holds; the result does not depend on it."""
+    ``remembered``: parts of words that a Python worker holds; the result does not depend on it."""
     spark = docs.sparkSession
     cut = stash(pieces(docs, path, capacity, text, id, remembered), "pieces")
     # A row for each task and length, so a length of very many pieces is never in one place.
