@@ -100,34 +100,80 @@ def block_means(x: np.ndarray, block: int, resamples: int, seed: int) -> np.ndar
 CHUNK = 1 << 16
 
 
-def raw_draws(seed: int, n: int, first: int, count: int):
-    """Draws below n that a generator of the seed makes of its raw numbers ``first`` to
-    ``first + count``, in order, some at a time.
-
-    Up to 2^32 a raw number of 64 bits is two of 32 bits, the lower half first.  A
-    number u gives the high half of u * n, and none where the low half is below 2^bits
-    mod n: so whether a raw number gives a draw does not depend on those before it, and
-    any slice of the stream can be drawn on its own.
-    """
+def raw_numbers(seed: int, n: int, first: int):
+    """Raw numbers of a generator of the seed from number ``first`` on, some at a time,
+    as it takes them for draws below n: up to 2^32 a raw number of 64 bits is two of 32
+    bits, the lower half first."""
     bit_generator = np.random.PCG64(seed)
     narrow = n <= 1 << 32
     bit_generator.advance(first // 2 if narrow else first)
-    skipped, left = (first % 2 if narrow else 0), count
-    while left > 0:
-        size = min(CHUNK, left + skipped)
-        if narrow:
-            raw = bit_generator.random_raw(-(-size // 2)).astype("<u8").view("<u4")[skipped:size].astype(np.uint64)
-            product = raw * np.uint64(n)
-            high, low, refused = product >> np.uint64(32), product & np.uint64(0xFFFFFFFF), (1 << 32) % n
-        else:
-            raw, half = bit_generator.random_raw(size), np.uint64(32)
-            a, b, c, d = raw >> half, raw & np.uint64(0xFFFFFFFF), np.uint64(n >> 32), np.uint64(n & 0xFFFFFFFF)
-            middle = a * d + ((b * d) >> half)
-            low, cross = raw * np.uint64(n), (middle & np.uint64(0xFFFFFFFF)) + b * c
-            high, refused = a * c + (middle >> half) + (cross >> half), (1 << 64) % n
-        left -= len(raw)
+    skipped = first % 2 if narrow else 0
+    while True:
+        raw = bit_generator.random_raw(-(-CHUNK // 2) if narrow else CHUNK).astype("<u8", copy=False)
+        yield (raw.view("<u4") if narrow else raw)[skipped:]
         skipped = 0
-        yield high[low >= np.uint64(refused)].astype(np.int64)
+
+
+def gives(raw: np.ndarray, n: int) -> np.ndarray:
+    """Which raw numbers give a draw below n: a number u gives the high half of u * n,
+    and none where the low half is below 2^bits mod n.  So whether it gives a draw does
+    not depend on those before it, and any slice of the stream can be drawn on its own."""
+    refused = (1 << 8 * raw.itemsize) % n
+    return raw * raw.dtype.type(n) >= raw.dtype.type(refused) if refused else np.ones(len(raw), bool)
+
+
+def highs(raw: np.ndarray, n: int) -> np.ndarray:
+    """High half of u * n for each raw number u."""
+    half = np.uint64(32)
+    if raw.itemsize == 4:
+        found = raw.astype(np.uint64)
+        found *= np.uint64(n)
+        found >>= half
+        return found.view(np.int64)
+    a, b, c, d = raw >> half, raw & np.uint64(0xFFFFFFFF), np.uint64(n >> 32), np.uint64(n & 0xFFFFFFFF)
+    middle = a * d + ((b * d) >> half)
+    cross = (middle & np.uint64(0xFFFFFFFF)) + b * c
+    return (a * c + (middle >> half) + (cross >> half)).astype(np.int64)
+
+
+def counted_draws(seed: int, n: int, first: int, count: int) -> int:
+    """How many draws below n the raw numbers ``first`` to ``first + count`` give."""
+    found, left = 0, count
+    for raw in raw_numbers(seed, n, first):
+        found += int(np.count_nonzero(gives(raw[:left], n)))
+        left -= len(raw)
+        if left <= 0:
+            return found
+
+
+def raw_draws(seed: int, n: int, first: int, count: int):
+    """Draws below n that a generator of the seed makes of its raw numbers ``first`` to
+    ``first + count``, in order, some at a time."""
+    left = count
+    for raw in raw_numbers(seed, n, first):
+        yield highs(raw[:left][gives(raw[:left], n)], n)
+        left -= len(raw)
+        if left <= 0:
+            return
+
+
+def stream(seed: int, n: int, first: int, skip: int, count: int):
+    """Raw numbers that hold ``count`` draws below n, after ``skip`` draws from raw number
+    ``first`` on, some at a time; and which of them give a draw."""
+    left = count
+    for raw in raw_numbers(seed, n, first):
+        if left <= 0:
+            return
+        ok = gives(raw, n)
+        found = int(np.count_nonzero(ok))
+        if skip >= found:
+            skip -= found
+            continue
+        if skip or found > left:
+            at = np.flatnonzero(ok)[skip : skip + left]
+            raw, ok, skip, found = raw[at[0] : at[-1] + 1], ok[at[0] : at[-1] + 1], 0, len(at)
+        left -= found
+        yield raw, ok
 
 
 def drawn(seed: int, n: int, start: int, count: int, counts: np.ndarray, slice_size: int):
@@ -135,17 +181,50 @@ def drawn(seed: int, n: int, start: int, count: int, counts: np.ndarray, slice_s
     each slice of ``slice_size`` raw numbers, as far as known."""
     before = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
     slice_ = int(np.searchsorted(before, start, "right")) - 1
-    skip, left, first = start - int(before[slice_]), count, slice_ * slice_size
-    while left > 0:
-        asked = skip + left + (skip + left) // 8 + 64
-        asked += asked % 2
-        for part in raw_draws(seed, n, first, asked):
-            gone = min(skip, len(part))
-            part, skip = part[gone : gone + left], skip - gone
-            left -= len(part)
-            if len(part):
-                yield part
-            if left <= 0:
-                return
-        first += asked
+    for raw, ok in stream(seed, n, slice_ * slice_size, start - int(before[slice_]), count):
+        yield highs(raw[ok], n)
 
+
+def block_sums(level: np.ndarray, low: int, total: float, n: int, block: int, resamples: int, seed: int, first: int, skip: int) -> np.ndarray:
+    """What some running sums of a series of n know of the sums of circular moving-block
+    resamples: over all its parts these add up to the sums.
+
+    ``level``: the running sums before the places from ``low`` on, then one 0 for all other places;
+    ``total``: the sum of the series.  The resamples' draws are those of the seed's
+    stream after ``skip`` draws from raw number ``first`` on.  A block of which neither
+    end is among the places is told by its raw number alone, and costs no more.
+    """
+    size, blocks = len(level) - 1, -(-n // block)
+    last, known, at = n - (blocks - 1) * block, np.zeros(resamples), 0
+    everywhere = size + block >= n
+    for raw, ok in stream(seed, n, first, skip, resamples * blocks):
+        if at == 0:
+            space, kind = 1 << 8 * raw.itemsize, raw.dtype.type
+            # Blocks that begin at places from low - block to the last have raw numbers between these.
+            begin, end = (-(-place * space // n) for place in ((low - block) % n, low + size))
+            begin, width = kind(begin), kind((end - begin) % space)
+        found = int(np.count_nonzero(ok))
+        near = np.flatnonzero((raw - begin < width) & ok) if not everywhere else np.flatnonzero(ok) if found < len(ok) else slice(None)
+        one = at // blocks == (at + found) // blocks
+        if one:
+            length = block
+        else:
+            place = at + (np.cumsum(ok) - 1)[near]
+            of = place // blocks
+            length = np.where(place - of * blocks == blocks - 1, last, block)
+        start = highs(raw[near], n)
+        stop = start + length
+        around = np.flatnonzero(stop >= n)
+        stop[around] -= n
+        if size < n:
+            # Places before low turn into large numbers, so what lies elsewhere gets the 0.
+            start, stop = (np.minimum((x - low).view(np.uint64), np.uint64(size)).view(np.int64) for x in (start, stop))
+        sums = level.take(stop)
+        sums -= level.take(start)
+        sums[around] += total * (start[around] < size)
+        if one:
+            known[at // blocks] += sums.sum()
+        elif len(sums):
+            known[of[0] : of[-1] + 1] += np.bincount(of - of[0], sums)
+        at += found
+    return known

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidegauge.functions.numeric import UNIT, drawn, raw_draws
+from tidegauge.functions.numeric import UNIT, block_sums, counted_draws
 from tidegauge.functions.special import erfc
 from tidegauge.operators.returns import finite
 from tidegauge.operators.windows import with_halo
@@ -20,8 +21,11 @@ from tidegauge.sources.tables import stash
 #: Places of a series whose lag products one task adds up.
 BUCKET = 1 << 16
 LEAST_BLOCKS, LEAST_DISTINCT = 4.0, 20
-#: Running sums that a task of the bootstrap holds, draws that it makes, and raw numbers of the stream that are counted together.
-HELD, DRAWS, SLICE = 1 << 20, 1 << 27, 1 << 24
+#: Numbers of a series that are packed into a row, and running sums that a task of the bootstrap holds.
+PIECE, HELD = 1 << 16, 1 << 23
+#: Draws that a task makes at least where there are so many, tasks at most among which the resamples of a bucket are dealt,
+#: raw numbers of the stream that are counted together, and resamples in a row of what a task knows.
+DRAWS, RANGES, SLICE, ROW = 1 << 28, 4, 1 << 24, 1 << 12
 
 
 def renumbered(values: DataFrame) -> DataFrame:
@@ -124,89 +128,145 @@ def audit_distribution(statistics: DataFrame, least: int = LEAST_DISTINCT) -> Da
     return found.select("series", F.coalesce("finite_statistics", F.lit(0)).alias("finite_statistics"), F.coalesce("unique_statistics", F.lit(0)).alias("unique_statistics"), F.col("span").alias("numeric_span"), reasons.alias("reasons"))
 
 
-def _counted_slices(sizes: DataFrame, seed: int) -> DataFrame:
-    """(n, counts): draws below n in each slice of the stream that ``sizes`` (n, draws) asks for."""
+def packed(values: DataFrame) -> DataFrame:
+    """(series, piece, count, sum, packed) of (series, idx, value): the values of each
+    ``PIECE`` numbers of a series as bytes, in order."""
+    kind, size = values.schema["series"].dataType, min(PIECE, HELD)
+    id_type = to_arrow_type(kind)
+
+    def runs(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = b.column("series").dictionary_encode()
+            of, piece, x = names.indices.to_numpy(), b.column("idx").to_numpy() // size, b.column("value").to_numpy()
+            cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(piece) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(x)], strict=True):
+                yield (names.dictionary[of[i]].as_py(), int(piece[i])), x[i:j]
+
+    def batch(rows):
+        names, pieces, xs = zip(*rows, strict=True)
+        arrays = [pa.array(names, id_type), pa.array(pieces, pa.int64()), pa.array([len(x) for x in xs], pa.int64()), pa.array([float(x.sum()) for x in xs]), pa.array([x.tobytes() for x in xs], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["series", "piece", "count", "sum", "packed"])
+
+    def run(batches):
+        rows, held = [], 0
+        for key, parts in itertools.groupby(runs(batches), key=lambda r: r[0]):
+            rows.append((*key, np.concatenate([x for _, x in parts])))
+            held += len(rows[-1][-1])
+            if held >= size:
+                yield batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    light = values.where("series is not null").select("series", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+    dealt = light.repartition(n, "series", F.floor(F.col("idx") / size)).sortWithinPartitions("series", "idx")
+    return dealt.mapInArrow(run, f"series {kind.simpleString()}, piece long, count long, sum double, packed binary")
+
+
+def _starts(ranges: DataFrame, seed: int) -> DataFrame:
+    """(n, draw, slice, skip) for ranges (n, draw, draws): the last slice of the stream whose draws below n
+    begin at ``draw`` or before, and how many lie between."""
 
     def run(batches):
         for b in batches:
             n, at = b.column("n").to_pylist(), b.column("slice").to_pylist()
-            counts = [sum(map(len, raw_draws(seed, m, k * SLICE, SLICE))) for m, k in zip(n, at, strict=True)]
+            counts = [counted_draws(seed, m, k * SLICE, SLICE) for m, k in zip(n, at, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("n"), b.column("slice"), pa.array(counts, pa.int64())], names=["n", "slice", "count"])
 
-    slices = sizes.groupBy("n").agg(F.max("draws").alias("draws")).select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("draws") / SLICE))).alias("slice"))
-    counted = slices.repartition("n", "slice").mapInArrow(run, "n long, slice long, count long")
-    return counted.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "count"))), lambda x: x["count"]).alias("counts"))
+    later = ranges.where("draw > 0").select("n", "draw").distinct()
+    slices = later.groupBy("n").agg(F.max("draw").alias("draw")).select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("draw") / SLICE))).alias("slice"))
+    # With a number of partitions, small rows that cost much are not put together.
+    dealt = slices.repartition(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n", "slice")
+    earlier = Window.partitionBy("n").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    counted = stash(dealt.mapInArrow(run, "n long, slice long, count long"), "slices").select("n", "slice", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    found = later.join(counted, "n").where("before <= draw").groupBy("n", "draw").agg(F.max(F.struct("slice", "before")).alias("at"))
+    return found.select("n", "draw", "at.slice", (F.col("draw") - F.col("at.before")).alias("skip"))
 
 
 def block_mean_rows(values: DataFrame, sizes: DataFrame, resamples: int, seed: int) -> DataFrame:
     """(series, resample, mean) of circular moving-block resamples.
 
-    ``values``: (series, idx, value) without gaps; ``sizes``: (series, n, block_length).  A
-    block's sum is the difference of two running sums, so a series is cut into buckets of
-    ``HELD`` running sums, and resamples into ranges of some ``DRAWS`` draws.  A task has
-    one bucket and one range: it draws its own slice of the seed's stream and adds what
-    its bucket knows of each resample.  A whole series is never in a group; each bucket
-    costs all draws of its ranges, some nanoseconds each.
+    ``values``: (series, idx, value) without gaps; ``sizes``: (series, n, block_length).
     """
-    blocks = F.ceil(F.col("n") / F.col("block_length"))
-    plan = sizes.withColumn("blocks", blocks).withColumn("each", F.least(F.lit(resamples), F.greatest(F.lit(1), F.floor(F.lit(DRAWS) / F.col("blocks")))))
-    several = plan.where(F.col("each") < resamples).select("n", (F.col("blocks") * resamples).alias("draws"))
-    plan = plan.join(_counted_slices(several, seed), "n", "left")
+    return _resampled(stash(packed(values), "pieces"), sizes, resamples, seed).select("series", "resample", "mean")
 
-    cut = values.withColumn("bucket", F.floor(F.col("idx") / HELD)).select("series", "bucket", "idx", "value")
-    kind, held = values.schema["series"].dataType, F.col("running")
 
-    def running_sums(group: pa.Table) -> pa.Table:
-        x = group.sort_by("idx").column("value").to_numpy()
-        sums = np.concatenate([[0.0], np.cumsum(x)])
-        return pa.table({"series": group.column("series")[:1], "bucket": group.column("bucket")[:1], "sum": pa.array(sums[-1:]), "running": pa.array([sums[:-1].tobytes()], pa.binary())})
+def _resampled(pieces: DataFrame, sizes: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(series, resample, mean, own_mean) of circular moving-block resamples of ``packed`` values.
+
+    A block's sum is the difference of two running sums, so a series is cut into buckets of
+    ``HELD`` running sums, and resamples into up to ``RANGES`` ranges of ``DRAWS`` draws or more.
+    A task has one bucket and one range: it goes through its own slice of the seed's stream and
+    adds what its bucket knows of each resample.  A whole series is never in a task, and
+    its values are dealt out ``RANGES`` times at most, whatever its length; each bucket costs
+    all draws, some nanoseconds each.
+    """
+    held, piece, row_of = HELD, min(PIECE, HELD), ROW
+    blocks = F.ceil(F.col("n") / F.col("block_length"))
+    each = F.least(F.lit(resamples), F.greatest(F.lit(-(-resamples // RANGES)), F.floor(F.lit(DRAWS) / blocks))).cast("long")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), F.col("each")))
+    ranges = sizes.select("series", "n", "block_length", each.alias("each")).select("*", first.alias("first"))
+    ranges = stash(ranges.select("series", "n", "block_length", "first", F.least(F.col("each"), resamples - F.col("first")).alias("m"), (F.col("first") * blocks).alias("draw")), "ranges")
+    ranges = ranges.join(_starts(ranges, seed), ["n", "draw"], "left").select("series", "n", "block_length", "first", "m", F.coalesce("slice", F.lit(0)).alias("slice"), F.coalesce("skip", F.lit(0)).alias("skip"))
 
-    sums = stash(cut.groupBy("series", "bucket").applyInArrow(running_sums, f"series {kind.simpleString()}, bucket long, sum double, running binary"), "running-sums")
     mine = Window.partitionBy("series")
-    earlier = mine.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    level = sums.select("series", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)).alias("before"), F.sum("sum").over(mine).alias("total"))
-    tasks = sums.select("series", "bucket", held).join(level, ["series", "bucket"]).join(plan, "series")
-    first = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), F.col("each").cast("long")))
-    tasks = tasks.withColumn("first", first).repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series", "bucket", "first")
+    earlier = mine.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    place, before = F.coalesce(F.sum("count").over(earlier), F.lit(0)), F.coalesce(F.sum("sum").over(earlier), F.lit(0.0))
+    levels = pieces.select("series", "piece", place.alias("place"), before.alias("before"), F.sum("sum").over(mine).alias("total")).withColumn("bucket", F.floor(F.col("place") / held))
+    # Written, so their size is known to a join that need not deal out the pieces.
+    shares = stash(levels.join(ranges, "series"), "shares")
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = pieces.select("series", "piece", "packed").join(shares, ["series", "piece"]).repartition(n, "series", "bucket", "first").sortWithinPartitions("series", "bucket", "first", "piece")
+    kind = pieces.schema["series"].dataType
     id_type = to_arrow_type(kind)
 
-    def run(batches):
+    def rows_of(batches):
         for b in batches:
-            for row in b.select(["series", "bucket", "running", "before", "total", "n", "block_length", "blocks", "each", "counts", "first"]).to_pylist():
-                m = min(row["each"], resamples - row["first"])
-                level, low, known = np.frombuffer(row["running"]) + row["before"], row["bucket"] * HELD, np.zeros(m)
-                high, n, blocks = low + len(level), row["n"], row["blocks"]
-                last, at = n - (blocks - 1) * row["block_length"], 0
-                for start in drawn(seed, n, row["first"] * blocks, m * blocks, row["counts"] or [], SLICE):
-                    place = at + np.arange(len(start))
-                    of, at = place // blocks, at + len(start)
-                    end = start + np.where(place % blocks == blocks - 1, last, row["block_length"])
-                    around = end >= n
-                    end -= n * around
-                    begins, ends = (start >= low) & (start < high), (end >= low) & (end < high)
-                    known += np.bincount(of[ends], level[end[ends] - low], m)
-                    known += np.bincount(of[begins], around[begins] * row["total"] - level[start[begins] - low], m)
-                yield pa.RecordBatch.from_arrays([pa.array([row["series"]] * m, id_type), pa.array(row["first"] + np.arange(m)), pa.array(known / n)], names=["series", "resample", "part"])
-
-    parts = tasks.mapInArrow(run, f"series {kind.simpleString()}, resample long, part double")
-    return parts.groupBy("series", "resample").agg(F.sum("part").alias("mean"))
+            xs = b.column("packed")
+            for i, row in enumerate(b.drop_columns(["packed"]).to_pylist()):
+                yield row, np.frombuffer(xs[i].as_buffer())
+
+    def run(batches):
+        for (series, bucket, first), rows in itertools.groupby(rows_of(batches), key=lambda r: (r[0]["series"], r[0]["bucket"], r[0]["first"])):
+            level, at = None, 0
+            for row, x in rows:
+                if level is None:
+                    begin, level = row, np.empty(min(row["n"] - row["place"], held + piece) + 1)
+                    level[0] = row["before"]
+                level[at + 1 : at + len(x) + 1] = np.cumsum(x) + level[at]
+                at += len(x)
+            level[at] = 0
+            sums = block_sums(level[: at + 1], begin["place"], begin["total"], begin["n"], begin["block_length"], begin["m"], seed, begin["slice"] * SLICE, begin["skip"])
+            del level
+            parts = [sums[i : i + row_of] for i in range(0, len(sums), row_of)]
+            columns = [pa.array([series] * len(parts), id_type), pa.array(first + row_of * np.arange(len(parts))), pa.array([bucket] * len(parts), pa.int64()), pa.array([begin["n"]] * len(parts), pa.int64()), pa.array([begin["total"]] * len(parts)), pa.array(parts, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["series", "first", "bucket", "n", "total", "part"])
+
+    parts = tasks.mapInArrow(run, f"series {kind.simpleString()}, first long, bucket long, n long, total double, part array<double>")
+    added = F.reduce(F.array_sort(F.collect_list(F.struct("bucket", "part"))), F.array().cast("array<double>"), lambda a, b: F.when(F.size(a) == 0, b["part"]).otherwise(F.zip_with(a, b["part"], lambda x, y: x + y)))
+    known = parts.groupBy("series", "first").agg(F.first("n").alias("n"), F.first("total").alias("total"), added.alias("sums"))
+    rows = known.select("series", "first", "n", (F.col("total") / F.col("n")).alias("own_mean"), F.posexplode("sums").alias("at", "sum"))
+    return rows.select("series", (F.col("first") + F.col("at")).alias("resample"), (F.col("sum") / F.col("n")).alias("mean"), "own_mean")
 
 
 def bootstrap_mean(values: DataFrame, blocks: DataFrame, resamples: int = 1000, seed: int = 1729, confidence: float = 0.95, dense: bool = False) -> DataFrame:
     """Circular moving-block bootstrap of each series' mean.
 
     ``blocks``: (series, block_length).  Every series draws the same stream of the
-    seed.  Values that are not finite are left out; with ``dense`` the caller has done so.
+    seed.  Values that are not finite are left out, and the others close up; with ``dense`` the caller has done so.
     """
     if not 0 < confidence < 1:
         raise ValueError("confidence must be between zero and one")
-    values = values if dense else stash(renumbered(values), "renumbered")
-    sized = values.groupBy("series").agg(F.count("*").alias("n"), F.avg("value").alias("own_mean")).join(blocks, "series", "right").withColumn("n", F.coalesce("n", F.lit(0)))
+    pieces = stash(packed(values if dense else values.where(finite("value"))), "pieces")
+    counted = pieces.groupBy("series").agg(F.sum("count").alias("n"), (F.sum("sum") / F.sum("count")).alias("own_mean"))
+    sized = counted.join(blocks, "series", "right").withColumn("n", F.coalesce("n", F.lit(0)))
     design = sized.withColumn("design", block_design(F.col("n"), F.col("block_length"))).withColumn("reasons", F.concat("design.reasons", F.array(*([F.lit("nonpositive_resample_count")] if resamples <= 0 else [])).cast("array<string>")))
     design = stash(design, "block-designs")
-    fit = design.where("size(reasons) = 0").select("series", "n", "own_mean", F.col("block_length").cast("long").alias("block_length"))
-    rows = block_mean_rows(values.join(fit.select("series"), "series", "left_semi"), fit.drop("own_mean"), max(resamples, 1), seed)
-    rows = stash(rows.join(fit.select("series", "own_mean"), "series"), "resamples")
+    fit = design.where("size(reasons) = 0").select("series", "n", F.col("block_length").cast("long").alias("block_length"))
+    rows = stash(_resampled(pieces, fit, max(resamples, 1), seed), "resamples")
     null, tail = F.col("mean") - F.col("own_mean"), (1 - confidence) / 2
     drawn_ = rows.groupBy("series").agg(
         F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("ends"), *[((1 + F.count_if(hit)) / (resamples + 1)).alias(name) for name, hit in (("positive", null >= F.col("own_mean")), ("negative", null <= F.col("own_mean")))]

@@ -20,22 +20,25 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return left.join(other, equal, "left").drop(*[f"_right_{k}" for k in keys])
 
 
-def placed(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def placed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], kept: Sequence[str] | None = None) -> DataFrame:
     """Written anew with _part, _place and _total: the range of its key that a row is in,
-    its place in its key's order from 0, and the key's rows.
+    its place in its key's order from 0, and the key's rows.  Of the other columns, the
+    keys and ``kept`` are written, by default all.
 
     Rows are dealt by ranges of (keys, order, row), so a key with any share of the rows,
-    and any number of equal rows, lies in many tasks.  Counts of ranges give each range the
-    number of rows before it; places within a range are counted where it lies.
+    and any number of equal rows, lies in many tasks.  Rows are numbered as they are
+    written, so one's place is its number less the first of its range and key, after
+    the counts of the ranges before.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*keys, *order, "_at"]
     dealt = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(n, *by).sortWithinPartitions(*by)
-    held = stash(dealt.withColumn("_at", F.monotonically_increasing_id()), "placed").withColumn("_part", F.shiftright("_at", RANGE_BITS))
-    parts = held.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"))
+    light = dealt if kept is None else dealt.select(*keys, *[c for c in kept if c not in keys])
+    held = stash(light.withColumn("_at", F.monotonically_increasing_id()), "placed").withColumn("_part", F.shiftright("_at", RANGE_BITS))
+    parts = held.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
     mine = Window.partitionBy(*keys)
     earlier = mine.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(mine).alias("_total"))
-    inside = Window.partitionBy(*keys, "_part").orderBy("_at")
-    found = same_keys(held.withColumn("_place", F.row_number().over(inside)), parts, [*keys, "_part"])
-    return found.withColumn("_place", F.col("_before") + F.col("_place") - 1).drop("_at", "_before")
+    parts = parts.select(*keys, "_part", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(mine).alias("_total"))
+    # Written, so the size is known to a join that need not deal out the rows.
+    found = same_keys(held, stash(parts, "ranges"), [*keys, "_part"])
+    return found.withColumn("_place", F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_before", "_first")
