@@ -161,7 +161,7 @@ def packed(values: DataFrame) -> DataFrame:
             yield batch(rows)
 
     n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    light = values.where("series is not null").select("series", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+    light = values.where("series is not null and idx is not null").select("series", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
     dealt = light.repartition(n, "series", F.floor(F.col("idx") / size)).sortWithinPartitions("series", "idx")
     return dealt.mapInArrow(run, f"series {kind.simpleString()}, piece long, count long, sum double, packed binary")
 
